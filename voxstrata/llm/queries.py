@@ -6,8 +6,11 @@ from importlib import import_module
 
 _QUERIES = {
     "op2_mixing": "mixing",
+    "op3_token_counts": "lengths",
+    "op4_toxicity": "toxicity",
     "op5_chat_formatting": "chat",
     "op8_sharding": "sharding",
+    "op10_decontamination": "decontam",
 }
 
 

@@ -95,13 +95,18 @@ def word_spans(data: np.ndarray, offs: np.ndarray, letters_only: bool = False) -
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans, independent of where they stand."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray, lower: bool = True):
+    """64-bit hashes of byte spans, independent of where they stand.
+
+    With several arrays of ends, a list of as many arrays of hashes.
+    """
     power, inverse = _pow_tables(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, U64)
         np.cumsum(_BYTE_VALUE[_LOWER[data] if lower else data] * power[: len(data)], out=total[1:])
-        return _splitmix((total[ends] - total[starts]) * inverse[starts])
+        base, scale = total[starts], inverse[starts]
+        out = [_splitmix((total[end] - base) * scale) for end in ends]
+    return out if len(out) != 1 else out[0]
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
