@@ -7,8 +7,9 @@ a source with target / size = c gets floor(c) whole copies for certain.  The
 rest of the target is a sample: documents are ranked by random odds divided by
 inclusion odds (Pareto order sampling; the inclusion probability is the rest of
 c, optionally tilted by a document weight) and taken in that order until the
-rest would be exceeded; then the one left-over document whose size is nearest
-to what is missing is taken if that lowers the error.
+rest would be exceeded; then, ``FILL_ROUNDS`` times, the left-over document
+whose size is nearest to what is still missing is taken if that lowers the
+error.
 
 No task holds a source: rank keys are cut into ``RANK_CELLS`` cells, sums per
 (source, cell) find the one cell in which a source's rest is reached, and only
@@ -36,6 +37,9 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SEED = 2_718_281
 RANK_CELLS = 1 << 14
 MAX_COPIES = 3
+FILL_ROUNDS = 3
+#: Up to so many sources, the table of targets (a row of a few numbers each) is broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def count_words(text: Column) -> Column:
@@ -111,12 +115,24 @@ def mix_documents(
     narrow = docs.select(F.monotonically_increasing_id().alias("_row") if "_row" not in docs.columns else F.col("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"))
     sizes = durable(narrow, "mix-sizes")
     targets = durable(source_targets(sizes, weights, budget, max_copies), "mix-targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     chosen = durable(mix_copies(sizes, targets, seed=seed, max_copies=max_copies), "mix-chosen")
     taken = chosen.where("_in").groupBy("source").agg(F.sum("size").alias("_taken"))
-    gaps = targets.join(taken.withColumnRenamed("source", "_ts"), F.col("source").eqNullSafe(F.col("_ts")), "left").select(F.col("source").alias("_gs"), (F.col("target") - F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0) * F.col("source_size") - F.coalesce("_taken", F.lit(0))).alias("_gap"))
-    spare = chosen.where("NOT _in AND size > 0 AND _rest > 0").join(gaps.where("_gap > 0"), F.col("source").eqNullSafe(F.col("_gs")))
-    error = F.abs(F.col("_gap") - F.col("size"))
-    filler = spare.where(F.col("size") < 2 * F.col("_gap")).groupBy("_gs").agg(F.min(F.struct(error.alias("e"), "doc_id", "_row")).alias("f")).select(F.col("f._row").alias("_frow"))
+    sure = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_copies))).otherwise(0)
+    gaps = targets.join(taken.withColumnRenamed("source", "_ts"), F.col("source").eqNullSafe(F.col("_ts")), "left").select(
+        F.col("source").alias("_gs"), (F.col("target") - sure * F.col("source_size") - F.coalesce("_taken", F.lit(0))).alias("_gap"), F.array().cast("array<bigint>").alias("_fill")
+    )
+    spare = chosen.where("NOT _in AND size > 0 AND _rest > 0").select("_row", "doc_id", "source", "size")
+    for _ in range(FILL_ROUNDS):
+        gaps = durable(gaps, "mix-gaps")
+        near = spare.join(gaps.where("_gap > 0"), F.col("source").eqNullSafe(F.col("_gs"))).where((F.col("size") < 2 * F.col("_gap")) & ~F.array_contains("_fill", F.col("_row")))
+        best = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("e"), "doc_id", "_row", "size")).alias("f")).withColumnRenamed("source", "_bs")
+        found = F.col("f").isNotNull()
+        gaps = gaps.join(best, F.col("_gs").eqNullSafe(F.col("_bs")), "left").select(
+            "_gs", F.when(found, F.col("_gap") - F.col("f.size")).otherwise(F.col("_gap")).alias("_gap"), F.when(found, F.array_append("_fill", F.col("f._row"))).otherwise(F.col("_fill")).alias("_fill")
+        )
+    filler = gaps.select(F.explode("_fill").alias("_frow"))
     out = chosen.join(filler, F.col("_row") == F.col("_frow"), "left")
     copies = F.least(F.lit(max_copies), F.col("_sure") + (F.col("_in") | F.col("_frow").isNotNull()).cast("int"))
     return out.select("_row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
