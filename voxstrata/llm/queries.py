@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op1_ngram_jaccard_join": "ngram_join",
     "op2_mixing": "mixing",
     "op3_token_counts": "lengths",
     "op4_toxicity": "toxicity",
