@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_token_counts": "lengths",
     "op4_toxicity": "toxicity",
     "op5_chat_formatting": "chat",
+    "op6_license_scans": "licenses",
     "op7_line_dedup": "linededup",
     "op8_sharding": "sharding",
     "op9_embedding_near_dedup": "embeddings",
