@@ -138,6 +138,15 @@ def mix_documents(
     return out.select("_row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
+def mixed_corpus(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    # the numbers must be the same for every reader, so rows are written with them
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    copies = mix_documents(rows, weights, **options).where("copies > 0").select(F.col("_row").alias("_taken"), "copies")
+    out = rows.join(copies, F.col("_row") == F.col("_taken"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix_documents(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

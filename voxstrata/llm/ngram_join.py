@@ -8,18 +8,18 @@ documents link if their sets' Jaccard similarity is at least 3/4.
 2. A class of n shingles has a prefix of its n - ceil(0.75 n) + 1 first
    shingles in that order; linked classes share a prefix shingle.  Classes with
    equal size and prefix are one group, and (shingle, group) pairs are joined.
-3. Group pairs that share a shingle are filtered by size, expanded to their
-   member classes, and members are verified on their whole sets.
+3. Group pairs that share a shingle are filtered by size and by the places of
+   the shingle in both orders, expanded to their member classes, and members are
+   verified on their whole sets.
 
 Links are wanted only as components, and a group of near copies may be large,
-so the pairs of a list are not enumerated.  Each round verifies every member of
-a list against one *hub* of each list; what that connects is merged, and lists
-whose members are all in one component are done.  After ``HUB_ROUNDS`` rounds
-the rest is made whole: in every list that still has several components, each
-pair of classes from different components is verified, except pairs inside the
-list's largest component.  No link between components can be missed by this: a
-linked pair is in some list, and it is verified there unless its two classes
-are in one component already.
+so the pairs of a list are not enumerated.  First every member of a list is
+verified against the list's *hub*, the member that stands in most lists, and
+what that connects is merged.  Then the rest is made whole: in every list that
+still has several components, each pair of classes from different components is
+verified, except pairs inside the list's largest component.  No link between
+components can be missed by this: a linked pair is in some list, and it is
+verified there unless its two classes are in one component already.
 
 Defined cases: null or empty texts and texts without words have an empty set
 and link with nothing; fewer than 5 words make one shingle; repeated rows are
@@ -44,9 +44,8 @@ from ..plans.durable import DurableTable, durable
 from .textkernel import U64, mix64, shingle_sets, text_chunks
 
 SHINGLE = 5
-SKETCH = 1 << 20
+SKETCH = 1 << 21
 _SKETCH_BLOCK = 1 << 13
-HUB_ROUNDS = 2
 #: Jaccard threshold as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
 
@@ -106,47 +105,41 @@ def shingle_sketch(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> np.
     counts = np.zeros(SKETCH, np.int64)
     for row in summed.collect():
         counts[row.block * _SKETCH_BLOCK : (row.block + 1) * _SKETCH_BLOCK] += np.frombuffer(row.counts, "<i8")
-    return np.minimum(counts, 2**32 - 1).astype(np.uint32)
+    # logarithmic ranks of 16 bits keep frequent shingles apart from the rest at any size of the corpus
+    return np.round(np.log2(counts + 1.0) * 1000).astype(np.uint16)
 
 
-def _describe(k: int):
-    """text to (n, key)."""
+def prefix(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.75 n) + 1 shingles of a sorted set, rare ones first."""
+    p = len(s) + NUMERATOR * len(s) // -DENOMINATOR + 1
+    return s[np.argsort(ranks[(s & U64(SKETCH - 1)).astype(np.int64)], kind="stable")[:p]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys = [], []
-            for _, _, data, offs in text_chunks(batch.column(1)):
-                for s in shingle_sets(data, offs, k):
-                    sizes.append(len(s))
-                    keys.append(set_key(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n", "key"])
 
-    return run
+def group_key(first: np.ndarray, n: int) -> int:
+    return set_key(np.append(np.sort(first), U64(n)))
 
 
 def _prefixes(shared, k: int):
-    """text to (token, grp, key, n): one row per prefix shingle.
+    """text to (token, grp, pos): one row per prefix shingle and its place.
 
     A task gives each class once; its remembered classes are 8 bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
+        ranks, seen = shared.value, set()
         for batch in batches:
             for _, _, data, offs in text_chunks(batch.column(0)):
-                tokens, groups = [], []
+                tokens, groups, places = [], [], []
                 for s in shingle_sets(data, offs, k):
                     if not len(s) or (key := set_key(s)) in seen:
                         continue
                     seen.add(key)
-                    p = len(s) + NUMERATOR * len(s) // -DENOMINATOR + 1
-                    rank = counts[(s & U64(SKETCH - 1)).astype(np.int64)]
-                    first = s[np.lexsort((s, rank))[:p]] if p < len(s) else s
-                    group = set_key(np.append(np.sort(first), U64(len(s))))
+                    first = prefix(s, ranks)
                     tokens.append(first)
-                    groups.append(np.full(len(first), group, np.int64))
+                    groups.append(np.full(len(first), group_key(first, len(s)), np.int64))
+                    places.append(np.arange(len(first), dtype=np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(groups))], names=["token", "grp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(groups)), pa.array(np.concatenate(places))], names=["token", "grp", "pos"])
 
     return run
 
@@ -157,19 +150,15 @@ def _members(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack, counts, seen = zstandard.ZstdCompressor(level=3), shared.value, set()
+        pack, ranks, seen = zstandard.ZstdCompressor(level=3), shared.value, set()
         for batch in batches:
-            texts = batch.column(0)
-            for begin, _, data, offs in text_chunks(texts):
+            for _, _, data, offs in text_chunks(batch.column(0)):
                 out = []
                 for i, s in enumerate(shingle_sets(data, offs, k)):
                     if not len(s) or (key := set_key(s)) in seen:
                         continue
                     seen.add(key)
-                    p = len(s) + NUMERATOR * len(s) // -DENOMINATOR + 1
-                    rank = counts[(s & U64(SKETCH - 1)).astype(np.int64)]
-                    first = s[np.lexsort((s, rank))[:p]] if p < len(s) else s
-                    out.append((set_key(np.append(np.sort(first), U64(len(s)))), key, len(s), pack.compress(data[offs[i] : offs[i + 1]].tobytes())))
+                    out.append((group_key(prefix(s, ranks), len(s)), key, len(s), pack.compress(data[offs[i] : offs[i + 1]].tobytes())))
                 if out:
                     grp, keys, n, packed = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["grp", "key", "n", "packed"])
@@ -211,18 +200,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(_check_pairs(k), "a long, b long")
 
 
-def _alike_sizes(a, b):
-    return (F.greatest(a, b) * NUMERATOR <= F.least(a, b) * DENOMINATOR)
+def _may_link(a: str, b: str):
+    """Sizes and places (n<a>, pos<a>), (n<b>, pos<b>) of a common prefix shingle leave room for a link.
+
+    If it is the first common one, the common shingles are among those from its
+    places on; of a linked pair it is the first one somewhere.
+    """
+    na, nb, pa_, pb = (F.col(c) for c in (f"n{a}", f"n{b}", f"pos{a}", f"pos{b}"))
+    return F.least(na - pa_, nb - pb) * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR
 
 
-def link_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def link_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
     """(node, component) for each class that links with another; see the module's text."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(shingle_sketch(docs, text, k))
     raw = docs.select(text)
-    postings = raw.mapInArrow(_prefixes(counts, k), "token long, grp long")
+    postings = raw.mapInArrow(_prefixes(counts, k), "token long, grp long, pos int")
     by_token = Window.partitionBy("token")
-    shared = postings.withColumns({"lo": F.min("grp").over(by_token), "hi": F.max("grp").over(by_token)}).where("lo <> hi").select("token", "grp").distinct()
+    shared = postings.withColumns({"lo": F.min("grp").over(by_token), "hi": F.max("grp").over(by_token)}).where("lo <> hi").select("token", "grp", "pos").distinct()
     lists = DurableTable(shared, "ngram-lists")
     # members: classes of groups that share a shingle with another group, or of groups with several classes
     members = raw.mapInArrow(_members(counts, k), "grp long, key long, n long, packed binary")
@@ -234,58 +229,90 @@ def link_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, hub_roun
     )
     facts = texts.df.select("grp", "key", "n")
     # lists of classes: by shared prefix shingle, and by group
-    expanded = DurableTable(lists.df.join(facts, "grp").select("token", "key", "n").unionAll(facts.select(F.col("grp").alias("token"), "key", "n")), "ngram-members")
-    links, tried = [], None
-    parts = None
-
-    def with_parts() -> DataFrame:
-        if parts is None:
-            return expanded.df.withColumn("part", F.col("key"))
-        return expanded.df.join(parts.withColumnsRenamed({"node": "key"}), "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("part"))
+    expanded = DurableTable(lists.df.join(facts, "grp").select("token", "key", "n", "pos").unionAll(facts.select(F.col("grp").alias("token"), "key", "n", F.lit(0).alias("pos"))), "ngram-members")
 
     def spread(rows: DataFrame) -> DataFrame:
         """Only lists that still have several components."""
         two = rows.groupBy("token").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("token")
         return rows.join(two, "token")
 
-    for turn in range(hub_rounds):
-        rows = spread(with_parts())
-        order = F.xxhash64(F.lit(turn), "key")
-        hubs = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part"))).alias("h")).select("token", "h.hub", "h.hub_n", "h.hub_part")
-        pairs = rows.join(hubs, "token").where((F.col("part") != F.col("hub_part")) & _alike_sizes(F.col("n"), F.col("hub_n"))).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-        links.append(durable(_verified(pairs, texts.df, k), "ngram-links"))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionAll(more)
-        parts = durable(connected_components(edges, "a", "b"), "ngram-parts")
-    rows = DurableTable(spread(with_parts()), "ngram-rest")
+    # the hub of a list is the member that stands in most lists, as an original among its edited copies does
+    weight = expanded.df.groupBy("key").agg(F.count(F.lit(1)).alias("weight"))
+    weighed = expanded.df.join(weight, "key")
+    hubs = weighed.groupBy("token").agg(F.max(F.struct("weight", F.col("key").alias("hub"), F.col("n").alias("nh"), F.col("pos").alias("posh"))).alias("h")).select("token", "h.hub", "h.nh", "h.posh")
+    pairs = expanded.df.join(hubs, "token").where((F.col("key") != F.col("hub")) & _may_link("", "h")).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    parts = durable(connected_components(_verified(pairs, texts.df, k), "a", "b"), "ngram-parts")
+    # the rest: pairs of different components in one list, without those inside its largest component
+    placed = expanded.df.join(parts.withColumnsRenamed({"node": "key"}), "key", "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("part"))
+    rows = DurableTable(spread(placed), "ngram-rest")
     sizes = rows.df.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
     major = sizes.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m")).select("token", F.col("m.part").alias("major"))
     marked = rows.df.join(major, "token")
-    minor = marked.where("part <> major").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    every = marked.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), (F.col("part") == F.col("major")).alias("mb"))
-    pairs = minor.join(every, "token").where((F.col("pa") != F.col("pb")) & (F.col("mb") | (F.col("a") < F.col("b"))) & _alike_sizes(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    links.append(durable(_verified(pairs, texts.df, k), "ngram-links"))
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionAll(more)
-    out = durable(connected_components(edges, "a", "b"), "ngram-parts")
-    for table in (lists, texts, expanded, rows):
+    minor = marked.where("part <> major").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("posa"), F.col("part").alias("pa"))
+    every = marked.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"), F.col("part").alias("pb"), (F.col("part") == F.col("major")).alias("mb"))
+    pairs = minor.join(every, "token").where((F.col("pa") != F.col("pb")) & (F.col("mb") | (F.col("a") < F.col("b"))) & _may_link("a", "b")).select("a", "b").distinct()
+    more = DurableTable(_verified(pairs, texts.df, k), "ngram-links")
+    if not more.df.isEmpty():
+        edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more.df)
+        parts = durable(connected_components(edges, "a", "b"), "ngram-parts")
+    for table in (lists, texts, expanded, rows, more):
         table.drop()
-    return out
+    return parts
+
+
+def _keyed(k: int):
+    """Rows with their set's size and key behind them; the text is the column ``_text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("_text")
+            sizes, keys = [], []
+            for _, _, data, offs in text_chunks(batch.column(at)):
+                for s in shingle_sets(data, offs, k):
+                    sizes.append(len(s))
+                    keys.append(set_key(s))
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=[*(batch.schema.names[i] for i in rest), "n_shingles", "set_key"])
+
+    return run
 
 
 def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_key, component_id for each row of docs."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = durable(narrow.mapInArrow(_describe(k), "doc_id long, n long, key long"), "ngram-docs")
-    parts = link_classes(narrow, "text", k)
-    classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    placed = classes.join(parts, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("part"))
+    """doc_id, n_shingles, set_key, part, component_id for each row of docs.
+
+    ``part`` names the component, also where all its doc_ids are null.
+    """
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    described = durable(narrow.mapInArrow(_keyed(k), "doc_id long, n_shingles long, set_key long"), "ngram-docs")
+    parts = link_classes(narrow, "_text", k)
+    classes = described.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    placed = classes.join(parts, F.col("set_key") == F.col("node"), "left").select("set_key", "least", F.coalesce("component", "set_key").alias("part"))
     ids = placed.groupBy("part").agg(F.min("least").alias("component_id"))
-    of_class = placed.join(ids, "part").select(F.col("key").alias("k"), "component_id")
-    out = described.join(of_class, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = placed.join(ids, "part").select(F.col("set_key").alias("k"), "part", "component_id")
+    out = described.join(of_class, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "n_shingles", "set_key", "part", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
+    """The rows of docs, one of each component: that of the least doc_id.
+
+    Documents without words are kept.  Of rows that repeat the kept document
+    one stays.
+    """
+    found = durable(near_duplicate_components(docs, doc_id=doc_id, text=text, k=k).where("part IS NOT NULL").groupBy("part", "doc_id", "set_key").agg(F.count(F.lit(1)).alias("rows")), "ngram-kept")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("d"), F.col("set_key").alias("s"))
+    keeper = found.groupBy("part").agg(F.min(order).alias("k"))
+    fate = found.join(keeper, "part").select(F.col("doc_id").alias("_d"), F.col("set_key").alias("_s"), (order == F.col("k")).alias("_keep"), F.col("rows").alias("_rows"))
+    drop = fate.where("NOT _keep")
+    again = fate.where("_keep AND _rows > 1")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    keyed = docs.withColumn("_text", F.col(text)).mapInArrow(_keyed(k), f"{fields}, n_shingles long, set_key long")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("set_key") == F.col("_s"))
+    left = keyed.join(drop, same, "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(again, same, "left_semi").dropDuplicates([doc_id, "set_key"])
+    return left.join(again, same, "left_anti").unionAll(once).select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
