@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from ..plans.components import connected_components
 from ..plans.durable import DurableTable, durable
-from .textkernel import U64, mix64, shingle_sets, text_chunks
+from .textkernel import U64, mix64, shingle_sets, text_chunks, trim_memory
 
 SHINGLE = 5
 SKETCH = 1 << 21
@@ -72,6 +72,7 @@ def _count(k: int):
                 cells = np.concatenate(list(shingle_sets(data, offs, k)))
                 np.add.at(counts, (cells & U64(SKETCH - 1)).astype(np.int64), 1)
         yield from _blocks(counts)
+        trim_memory()
 
     return run
 
@@ -140,6 +141,7 @@ def _prefixes(shared, k: int):
                     places.append(np.arange(len(first), dtype=np.int32))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(groups)), pa.array(np.concatenate(places))], names=["token", "grp", "pos"])
+        trim_memory()
 
     return run
 
@@ -162,6 +164,7 @@ def _members(shared, k: int):
                 if out:
                     grp, keys, n, packed = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["grp", "key", "n", "packed"])
+        trim_memory()
 
     return run
 
@@ -188,6 +191,7 @@ def _check_pairs(k: int):
                 keep.append(linked(read(batch.column(2)[i].as_py()), last[1]))
             ok = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+        trim_memory()
 
     return run
 
@@ -273,6 +277,7 @@ def _keyed(k: int):
                     keys.append(set_key(s))
             rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=[*(batch.schema.names[i] for i in rest), "n_shingles", "set_key"])
+        trim_memory()
 
     return run
 

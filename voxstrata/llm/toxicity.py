@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import U64, mix64, span_hashes, text_chunks, word_spans
+from .textkernel import U64, mix64, span_hashes, text_chunks, trim_memory, word_spans
 
 THRESHOLD = 0.7
 MAX_ROWS = 12_000
@@ -146,13 +146,18 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, data, offs in text_chunks(batch.column(1), 1 << 22):
+            for first, _, data, offs in text_chunks(batch.column(1)):
                 rows, hashes = text_terms(data, offs)
-                pairs = np.unique(np.stack([hashes, rows.astype(U64)], axis=1), axis=0)
-                terms, inverse = np.unique(pairs[:, 0], return_inverse=True)
-                ones = np.bincount(inverse, y[first + pairs[:, 1].astype(np.int64)], len(terms)).astype(np.int64)
-                every = np.bincount(inverse, minlength=len(terms)).astype(np.int64)
+                order = np.lexsort((rows, hashes))
+                h, r = hashes[order], rows[order]
+                new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+                pair = new | np.r_[True, r[1:] != r[:-1]][: len(r)]
+                group = np.cumsum(new)[pair] - 1
+                terms = h[new]
+                ones = np.bincount(group, y[first + r[pair]], len(terms)).astype(np.int64)
+                every = np.bincount(group, minlength=len(terms)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(ones), pa.array(every)], names=["term", "ones", "every"])
+        trim_memory()
 
     from ..plans.durable import DurableTable
 
@@ -204,6 +209,7 @@ def score_documents(docs: DataFrame, model: FactorizationMachine, *, text: str =
             parts = [shared.value.scores(data, offs) for _, _, data, offs in text_chunks(batch.column(at))]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+        trim_memory()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
