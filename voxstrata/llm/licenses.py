@@ -231,7 +231,11 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
                             out.append(term[window == w].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["terms"])
 
-    few = docs.select(F.col(text).alias("text")).where("text IS NOT NULL").orderBy(F.xxhash64(F.lit(3), "text"), F.length("text")).limit(sample_docs)
+    # a cut of the hashes first, so that hardly more than the sample's texts are sorted
+    texts = docs.select(F.col(text).alias("text"), F.xxhash64(F.lit(3), text).alias("h")).where("text IS NOT NULL")
+    n = texts.count()
+    cut = int(-(2**63) + 2**64 * min(1.0, 2.0 * sample_docs / max(n, 1))) - 1
+    few = texts.where(F.col("h") <= F.lit(min(cut, 2**63 - 1))).orderBy("h", F.length("text")).limit(sample_docs).select("text")
     rows = few.mapInArrow(sample, "terms array<int>").collect()
     return fit([np.array(r.terms, np.int64) for r in rows])
 
