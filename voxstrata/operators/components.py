@@ -1,13 +1,17 @@
 """Connected components of voxels.
 
-Edges to half of the neighbours are equi-joins on shifted coordinates; the
-components of that graph come from ``plans.components`` in a logarithmic number
-of rounds.  Ids are dense from 0 in the scan order of each component's first
+Two engines give the same result.  "rows": edges to half of the neighbours are
+equi-joins on shifted coordinates, and the components of that graph come from
+``plans.components`` in a logarithmic number of rounds, however large a volume
+is.  "kernel": each volume is one Arrow group.  "auto" takes the kernel for grids
+of up to ``KERNEL_VOXELS`` voxels, a bound of about 200 MB a task.  Ids are dense from 0 in the scan order of each component's first
 voxel.  The numbering window runs over components, not voxels.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +19,9 @@ from pyspark.sql.window import Window
 from ..model import BACKGROUND, Grid, InvalidArgument
 from ..plans.components import connected_components
 from ..plans.durable import durable
+from . import dense
+
+KERNEL_VOXELS = 1 << 22
 
 
 def half_neighbours(connectivity: int) -> list[tuple[int, int, int]]:
@@ -26,12 +33,32 @@ def half_neighbours(connectivity: int) -> list[tuple[int, int, int]]:
     return [d for d in near if 0 < sum(map(abs, d)) <= most and d < (0, 0, 0)]
 
 
-def _roots(foreground: DataFrame, grid: Grid, connectivity: int, same: tuple[str, ...] = ()) -> DataFrame:
+def _roots_kernel(foreground: DataFrame, grid: Grid, connectivity: int, same: tuple[str, ...]) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        z, y, x = (table.column(c).to_numpy() for c in ("z", "y", "x"))
+        there = np.zeros((grid.depth, grid.height, grid.width), bool)
+        there[z, y, x] = True
+        group = None
+        if same:
+            group = np.full(there.shape, -1, np.int64)
+            group[z, y, x] = table.column(same[0]).to_numpy()
+        roots = dense.components(there, connectivity, group)
+        index = (z.astype(np.int64) * grid.height + y) * grid.width + x
+        return table.append_column("idx", pa.array(index)).append_column("root", pa.array(roots[z, y, x].astype(np.int64)))
+
+    chosen = foreground.select("volume_id", "z", "y", "x", *same)
+    return chosen.groupBy("volume_id").applyInArrow(run, f"volume_id string, z int, y int, x int, {''.join(f'{c} int, ' for c in same)}idx long, root long")
+
+
+def _roots(foreground: DataFrame, grid: Grid, connectivity: int, same: tuple[str, ...] = (), engine: str = "auto") -> DataFrame:
     """foreground(volume_id, z, y, x, *same) with ``idx`` and ``root``, the least idx of the component.
 
     Nodes of the graph are numbered over all volumes by (volume, idx), so one
     run of rounds serves every volume.
     """
+    half_neighbours(connectivity)
+    if engine == "kernel" or engine == "auto" and grid.voxels <= KERNEL_VOXELS:
+        return _roots_kernel(foreground, grid, connectivity, same)
     marked = foreground.select("volume_id", "z", "y", "x", *same, grid.index().alias("idx"))
     number = marked.select("volume_id").distinct().withColumn("_vol", F.rank().over(Window.orderBy("volume_id")) - 1)
     nodes = durable(marked.join(F.broadcast(number) if number.count() <= 100_000 else number, "volume_id").withColumn("node", F.col("_vol").cast("long") * grid.voxels + F.col("idx")), "voxels")
@@ -44,38 +71,38 @@ def _roots(foreground: DataFrame, grid: Grid, connectivity: int, same: tuple[str
     return rooted.select("volume_id", "z", "y", "x", *same, "idx", F.coalesce(F.col("component") - F.col("_vol") * grid.voxels, F.col("idx")).alias("root"))
 
 
-def label(field: DataFrame, grid: Grid, foreground: Column, connectivity: int, least_size: int, base: int = 0) -> DataFrame:
+def label(field: DataFrame, grid: Grid, foreground: Column, connectivity: int, least_size: int, base: int = 0, engine: str = "auto") -> DataFrame:
     """Labels of every voxel of field; components smaller than ``least_size`` are background."""
-    rooted = durable(_roots(field.where(foreground), grid, connectivity), "roots")
+    rooted = durable(_roots(field.where(foreground), grid, connectivity, engine=engine), "roots")
     sizes = rooted.groupBy("volume_id", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_size)
     ids = sizes.withColumn("label", (F.row_number().over(Window.partitionBy("volume_id").orderBy("root")) - 1 + base).cast("int"))
     kept = rooted.join(ids, ["volume_id", "root"]).select("volume_id", "z", "y", "x", "label")
     return field.select("volume_id", "z", "y", "x").join(kept, ["volume_id", "z", "y", "x"], "left").select("volume_id", "z", "y", "x", F.coalesce("label", F.lit(BACKGROUND)).alias("label"))
 
 
-def connected(field: DataFrame, grid: Grid, level: float, connectivity: int = 6, least_size: int = 1) -> DataFrame:
+def connected(field: DataFrame, grid: Grid, level: float, connectivity: int = 6, least_size: int = 1, engine: str = "auto") -> DataFrame:
     """Components of v >= level.  A NaN level makes every voxel a component of its own."""
     if least_size < 1:
         raise InvalidArgument("the least size is 1")
     half_neighbours(connectivity)
     if level != level:
         return field.select("volume_id", "z", "y", "x", grid.index().cast("int").alias("label") if least_size == 1 else F.lit(BACKGROUND).alias("label"))
-    return label(field, grid, F.col("v") >= float(level), connectivity, least_size)
+    return label(field, grid, F.col("v") >= float(level), connectivity, least_size, engine=engine)
 
 
-def connected_low(field: DataFrame, grid: Grid, most: float, more_than: int, excluded: DataFrame | None = None, connectivity: int = 6) -> DataFrame:
+def connected_low(field: DataFrame, grid: Grid, most: float, more_than: int, excluded: DataFrame | None = None, connectivity: int = 6, engine: str = "auto") -> DataFrame:
     """Components of v <= most with more than ``more_than`` voxels; labelled voxels of ``excluded`` are walls."""
     if more_than < 0:
         raise InvalidArgument("the size bound must not be negative")
     if excluded is not None:
         walls = excluded.where("label >= 0").select("volume_id", "z", "y", "x", F.lit(True).alias("_wall"))
         field = field.join(walls, ["volume_id", "z", "y", "x"], "left").withColumn("v", F.when(F.col("_wall"), F.lit(float("inf"))).otherwise(F.col("v"))).drop("_wall")
-    return label(field, grid, F.col("v") <= float(most), connectivity, more_than + 1)
+    return label(field, grid, F.col("v") <= float(most), connectivity, more_than + 1, engine=engine)
 
 
-def label_components(labels: DataFrame, grid: Grid, connectivity: int) -> DataFrame:
+def label_components(labels: DataFrame, grid: Grid, connectivity: int, engine: str = "auto") -> DataFrame:
     """(volume_id, z, y, x, label, idx, root): components of equal labels >= 0."""
-    return _roots(labels.where("label >= 0"), grid, connectivity, ("label",))
+    return _roots(labels.where("label >= 0"), grid, connectivity, ("label",), engine)
 
 
 def component_table(labels: DataFrame, field: DataFrame) -> DataFrame:
