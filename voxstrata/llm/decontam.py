@@ -4,10 +4,10 @@ Texts are word sequences (runs of letters and digits, lower-cased; punctuation
 is dropped).  A fixed mask reads some of the words of a window and ignores the
 others, so two windows that differ only at ignored places have equal hashes.
 The hashes of all benchmark windows are joined with those of all training
-windows; around each hit the two texts are laid side by side and the best
-stretch is scored, a match +1 and a substitution -2.  A stretch counts if it
-has ``min_words`` words (or the whole item, if shorter) and at least
-``min_match`` of them agree.
+windows; around each hit the two texts are laid side by side, and the longest
+stretch between two equal words in which at least ``min_match`` of the words
+agree is taken.  It counts if it has ``min_words`` words (or the whole item, if
+shorter).
 
 The benchmark is read in blocks of ``BLOCK_WORDS`` words; a block's hash tables
 are what is broadcast, so their size is bounded whatever the benchmark's size,
@@ -103,12 +103,22 @@ class SeedTable:
             yield row, item, *found
 
     def _stretch(self, same: np.ndarray, item_words: int) -> tuple[int, int, int] | None:
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        low = np.minimum.accumulate(total)
-        end = int(np.argmax(total - low))
-        start = int(np.argmin(total[: end + 1]))
-        n, m = end - start, int(same[start:end].sum())
-        return (start, n, m) if n >= min(self.min_words, item_words) and m >= self.min_match * n else None
+        """(start, words, matches) of the longest stretch between two matches that has enough of them.
+
+        With a match worth 1 - min_match and a substitution -min_match, those
+        are the stretches whose sum isn't negative; ``low`` is the least prefix
+        sum before a match up to each place.
+        """
+        total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - self.min_match, -self.min_match))])
+        low = np.minimum.accumulate(np.where(same, total[:-1], np.inf))
+        ends = np.flatnonzero(same) + 1
+        if not len(ends):
+            return None
+        starts = np.searchsorted(-low, -total[ends] - 1e-9, "left")
+        best = int(np.argmax(ends - starts))
+        start, n = int(starts[best]), int(ends[best] - starts[best])
+        m = int(same[start : start + n].sum())
+        return (start, n, m) if n >= min(self.min_words, item_words) else None
 
 
 def seed_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS, **options) -> Iterator[SeedTable]:

@@ -109,7 +109,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     gaps = F.transform(F.concat("removed_runs", edge), lambda r, i: F.struct((F.coalesce(F.get(F.col("removed_runs"), i - 1)["last"], F.lit(-1)) + 1).alias("a"), r["first"].alias("b")))
     kept = F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(F.col("_lines"), g["a"] + 1, g["b"] - g["a"]))), "\n")
     out = joined.withColumns({"removed_runs": found, "n_removed": removed, "_lines": lines}).withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)))
-    return out.withColumn(text, F.when(F.size("removed_runs") > 0, kept).otherwise(F.col(text))).select(*docs.columns, "n_lines", "n_removed", "removed_runs")
+    return out.withColumn(text, F.when(F.size("removed_runs") > 0, kept).otherwise(F.col(text))).select(*(c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_runs")), "n_lines", "n_removed", "removed_runs")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -104,15 +104,16 @@ def mix_documents(
     text: str = "text",
     source: str = "source",
     doc_id: str = "doc_id",
+    row_id: str | None = None,
     budget: float | None = None,
     max_copies: int = MAX_COPIES,
     seed: int = SEED,
 ) -> DataFrame:
     """(_row, doc_id, source, size, source_size, target, copies) for each document.
 
-    ``_row`` numbers the rows of ``docs`` as ``with_row`` does.
+    ``_row`` numbers the rows, or is the unique column that ``row_id`` names.
     """
-    narrow = docs.select(F.monotonically_increasing_id().alias("_row") if "_row" not in docs.columns else F.col("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"))
+    narrow = docs.select((F.monotonically_increasing_id() if row_id is None else F.col(row_id)).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"))
     sizes = durable(narrow, "mix-sizes")
     targets = durable(source_targets(sizes, weights, budget, max_copies), "mix-targets")
     if targets.count() <= BROADCAST_SOURCES:
@@ -138,13 +139,17 @@ def mix_documents(
     return out.select("_row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
-def mixed_corpus(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), **options) -> DataFrame:
+def mixed_corpus(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), *, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
+    # columns by place, so that their names can't clash with those in here
+    names = docs.columns
+    by_place = {name: f"c{i}" for i, name in enumerate(names)}
     # the numbers must be the same for every reader, so rows are written with them
-    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    copies = mix_documents(rows, weights, **options).where("copies > 0").select(F.col("_row").alias("_taken"), "copies")
+    rows = durable(docs.toDF(*by_place.values()).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    chosen = mix_documents(rows, weights, text=by_place[text], source=by_place[source], doc_id=by_place[doc_id], row_id="_row", **options)
+    copies = chosen.where("copies > 0").select(F.col("_row").alias("_taken"), "copies")
     out = rows.join(copies, F.col("_row") == F.col("_taken"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*by_place.values()).toDF(*names)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -310,14 +310,18 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     fate = found.join(keeper, "part").select(F.col("doc_id").alias("_d"), F.col("set_key").alias("_s"), (order == F.col("k")).alias("_keep"), F.col("rows").alias("_rows"))
     drop = fate.where("NOT _keep")
     again = fate.where("_keep AND _rows > 1")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    keyed = docs.withColumn("_text", F.col(text)).mapInArrow(_keyed(k), f"{fields}, n_shingles long, set_key long")
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("set_key") == F.col("_s"))
+    # columns by place, so that their names can't clash with those in here
+    names = docs.columns
+    placed = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields)
+    keyed = placed.withColumn("_text", F.col(own_text)).mapInArrow(_keyed(k), f"{fields}, n_shingles long, set_key long")
+    same = F.col(own_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("set_key") == F.col("_s"))
     left = keyed.join(drop, same, "left_anti")
-    if again.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(again, same, "left_semi").dropDuplicates([doc_id, "set_key"])
-    return left.join(again, same, "left_anti").unionAll(once).select(*docs.columns)
+    if not again.isEmpty():
+        once = left.join(again, same, "left_semi").dropDuplicates([own_id, "set_key"])
+        left = left.join(again, same, "left_anti").unionAll(once)
+    return left.select(*placed.columns).toDF(*names)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

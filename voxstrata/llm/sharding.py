@@ -54,14 +54,14 @@ def shard_records(
     of them, are summed first; rows are then numbered inside a part only.
     """
     part = F.pmod(F.xxhash64(F.lit(seed + 1), *key, *spread), F.lit(slot_parts)).cast("int")
-    placed = df.withColumns({"shard": rendezvous([F.col(c) for c in key], weights, seed), "_part": part})
-    sizes = placed.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("shard").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_part").orderBy(*key, *spread)
+    placed = df.withColumns({"shard": rendezvous([F.col(c) for c in key], weights, seed), "_rdv_part": part})
+    sizes = placed.groupBy("shard", "_rdv_part").agg(F.count(F.lit(1)).alias("_rdv_n"))
+    before = Window.partitionBy("shard").orderBy("_rdv_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("shard").alias("_rdv_s"), F.col("_rdv_part").alias("_rdv_p"), F.coalesce(F.sum("_rdv_n").over(before), F.lit(0)).alias("_rdv_start"))
+    inside = Window.partitionBy("shard", "_rdv_part").orderBy(*key, *spread)
     # starts has at most len(weights) * slot_parts rows of three numbers
-    rows = placed.join(F.broadcast(starts), (F.col("shard") == F.col("_s")) & (F.col("_part") == F.col("_p")))
-    return rows.withColumn("slot", (F.col("_start") + F.row_number().over(inside) - 1).cast("long")).drop("_s", "_p", "_part", "_start")
+    rows = placed.join(F.broadcast(starts), (F.col("shard") == F.col("_rdv_s")) & (F.col("_rdv_part") == F.col("_rdv_p")))
+    return rows.withColumn("slot", (F.col("_rdv_start") + F.row_number().over(inside) - 1).cast("long")).drop("_rdv_s", "_rdv_p", "_rdv_part", "_rdv_start")
 
 
 def text_facts(df: DataFrame, text: str = "text", overhead: int = 16) -> DataFrame:
