@@ -115,4 +115,5 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs)
-    return out.select("doc_id", "n_lines", "n_removed", "removed_runs", F.length("text").alias("kept_chars"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_crc32"))
+    spans = F.array_join(F.transform("removed_runs", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string"))), ",")
+    return out.select("doc_id", "n_lines", "n_removed", spans.alias("removed_runs"), F.coalesce(F.length("text"), F.lit(0)).alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
