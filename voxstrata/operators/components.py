@@ -46,7 +46,7 @@ def _roots_kernel(foreground: DataFrame, grid: Grid, connectivity: int, same: tu
         index = (z.astype(np.int64) * grid.height + y) * grid.width + x
         return table.append_column("idx", pa.array(index)).append_column("root", pa.array(roots[z, y, x].astype(np.int64)))
 
-    chosen = foreground.select("volume_id", "z", "y", "x", *same)
+    chosen = foreground.select("volume_id", *(F.col(c).cast("int").alias(c) for c in ("z", "y", "x", *same)))
     return chosen.groupBy("volume_id").applyInArrow(run, f"volume_id string, z int, y int, x int, {''.join(f'{c} int, ' for c in same)}idx long, root long")
 
 

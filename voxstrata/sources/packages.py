@@ -92,3 +92,34 @@ def coverage(cases: DataFrame) -> dict:
     if row.spacings < 2:
         failures.append("fewer than two Z spacings")
     return {**row.asDict(), "passed": not failures, "failures": failures}
+
+
+def write_package(exported: DataFrame, records: DataFrame, directory: str) -> DataFrame:
+    """Writes <volume>.f32.raw or .i32.raw, a label stack and <volume>.json; returns (volume_id, path, bytes).
+
+    ``directory`` is a URI that every executor reaches; each volume is written by
+    one task, under a temporary name that is moved at the end, so a task that is
+    run again leaves whole files only.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            store, root = fs.FileSystem.from_uri(directory)
+            store.create_dir(root, recursive=True)
+            rows = []
+            for row in batch.to_pylist():
+                stem = row["volume_id"].replace("/", "_")
+                files = {f"{stem}.{row['kind']}.raw": row["payload"], f"{stem}.json": row["record"].encode()}
+                if row["label_tiff"] is not None:
+                    files[f"{stem}.labels.tif"] = row["label_tiff"]
+                for name, body in files.items():
+                    with store.open_output_stream(f"{root}/.{name}.part") as out:
+                        out.write(body)
+                    store.move(f"{root}/.{name}.part", f"{root}/{name}")
+                    rows.append((row["volume_id"], f"{root}/{name}", len(body)))
+            ids, paths, sizes = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["volume_id", "path", "bytes"])
+
+    return exported.join(records, "volume_id").mapInArrow(run, "volume_id string, path string, bytes long")
