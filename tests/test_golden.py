@@ -287,3 +287,45 @@ def test_smoothing_is_the_window_mean(spark):
     p = np.pad(a, 1, mode="edge")
     expected = sum(p[i : i + 4, j : j + 3, k : k + 5] for i in range(3) for j in range(3) for k in range(3)) / 27
     assert array_of(stencil.smooth(field_of(spark, a), 1, Kernel.MEAN), a.shape) == pytest.approx(expected, abs=1e-5)
+
+
+def test_wall_thickness(spark):
+    a = np.zeros((7, 7, 7))
+    a[3] = 1  # a plane one voxel thick is gone after the first opening
+    run = lambda m, start=1: segmentation.wall_thickness(field_of(spark, m), grid_of(m), start).first().thickness
+    assert run(a) == 2 and run(np.ones((3, 3, 3))) == 6 and run(np.zeros((3, 3, 3)), 2) == 4
+
+
+def test_watershed_against_a_scalar_version():
+    rng = np.random.default_rng(4)
+    level = (rng.integers(0, 257, (3, 5, 6)) / 256).astype(np.float32)
+    seeds = np.full(level.shape, -1, np.int32)
+    seeds[0, 0, 0], seeds[2, 4, 5], seeds[1, 2, 2] = 3, 5, 9
+    order = ((-1, 0, 0), (0, 0, -1), (0, -1, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0))
+
+    def near(labels, p):
+        for d in order:
+            q = tuple(i + j for i, j in zip(p, d, strict=True))
+            if all(0 <= i < n for i, n in zip(q, labels.shape, strict=True)):
+                yield labels[q]
+
+    def grow(labels, top):
+        out = labels.copy()
+        for p in np.ndindex(labels.shape):
+            if labels[p] < 0 and level[p] <= top:
+                out[p] = next((v for v in near(labels, p) if v >= 0), -1)
+        return out
+
+    labels = seeds
+    for i in range(1, 257):
+        while True:
+            grown = grow(labels, np.float32(i / 256))
+            if (grown == labels).all():
+                break
+            labels = grown
+        opened = labels.copy()
+        for p in np.ndindex(labels.shape):
+            if labels[p] >= 0 and any(v != labels[p] for v in near(labels, p)):
+                opened[p] = -1
+        labels = grow(opened, np.float32(np.inf))
+    assert (dense.watershed(level, seeds) == labels).all()

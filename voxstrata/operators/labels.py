@@ -113,6 +113,7 @@ def select_by_mean(labels: DataFrame, field: DataFrame, level: float) -> DataFra
 
 def render_labels(labels: DataFrame, selected: list[int]) -> DataFrame:
     """(…, red, green, blue) 0..255: a colour from the id, one for the selection, black for background."""
+    # Start and step of each colour by id, and the colour of the selection.
     colours = {"red": (53, 97, 255), "green": (151, 57, 218), "blue": (211, 31, 74)}
 
     def channel(start: int, step: int, chosen: int):

@@ -129,6 +129,16 @@ def segmentation_from_response(field: DataFrame, found: DataFrame, grid: Grid, s
     return _staged(_with_outside(field.join(found, ["volume_id", "z", "y", "x"]), grid, crop), grid, masks, options)
 
 
+def wall_thickness(field: DataFrame, grid: Grid, start_radius: int = 1) -> DataFrame:
+    """(volume_id, thickness): twice the first radius whose chunked opening leaves at most half of sum |v|."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = dense.wall_thickness(to_array(table, grid, "v", np.float32), start_radius)
+        return pa.table({"volume_id": pa.array([table.column("volume_id")[0].as_py()]), "thickness": pa.array([found], pa.int32())})
+
+    return field.groupBy("volume_id").applyInArrow(run, "volume_id string, thickness int")
+
+
 def require_labels(labels: DataFrame) -> None:
     if labels.where("label < -1").limit(1).count():
         raise InvalidState("labels are -1 or more")

@@ -272,6 +272,26 @@ def threshold_sweep(spark, sf_dir):
     return segmentation.threshold_sweep(field, G, t - 1, t + 1, 1.0, closing=1, min_size=3, min_invalid_area=20.0).select("z", "y", "x", "label", "passes")
 
 
+@query
+def threshold_sweep_final(spark, sf_dir):
+    """A sweep of one pass, which takes every component."""
+    field = volume(spark, sf_dir)
+    t = middle(field)
+    return show(segmentation.threshold_sweep(field, G, t - 1, t - 1, 1.0, closing=1, min_size=1, min_invalid_area=0.0, crop=Crop(1, 5, 1)))
+
+
+@query
+def directional_segmentation_final(spark, sf_dir):
+    field = volume(spark, sf_dir)
+    return show(segmentation.directional_segmentation(field, G, radius=1, level=1, kernel=Kernel.MEAN, low=0.4, high=0.4, step=1.0, z_factor=0.5, closing=0, min_size=2))
+
+
+@query
+def wall_thickness(spark, sf_dir):
+    field = volume(spark, sf_dir)
+    return segmentation.wall_thickness(pointwise.threshold(field, middle(field)), G).select("thickness")
+
+
 # components and watershed
 
 

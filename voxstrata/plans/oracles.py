@@ -186,6 +186,16 @@ SELECT z, y, x, CASE WHEN v - i < 0.001 THEN CAST(0.8 AS DOUBLE) ELSE 0.0 END AS
     "work_estimate": "SELECT CAST(3850 AS BIGINT) AS voxels, CAST(81 AS BIGINT) AS directions, CAST(4 * 6 AS BIGINT) AS line_samples, CAST(3850 * 81 * 24 AS BIGINT) AS work_items, CAST(3850 * 16 + 12 * 81 AS BIGINT) AS host_bytes, CAST(1 AS BIGINT) AS passes",
     "directional_threshold": _with("SELECT z, y, x, CASE WHEN v > least - (0.4 * (1 - alpha) + 0.2 * alpha) THEN CAST(0.8 AS DOUBLE) ELSE 0.0 END AS v FROM vol JOIN least_ USING (z, y, x)", *_directional()),
     "directional_response": _with("SELECT z, y, x, round(least, 2) AS least FROM least_", *_directional()),
+    "threshold_sweep_final": _components(
+        "(SELECT z, y, x FROM closed WHERE v <= 0.1 AND x BETWEEN 1 AND 48 AND y BETWEEN 1 AND 9 AND z BETWEEN 1 AND 5)", 1, _labelled(2),
+        "m AS (SELECT z, y, x, CASE WHEN v >= t - 1 THEN 0.8 ELSE 0 END AS v FROM vol, t)", f"dil AS ({_extreme('max', _ball(1), 'm')})", f"closed AS ({_extreme('min', _ball(1), 'dil')})",
+    ),
+    "directional_segmentation_final": _components("(SELECT z, y, x FROM vol JOIN least_ USING (z, y, x) WHERE NOT v > least - (0.4 * (1 - alpha) + 0.2 * alpha))", 1, _labelled(3), *_directional()),
+    # radius 1 or 2 is enough on these tables; a wider wall would show as null
+    "wall_thickness": _with(
+        "SELECT CAST(CASE WHEN (SELECT sum(v) FROM o1) <= total / 2 THEN 2 WHEN (SELECT sum(v) FROM o2) <= total / 2 THEN 4 END AS INT) AS thickness FROM (SELECT sum(v) AS total FROM m)",
+        "m AS (SELECT z, y, x, CAST(v >= t AS DOUBLE) AS v FROM vol, t)", f"e1 AS ({_extreme('min', _ball(1), 'm')})", f"o1 AS ({_extreme('max', _ball(1), 'e1')})", f"e2 AS ({_extreme('min', _ball(2), 'm')})", f"o2 AS ({_extreme('max', _ball(2), 'e2')})",
+    ),
     "components_6": _components("(SELECT * FROM vol, t WHERE v >= t)", 1, _labelled(1)),
     "components_18": _components("(SELECT * FROM vol, t WHERE v >= t + 2)", 2, _labelled(2)),
     "components_26": _components("(SELECT * FROM vol, t WHERE v >= t + 3)", 3, _labelled(3)),
