@@ -172,9 +172,9 @@ def test_directional_sweep_from_a_response(spark):
     least[0, 2, 0] = 1
     for x, y in RING:
         least[0, y, x] = 1
-    found = field_of(spark, least).withColumnRenamed("v", "least").selectExpr("*", "0D AS alpha")
+    found = field_of(spark, least).withColumnRenamed("v", "least").selectExpr("*", "0D AS alpha", "0D AS v")
     options = {"closing_radius": 0, "more_than": 0, "invalid_area": 0.0}
-    got = segmentation.segmentation_from_response(field_of(spark, a), found, grid_of(a), W.ascending_schedule(0, 0.1, 0.1), 0.2, options)
+    got = segmentation.segmentation_from_response(found, grid_of(a), W.ascending_schedule(0, 0.1, 0.1), 0.2, options)
     labels = array_of(got, a.shape, "label")
     assert labels[0, 2, 0] == 0 and all(labels[0, y, x] == 1 for x, y in RING) and labels[0, 2, 5] == -1
 

@@ -13,7 +13,7 @@ from .volumes import per_slab
 
 
 def response(field: DataFrame, grid: Grid, radius: int, level: int, kernel: Kernel, engine: str = "kernel") -> DataFrame:
-    """(volume_id, z, y, x, least, alpha).  Engine "kernel" runs on slabs with a halo of ``radius``, "rows" on joins."""
+    """(volume_id, z, y, x, v, least, alpha); v is rounded to float32.  Engine "kernel" runs on slabs with a halo of ``radius``, "rows" on joins."""
     enforce(estimate(grid.width, grid.height, grid.depth, radius, level))
     if engine == "rows":
         return _response_rows(field, grid, radius, level, kernel)
@@ -21,9 +21,10 @@ def response(field: DataFrame, grid: Grid, radius: int, level: int, kernel: Kern
 
     def run(planes: np.ndarray, first: int, last: int, base: int) -> dict[str, np.ndarray]:
         least, alpha = dense.response(planes, radius, level, gaussian, first, last, base, depth)
-        return {"least": least.astype(np.float64), "alpha": alpha.astype(np.float64)}
+        own = planes[first - base : last - base]
+        return {"v": own.astype(np.float64), "least": least.astype(np.float64), "alpha": alpha.astype(np.float64)}
 
-    return per_slab(field, grid, radius + 1, run, "least double, alpha double")
+    return per_slab(field, grid, radius + 1, run, "v double, least double, alpha double")
 
 
 def _response_rows(field: DataFrame, grid: Grid, radius: int, level: int, kernel: Kernel) -> DataFrame:
@@ -54,17 +55,17 @@ def _response_rows(field: DataFrame, grid: Grid, radius: int, level: int, kernel
     values = field.select("volume_id", F.col("z").alias("qz"), F.col("y").alias("qy"), F.col("x").alias("qx"), "v")
     sums = wanted.join(values, ["volume_id", "qz", "qy", "qx"]).groupBy("volume_id", "z", "y", "x", "r", "d", "alpha").agg(F.sum(F.col("cw") * F.col("v")).alias("s"))
     least = sums.groupBy("volume_id", "z", "y", "x").agg(F.min(F.struct(F.round("s", 9).alias("s"), (-F.col("r")).alias("r"), "d", "alpha")).alias("m"))
-    return least.select("volume_id", "z", "y", "x", F.col("m.s").alias("least"), F.col("m.alpha").alias("alpha"))
+    found = least.select("volume_id", "z", "y", "x", F.col("m.s").alias("least"), F.col("m.alpha").alias("alpha"))
+    return field.join(found, ["volume_id", "z", "y", "x"]).select("volume_id", "z", "y", "x", "v", "least", "alpha")
 
 
-def apply_response(field: DataFrame, found: DataFrame, constant: float, z_factor: float) -> DataFrame:
+def apply_response(found: DataFrame, constant: float, z_factor: float) -> DataFrame:
     """MASK where v > least - (C (1 - alpha) + C z_factor alpha), else 0."""
     if z_factor < 0:
         raise InvalidArgument("the Z factor must not be negative")
     correction = F.lit(float(constant)) * (1 - F.col("alpha")) + F.lit(float(constant * z_factor)) * F.col("alpha")
-    keys = ["volume_id", "z", "y", "x"]
-    return field.join(found, keys).select(*keys, F.when(F.col("v") > F.col("least") - correction, F.lit(MASK)).otherwise(F.lit(0.0)).alias("v"))
+    return found.select("volume_id", "z", "y", "x", F.when(F.col("v") > F.col("least") - correction, F.lit(MASK)).otherwise(F.lit(0.0)).alias("v"))
 
 
 def directional_threshold(field: DataFrame, grid: Grid, *, radius: int, level: int = 2, kernel: Kernel = Kernel.GAUSSIAN, constant: float = 0.0, z_factor: float = 0.2, engine: str = "kernel") -> DataFrame:
-    return apply_response(field, response(field, grid, radius, level, kernel, engine), constant, z_factor)
+    return apply_response(response(field, grid, radius, level, kernel, engine), constant, z_factor)

@@ -113,10 +113,10 @@ def directional_segmentation(
         raise InvalidArgument("the Z factor must not be negative")
     enforce(estimate(grid.width, grid.height, grid.depth, radius, level, schedule))
     found = durable(response(field, grid, radius, level, kernel), "response")
-    return segmentation_from_response(field, found, grid, schedule, z_factor, options, crop)
+    return segmentation_from_response(found, grid, schedule, z_factor, options, crop)
 
 
-def segmentation_from_response(field: DataFrame, found: DataFrame, grid: Grid, schedule: list[float], z_factor: float, options: dict, crop: Crop | None = None) -> DataFrame:
+def segmentation_from_response(found: DataFrame, grid: Grid, schedule: list[float], z_factor: float, options: dict, crop: Crop | None = None) -> DataFrame:
     def masks(table: pa.Table):
         v, least, alpha = (to_array(table, grid, c, np.float32) for c in ("v", "least", "alpha"))
 
@@ -126,7 +126,7 @@ def segmentation_from_response(field: DataFrame, found: DataFrame, grid: Grid, s
 
         return [lambda c=c: mask(c) for c in schedule]
 
-    return _staged(_with_outside(field.join(found, ["volume_id", "z", "y", "x"]), grid, crop), grid, masks, options)
+    return _staged(_with_outside(found, grid, crop), grid, masks, options)
 
 
 def wall_thickness(field: DataFrame, grid: Grid, start_radius: int = 1) -> DataFrame:

@@ -23,15 +23,23 @@ def _others(axis: str) -> list[str]:
     return coordinates(without=axis)
 
 
-def lines(field: DataFrame, axis: str) -> DataFrame:
-    """One row per line along an axis: the other coordinates and ``vs`` in order."""
-    gathered = field.groupBy(*_others(axis)).agg(F.array_sort(F.collect_list(F.struct(axis, "v"))).alias("vs"))
-    return gathered.withColumn("vs", F.transform("vs", lambda p: p["v"]))
+def lines(field: DataFrame, axis: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per line along an axis: the other coordinates, ``vs`` in order, and columns to keep likewise."""
+    gathered = field.groupBy(*_others(axis)).agg(F.array_sort(F.collect_list(F.struct(axis, "v", *keep))).alias("vs"))
 
+    def part(name: str) -> Column:
+        return F.transform("vs", lambda p: p[name])
 
-def spread(lined: DataFrame, axis: str) -> DataFrame:
-    rows = lined.select(*_others(axis), F.posexplode("vs").alias(axis, "v"))
-    return rows.select("volume_id", *(c for c in ("z", "y", "x") if c in rows.columns), "v")
+    return gathered.withColumns({name: part(name) for name in keep}).withColumn("vs", part("v"))
+
+
+def spread(lined: DataFrame, axis: str, keep: Sequence[str] = ()) -> DataFrame:
+    if not keep:
+        rows = lined.select(*_others(axis), F.posexplode("vs").alias(axis, "v"))
+    else:
+        rows = lined.select(*_others(axis), F.posexplode(F.arrays_zip(F.col("vs").alias("v"), *keep)).alias(axis, "p"))
+        rows = rows.select("*", "p.*").drop("p")
+    return rows.select("volume_id", *(c for c in ("z", "y", "x") if c in rows.columns), "v", *keep)
 
 
 def correlate(values: Column, weights: Sequence[float], single: bool = True) -> Column:
@@ -47,12 +55,13 @@ def correlate(values: Column, weights: Sequence[float], single: bool = True) ->
     return F.transform(F.sequence(F.lit(0), last), at)
 
 
-def convolve_axis(field: DataFrame, axis: str, weights: Sequence[float], single: bool = True) -> DataFrame:
+def convolve_axis(field: DataFrame, axis: str, weights: Sequence[float], single: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """Correlation along an axis; columns in ``keep`` go along unchanged."""
     if len(weights) % 2 != 1:
         raise InvalidArgument("an axis kernel has an odd number of weights")
     if len(weights) == 1 and weights[0] == 1.0:
         return field
-    return spread(lines(field, axis).withColumn("vs", correlate(F.col("vs"), weights, single)), axis)
+    return spread(lines(field, axis, keep).withColumn("vs", correlate(F.col("vs"), weights, single)), axis, keep)
 
 
 def smooth(field: DataFrame, radius: int, kernel: Kernel) -> DataFrame:
@@ -67,24 +76,22 @@ def smooth(field: DataFrame, radius: int, kernel: Kernel) -> DataFrame:
     return field.withColumn("v", F.col("v").cast("float").cast("double"))
 
 
-def local_level(field: DataFrame, radius: int, kernel: Kernel, axes: str) -> DataFrame:
+def local_level(field: DataFrame, radius: int, kernel: Kernel, axes: str, keep: Sequence[str] = ()) -> DataFrame:
     weights = line_weights(radius, kernel == Kernel.GAUSSIAN)
     for axis in axes:
-        field = convolve_axis(field, axis, weights)
+        field = convolve_axis(field, axis, weights, keep=keep)
     return field
 
 
 def adaptive_threshold(field: DataFrame, radius: int, kernel: Kernel, constant: float, axes: str = "xy") -> DataFrame:
     """MASK where v > local level - constant, else 0; axes "xy" (planar) or "xyz".
 
-    The field and its level meet on their coordinates; both come out of passes
-    over whole lines, so no coordinate is missing.
+    A voxel's own value goes along the passes, so no join brings it back.
     """
     if not 0 <= radius <= 100:
         raise InvalidArgument("radius must be between 0 and 100")
-    keyed = ["volume_id", "z", "y", "x"]
-    level = local_level(field, radius, kernel, axes).withColumnRenamed("v", "level")
-    return field.join(level, keyed).select(*keyed, F.when(F.col("v") > F.col("level") - float(constant), F.lit(MASK)).otherwise(F.lit(0.0)).alias("v"))
+    level = local_level(field.select("volume_id", "z", "y", "x", "v", F.col("v").alias("own")), radius, kernel, axes, ["own"])
+    return level.select("volume_id", "z", "y", "x", F.when(F.col("own") > F.col("v") - float(constant), F.lit(MASK)).otherwise(F.lit(0.0)).alias("v"))
 
 
 def extreme_axis(field: DataFrame, axis: str, radius: int, largest: bool) -> DataFrame:
