@@ -19,7 +19,8 @@ Expressions only; the work is linear in the lines (a window has at most
 on hot windows are splittable.
 
 Defined cases: null and empty texts have no lines with words and stay as they
-are; lines are compared without white space around them; rows that repeat doc_id
+are; lines are compared without white space around them, and tabs in them
+count as spaces; rows that repeat doc_id
 and text are one document and get one result each; equal texts with different
 ids lose all lines but those of the first, if they have enough words; a null
 doc_id sorts first; columns of the input are kept, those named like an added
