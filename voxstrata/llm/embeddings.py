@@ -74,13 +74,16 @@ def choose_pivots(classes: DataFrame, count: int, per_length: int = 2) -> dict[i
     """Thinned unit pivots by vector length: a sample by hash of at most per_length * MAX_PIVOTS."""
     wanted = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 ** np.ceil(np.log2(4 * max(count, 1) ** 0.5)))))
     sample = classes.orderBy(F.xxhash64(F.lit(5), "n", "raw"), "n", "raw").limit(per_length * wanted).select("n", "raw").collect()
-    pivots: dict[int, list[np.ndarray]] = {}
+    pivots: dict[int, np.ndarray] = {}
+    used: dict[int, int] = {}
     for row in sample:
-        v = _unit(np.frombuffer(row.raw, "<f4" if len(row.raw) == 4 * row.n else "<f8").astype(np.float64)[None])
-        have = pivots.setdefault(row.n, [])
-        if len(have) < wanted and (not have or float(np.max(np.concatenate(have) @ v[0])) < THIN_COSINE):
-            have.append(v)
-    return {n: np.concatenate(vs) for n, vs in pivots.items()}
+        v = _unit(np.frombuffer(row.raw, "<f4" if len(row.raw) == 4 * row.n else "<f8").astype(np.float64)[None])[0]
+        table = pivots.setdefault(row.n, np.zeros((wanted, row.n)))
+        have = used.get(row.n, 0)
+        if have < wanted and (have == 0 or float(np.max(table[:have] @ v)) < THIN_COSINE):
+            table[have] = v
+            used[row.n] = have + 1
+    return {n: table[: used[n]] for n, table in pivots.items()}
 
 
 def _postings(shared, nearest: int, needed: int):
