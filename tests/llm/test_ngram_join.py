@@ -58,6 +58,24 @@ def test_passages_shared_by_many_documents(spark):
     assert got(data.frame(spark, rows)) == brute(rows)
 
 
+def test_links_of_every_document(spark):
+    rng = random.Random(5)
+    base = data.text(rng, 60)
+    rows = data.awkward(rng) + [(200 + i, data.near(rng, base, i % 5), "en", "a", 0) for i in range(60)]
+    sets = [shingles(r[1]) for r in rows]
+    linked = [[bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for b in sets] for a in sets]
+    expected = sorted(((r[0], sum(linked[i]) - linked[i][i]) for i, r in enumerate(rows)), key=str)
+    df = data.clashing(data.frame(spark, rows))
+    for block in (ngram_join.BLOCK, 7):
+        found = ngram_join.near_duplicate_components(df, count_links=True, block=block).collect()
+        assert sorted(((r.doc_id, r.n_links) for r in found), key=str) == expected
+        pairs = [tuple(r) for r in ngram_join.linked_class_pairs(df, block=block).collect()]
+        classes = {frozenset(s) for s in sets if s}
+        assert len(pairs) == len(set(pairs)) == sum(100 * len(a & b) >= 75 * len(a | b) for a in classes for b in classes if a != b) // 2
+    assert max(n for _, n in expected) > 7 + 1
+    assert ngram_join.near_duplicate_components(data.empty(spark), count_links=True).count() == 0
+
+
 def test_empty_table(spark):
     assert got(data.empty(spark)) == []
 

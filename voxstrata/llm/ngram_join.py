@@ -12,8 +12,8 @@ documents link if their sets' Jaccard similarity is at least 3/4.
    the shingle in both orders, expanded to their member classes, and members are
    verified on their whole sets.
 
-Links are wanted only as components, and a group of near copies may be large,
-so the pairs of a list are not enumerated.  First every member of a list is
+Components come first; a group of near copies may be large, so for them the
+pairs of a list are not enumerated.  First every member of a list is
 verified against the list's *hub*, the member that stands in most lists, and
 what that connects is merged.  Then the rest is made whole: in every list that
 still has several components, each pair of classes from different components is
@@ -21,6 +21,12 @@ verified, except pairs inside the list's largest component.  No link between
 components can be missed by this: a linked pair is in some list, and it is
 verified there unless its two classes are in one component already.
 
+Links are counted, or given as pairs of classes, on the whole: every link lies
+inside a component, so all pairs of a component's classes are verified on their
+whole sets.  A component is cut into blocks of at most about ``BLOCK`` classes
+and ``BLOCK_SHINGLES`` shingles; pairs of blocks are separate tasks, small
+components share tasks, and a task returns numbers for its classes.
+
 Defined cases: null or empty texts and texts without words have an empty set
 and link with nothing; fewer than 5 words make one shingle; repeated rows are
 one class; a null doc_id counts as a row, and a component has the least non-null
@@ -48,6 +54,9 @@ SKETCH = 1 << 21
 _SKETCH_BLOCK = 1 << 13
 #: Jaccard threshold as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
+#: Classes and shingles of a block of a component whose links are counted.
+BLOCK, BLOCK_SHINGLES = 1_024, 1 << 18
+_COLUMNS = 4_096
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -216,6 +225,13 @@ def _may_link(a: str, b: str):
 
 def link_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
     """(node, component) for each class that links with another; see the module's text."""
+    parts, texts = _linked(docs, text, k)
+    texts.drop()
+    return parts
+
+
+def _linked(docs: DataFrame, text: str, k: int) -> tuple[DataFrame, DurableTable]:
+    """What ``link_classes`` gives, and (grp, key, n, packed) of every class that may link."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(shingle_sketch(docs, text, k))
     raw = docs.select(text)
@@ -259,9 +275,99 @@ def link_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataF
     if not more.df.isEmpty():
         edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more.df)
         parts = durable(connected_components(edges, "a", "b"), "ngram-parts")
-    for table in (lists, texts, expanded, rows, more):
+    for table in (lists, expanded, rows, more):
         table.drop()
-    return parts
+    return parts, texts
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common shingles of each set in left with each in right."""
+    out = np.zeros((len(left), len(right)), np.float64)
+    sides = []
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for sets in (left, right):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+        held = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], row[held][order]))
+    for c in range(0, len(both), _COLUMNS):
+        width = min(_COLUMNS, len(both) - c)
+        hot = []
+        for (at, row), n in zip(sides, (len(left), len(right)), strict=True):
+            a, b = np.searchsorted(at, [c, c + width])
+            m = np.zeros((n, width), np.float32)
+            m[row[a:b], at[a:b] - c] = 1
+            hot.append(m)
+        out += hot[0] @ hot[1].T
+    return out
+
+
+def _count_links(k: int, pairs: bool):
+    """Classes of a task's components and blocks to (key, links), or to the linked (a, b) with a < b."""
+
+    def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        table = table.sort_by("part").combine_chunks()
+        block_a, block_b = table.column("block_a")[0].as_py(), table.column("block_b")[0].as_py()
+        part, keys, copies, side = (table.column(c).to_numpy() for c in ("part", "key", "copies", "block"))
+        unpack = zstandard.ZstdDecompressor()
+        raw = pa.array([unpack.decompress(x.as_py()) for x in table.column("packed").combine_chunks()], pa.large_binary())
+        sets = [s for _, _, data, offs in text_chunks(raw.cast(pa.large_string())) for s in shingle_sets(data, offs, k)]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        links = np.zeros(len(keys), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            left, right = (lo + np.flatnonzero(side[lo:hi] == b) for b in (block_a, block_b))
+            if not len(left) or not len(right):
+                continue
+            common = _common([sets[i] for i in left], [sets[i] for i in right])
+            ok = DENOMINATOR * common >= NUMERATOR * (sizes[left][:, None] + sizes[right] - common)
+            if block_a == block_b:
+                np.fill_diagonal(ok, False)
+            if pairs:
+                i, j = np.nonzero(ok)
+                once = slice(None) if block_a != block_b else i < j
+                found.append((keys[left[i[once]]], keys[right[j[once]]]))
+                continue
+            links[left] += ok @ copies[right]
+            if block_a != block_b:
+                links[right] += copies[left] @ ok
+        trim_memory()
+        if pairs:
+            a, b = (np.concatenate([f[side] for f in found] or [np.zeros(0, np.int64)]) for side in (0, 1))
+            return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        out = np.flatnonzero(links)
+        return pa.table({"key": pa.array(keys[out], pa.int64()), "links": pa.array(links[out], pa.int64())})
+
+    return run
+
+
+def _links(parts: DataFrame, texts: DataFrame, copies: DataFrame, k: int, *, pairs: bool = False, block: int = BLOCK) -> DataFrame:
+    """All links inside components: copies(key, copies) to (key, links to copies of other classes), or the pairs (a, b) of classes."""
+    members = texts.join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")), "key").join(copies, "key")
+    totals = members.groupBy("part").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s"))
+    cut = F.ceil(F.greatest(F.col("_c") / F.lit(block), F.col("_s") / F.lit(BLOCK_SHINGLES))).cast("int")
+    sized = durable(totals.withColumn("cuts", cut), "ngram-cuts")
+    whole = sized.where("cuts = 1").agg(F.sum(F.greatest(F.col("_c") / F.lit(block), F.col("_s") / F.lit(BLOCK_SHINGLES)))).first()[0] or 0
+    # components of one block share tasks that hold about a block together
+    shelf = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("part"), F.lit(int(np.ceil(whole)) or 1))).otherwise(F.col("part"))
+    placed = members.join(sized.select("part", "cuts"), "part").withColumns({"shelf": shelf, "block": F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")})
+    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other"), "single": F.col("cuts") == 1})
+    kept = tasks.select("single", "shelf", "block_a", "block_b", "part", "key", "copies", "block", "packed")
+    found = kept.groupBy("single", "shelf", "block_a", "block_b").applyInArrow(_count_links(k, pairs), "a long, b long" if pairs else "key long, links long")
+    return found if pairs else found.groupBy("key").agg(F.sum("links").alias("links"))
+
+
+def linked_class_pairs(docs: DataFrame, text: str = "text", k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: every pair of different classes, named by set_key, that links.
+
+    The rows grow with the square of a group of near copies.
+    """
+    parts, texts = _linked(docs, text, k)
+    return _links(parts, texts.df, texts.df.select("key", F.lit(1).cast("long").alias("copies")), k, pairs=True, block=block)
 
 
 def _keyed(k: int):
@@ -282,20 +388,27 @@ def _keyed(k: int):
     return run
 
 
-def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, count_links: bool = False, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, set_key, part, component_id for each row of docs.
 
-    ``part`` names the component, also where all its doc_ids are null.
+    ``part`` names the component, also where all its doc_ids are null.  With
+    ``count_links`` also n_links, the number of other rows that the row links with.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     described = durable(narrow.mapInArrow(_keyed(k), "doc_id long, n_shingles long, set_key long"), "ngram-docs")
-    parts = link_classes(narrow, "_text", k)
-    classes = described.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    placed = classes.join(parts, F.col("set_key") == F.col("node"), "left").select("set_key", "least", F.coalesce("component", "set_key").alias("part"))
+    parts, texts = _linked(narrow, "_text", k)
+    classes = described.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    placed = classes.join(parts, F.col("set_key") == F.col("node"), "left").select("set_key", "least", "copies", F.coalesce("component", "set_key").alias("part"))
     ids = placed.groupBy("part").agg(F.min("least").alias("component_id"))
-    of_class = placed.join(ids, "part").select(F.col("set_key").alias("k"), "part", "component_id")
+    of_class = placed.join(ids, "part").select(F.col("set_key").alias("k"), "part", "component_id", "copies")
+    extra = []
+    if count_links:
+        links = durable(_links(parts, texts.df, classes.select(F.col("set_key").alias("key"), "copies"), k, block=block), "ngram-link-counts")
+        of_class = of_class.join(links, F.col("k") == F.col("key"), "left")
+        extra = [F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links")]
+    texts.drop()
     out = described.join(of_class, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", "set_key", "part", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "set_key", "part", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *extra)
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -327,3 +440,9 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicate_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def op1_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """The join with its links: what ``op1_ngram_jaccard_join`` gives and n_links."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicate_components(docs, count_links=True).select("doc_id", "n_shingles", "n_links", "component_id")

@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_ngram_jaccard_join": "ngram_join",
+    "op1_ngram_jaccard_links": "ngram_join",
     "op2_mixing": "mixing",
     "op3_token_counts": "lengths",
     "op4_toxicity": "toxicity",
