@@ -347,15 +347,17 @@ def _count_links(k: int, pairs: bool):
 
 def _links(parts: DataFrame, texts: DataFrame, copies: DataFrame, k: int, *, pairs: bool = False, block: int = BLOCK) -> DataFrame:
     """All links inside components: copies(key, copies) to (key, links to copies of other classes), or the pairs (a, b) of classes."""
-    members = texts.join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")), "key").join(copies, "key")
+    # places first, without the texts, so that these are shuffled as seldom as can be
+    members = texts.select("key", "n").join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")), "key").join(copies, "key")
+    full = F.greatest(F.col("_c") / F.lit(block), F.col("_s") / F.lit(BLOCK_SHINGLES))
     totals = members.groupBy("part").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s"))
-    cut = F.ceil(F.greatest(F.col("_c") / F.lit(block), F.col("_s") / F.lit(BLOCK_SHINGLES))).cast("int")
-    sized = durable(totals.withColumn("cuts", cut), "ngram-cuts")
-    whole = sized.where("cuts = 1").agg(F.sum(F.greatest(F.col("_c") / F.lit(block), F.col("_s") / F.lit(BLOCK_SHINGLES)))).first()[0] or 0
+    sized = durable(totals.select("part", full.alias("full"), F.ceil(full).cast("int").alias("cuts")), "ngram-cuts")
+    shelves = int(np.ceil(sized.where("cuts = 1").agg(F.sum("full")).first()[0] or 0)) or 1
     # components of one block share tasks that hold about a block together
-    shelf = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("part"), F.lit(int(np.ceil(whole)) or 1))).otherwise(F.col("part"))
-    placed = members.join(sized.select("part", "cuts"), "part").withColumns({"shelf": shelf, "block": F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")})
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other"), "single": F.col("cuts") == 1})
+    shelf = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("part"), F.lit(shelves))).otherwise(F.col("part"))
+    placed = members.join(sized, "part").select("key", "part", "copies", "cuts", shelf.alias("shelf"), F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int").alias("block"))
+    spots = durable(placed, "ngram-blocks").join(texts.select("key", "packed"), "key")
+    tasks = spots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other"), "single": F.col("cuts") == 1})
     kept = tasks.select("single", "shelf", "block_a", "block_b", "part", "key", "copies", "block", "packed")
     found = kept.groupBy("single", "shelf", "block_a", "block_b").applyInArrow(_count_links(k, pairs), "a long, b long" if pairs else "key long, links long")
     return found if pairs else found.groupBy("key").agg(F.sum("links").alias("links"))
