@@ -36,6 +36,21 @@ def test_notice_inside_a_long_paragraph(spark, model):
     assert set(sure(got[0])) == {"mit"}
 
 
+def test_wrapped_notices(spark, model):
+    rng = random.Random(21)
+    cases = [
+        ("apache-2.0", "Licensed under the Apache License,\nVersion 2.0"),
+        ("proprietary", "All rights\n  reserved"),
+        ("gpl-3.0", "This work is licensed under the GNU General\r\nPublic License, version 3"),
+        ("gpl-2.0", "This work is licensed under the GNU General\nPublic License, version 2"),
+    ]
+    texts = [f"{data.text(rng, 30)}\n\n{notice}.\n \n{data.text(rng, 90)}" for _, notice in cases]
+    texts += [f"{data.text(rng, 8)}\n{data.text(rng, 8)}\n{cases[0][1]}\n{data.text(rng, 8)}", "Released under the MIT license.\nLicensed under the ISC license.", "All rights\n\nreserved"]
+    got = scan(spark, model, texts)
+    assert [set(sure(got[i])) for i in range(4)] == [{family} for family, _ in cases]
+    assert set(sure(got[4])) == {"apache-2.0"} and set(sure(got[5])) == {"mit", "isc"} and sure(got[6]) == []
+
+
 def test_clean_and_scrambled_texts(spark, model):
     rng = random.Random(19)
     texts = [data.text(rng, 200) for _ in range(30)] + ["the license of the version", "version 2.0 public general the under", "mit and apache are names", "all rights are reserved for members by law and custom"]

@@ -1,7 +1,11 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line with words; one of more than ``WINDOW`` words is read in
-windows of that many words, half overlapping.  Its features are the word
+A paragraph ends at a blank line.  It is read line by line, and one of several
+lines once more as a whole, so that a wrapped notice is in a window; what has
+more than ``WINDOW`` words is read in windows of that many words, half
+overlapping.  A finding across lines counts if it is confirmed and no line in it
+has its family; it replaces a line's finding if that line speaks as much for its
+family as for the line's own.  A window's features are the word
 1- to 3-grams that occur in the notices of ``TEMPLATES``.  Multinomial logistic
 regression over the licence families and one class "unknown" is fitted on
 noisy variants of the notices (words dropped, foreign words around them), on
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import U64, mix64, ngram_hashes, span_hashes, text_chunks, word_spans
+from .textkernel import _SPACE, U64, mix64, ngram_hashes, span_hashes, text_chunks, word_spans
 
 WINDOW = 40
 MIN_PROBABILITY = 0.5
@@ -85,17 +89,24 @@ class LicenseModel:
         self._seen = np.zeros(1 << _BITS, bool)
         self._seen[(self.terms >> U64(64 - _BITS)).astype(np.int64)] = True
 
-    def windows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes, and for each window its row, first word and end."""
+    def windows(self, data: np.ndarray, offs: np.ndarray, wrapped: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes, and for each window its row, first word and end; if wrapped, the windows that cross a newline."""
         starts, ends, rows = word_spans(data, offs, letters_only=True)
         words = span_hashes(data, starts, ends)
-        breaks = np.flatnonzero(data == 10)
+        breaks = lines = np.flatnonzero(data == 10)
+        if wrapped:
+            marks = np.concatenate([[0], np.cumsum(~_SPACE[data])])
+            breaks = lines[1:][marks[lines[1:]] == marks[lines[:-1]]]
         cuts = np.unique(np.concatenate([rows, np.searchsorted(starts, breaks)]))
         a, b = cuts[:-1], cuts[1:]
         half = WINDOW // 2
         n = np.where(b - a <= WINDOW, 1, -(-(b - a - WINDOW) // half) + 1)
         first = np.repeat(a, n) + half * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         last = np.minimum(first + WINDOW, np.repeat(b, n))
+        if wrapped:
+            inner = np.searchsorted(starts, lines)
+            crosses = np.searchsorted(inner, first, "right") < np.searchsorted(inner, last, "left")
+            first, last = first[crosses], last[crosses]
         return words, np.searchsorted(rows, first, "right") - 1, first, last
 
     def features(self, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +137,33 @@ class LicenseModel:
         return max(float(np.isin(notice, have).mean()) for notice in self.bigrams[family])
 
     def scan(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, float, float]]:
-        """(row, first word in row, words, family, probability, similarity) of windows of a known family."""
-        words, row, first, last = self.windows(data, offs)
+        """(row, first word in row, words, family, probability, similarity) of windows of a known family, in text order."""
+        found = list(self._scan(data, offs, False))
+        across = [f for f in self._scan(data, offs, True) if f[5] >= MIN_SIMILARITY]
+        if not across:
+            yield from found
+            return
+        starts, ends, rows = word_spans(data, offs, letters_only=True)
+        words = span_hashes(data, starts, ends)
+        by_row: dict[int, list] = {}
+        for f in found:
+            by_row.setdefault(f[0], []).append(f)
+        for f in across:
+            row, a, n, family = f[:4]
+            mine = by_row.setdefault(row, [])
+            inside = [x for x in mine if x[1] < a + n and a < x[1] + x[2]]
+            if any(x[3] == family and x[5] >= MIN_SIMILARITY for x in inside):
+                continue
+            for x in inside:
+                line = words[rows[row] + x[1] : rows[row] + x[1] + x[2]]
+                if x[5] < f[5] and self.similarity(line, family) >= x[5]:
+                    mine.remove(x)
+            mine.append(f)
+        for row in sorted(by_row):
+            yield from sorted(by_row[row], key=lambda f: f[1:3])
+
+    def _scan(self, data: np.ndarray, offs: np.ndarray, wrapped: bool) -> Iterator[tuple[int, int, int, int, float, float]]:
+        words, row, first, last = self.windows(data, offs, wrapped)
         if not len(first):
             return
         window, term = self.features(words, first, last)
@@ -136,11 +172,11 @@ class LicenseModel:
             return
         p = self.probabilities(window, term, len(used))
         best = p.argmax(axis=1)
-        starts = np.searchsorted(row, np.arange(len(offs) - 1))
+        begin = word_spans(data, offs, letters_only=True)[2]
         for i in np.flatnonzero((best < len(FAMILIES) - 1) & (p.max(axis=1) >= MIN_PROBABILITY)).tolist():
             w = used[i]
             similar = self.similarity(words[first[w] : last[w]], int(best[i]))
-            yield int(row[w]), int(first[w] - first[starts[row[w]]]), int(last[w] - first[w]), int(best[i]), float(p[i, best[i]]), similar
+            yield int(row[w]), int(first[w] - begin[row[w]]), int(last[w] - first[w]), int(best[i]), float(p[i, best[i]]), similar
 
 
 def _untrained() -> LicenseModel:
@@ -253,7 +289,7 @@ def scan_documents(docs: DataFrame, model: LicenseModel, *, doc_id: str = "doc_i
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             counts = []
             for begin, _, data, offs in text_chunks(batch.column(1)):
-                counts.append(np.bincount(model.windows(data, offs)[1], minlength=len(offs) - 1))
+                counts.append(sum(np.bincount(model.windows(data, offs, wrapped)[1], minlength=len(offs) - 1) for wrapped in (False, True)))
                 for row, word, n, family, p, similar in model.scan(data, offs):
                     found[begin + row].append({"word": word, "n_words": n, "family": FAMILIES[family], "probability": p, "similarity": similar, "confirmed": similar >= MIN_SIMILARITY})
             n_windows = np.concatenate(counts) if counts else np.zeros(0, int)
