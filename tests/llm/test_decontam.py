@@ -45,6 +45,24 @@ def test_part_of_a_long_item_counts_from_thirteen_words(spark):
     assert found(data.frame(spark, docs), spark.createDataFrame([(1, " ".join(item))], BENCH)) == {(13, 1), (30, 1)}
 
 
+def test_masks_hit_every_pattern_within_the_tolerance():
+    from itertools import combinations
+
+    for n in range(13, 21):
+        spots = [sum(1 << (at + m) for m in mask) for mask in decontam.MASKS for at in range(n - mask[-1])]
+        for k in range(n // 5 + 1):
+            for places in combinations(range(1, n - 1), k):
+                gone = sum(1 << p for p in places)
+                assert any(not spot & gone for spot in spots), (n, places)
+
+
+def test_each_fourth_word_replaced(spark):
+    item = [f"q{i}" for i in range(15)]
+    copy = ["sub" if i % 4 == 3 else w for i, w in enumerate(item)]
+    docs = data.frame(spark, [(1, "x y " + " ".join(copy) + " z", "en", "a", 0)])
+    assert found(docs, spark.createDataFrame([(9, " ".join(item))], BENCH)) == {(1, 9)}
+
+
 def test_awkward_rows(spark):
     rows = data.awkward(random.Random(14))
     items = [(1, rows[3][1]), (1, rows[3][1]), (2, None), (3, ""), (4, "one two three four"), (None, rows[5][1])]

@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .textkernel import U64, ngram_hashes, text_chunks, word_hashes
 
 #: Places that each mask reads.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 7))
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 7), (0, 1, 2, 4, 5))
 MIN_WORDS = 13
 MIN_MATCH = 0.8
 BLOCK_WORDS = 400_000
