@@ -13,6 +13,7 @@ _QUERIES = {
     "op5_chat_formatting": "chat",
     "op6_license_scans": "licenses",
     "op7_line_dedup": "linededup",
+    "op7_passage_dedup": "passages",
     "op8_sharding": "sharding",
     "op9_embedding_near_dedup": "embeddings",
     "op10_decontamination": "decontam",
