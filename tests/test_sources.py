@@ -164,3 +164,22 @@ def test_stream_of_arrivals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.z, r.voxels, r.foreground, r.total) for r in spark.table("planes").collect()) == [(0, 2, 1, 1.0), (1, 1, 1, 2.0)]
+
+
+def test_events_outside_the_grid_are_an_error(spark, tmp_path):
+    from voxstrata.sources import adapters
+
+    inside = [(f"k{i}", i, f"2024-01-{i + 1:02d} 05:00:00") for i in range(5)]
+    for name, more in {"in": [], "day": [("k0", 1, "2024-01-31 05:00:00")], "type": [("k9", 1, "2024-01-02 05:00:00")]}.items():
+        rows = spark.createDataFrame(inside + more, "event_type string, user_id long, ts string")
+        rows.selectExpr("event_type", "user_id", "cast(ts as timestamp) AS ts").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        volume = adapters.event_volume(spark, f"{tmp_path}/{name}")
+        if more:
+            try:
+                volume.collect()
+            except Exception as error:
+                assert "outside the grid" in str(error)
+            else:
+                raise AssertionError(name)
+        else:
+            assert sum(r.v for r in volume.collect()) == 5

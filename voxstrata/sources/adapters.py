@@ -44,11 +44,16 @@ def lineitem_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_volume(spark: SparkSession, sf_dir: str, value: Column | None = None) -> DataFrame:
-    """Counts (or sums of value) over hour (x), day (y), user (z) and event type (c): 24 x 30 x 8 x 5."""
+    """Counts (or sums of value) over hour (x), day (y), user (z) and event type (c): 24 x 30 x 8 x 5.
+
+    A row outside this grid (a sixth type, day 31, a null) is an error.
+    """
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     kinds = rows.select("event_type").distinct().withColumn("c", F.rank().over(_order("event_type")) - 1)
-    cell = rows.join(F.broadcast(kinds.limit(EVENT_TYPES)), "event_type").groupBy(F.col("c").cast("int"), (F.col("user_id") % 8).cast("int").alias("z"), (F.dayofmonth("ts") - 1).cast("int").alias("y"), F.hour("ts").cast("int").alias("x"))
+    cell = rows.join(F.broadcast(kinds.orderBy("c").limit(EVENT_TYPES)), "event_type", "left").groupBy(F.col("c").cast("int"), (F.col("user_id") % 8).cast("int").alias("z"), (F.dayofmonth("ts") - 1).cast("int").alias("y"), F.hour("ts").cast("int").alias("x"))
     counts = cell.agg((F.count(F.lit(1)) if value is None else F.sum(value)).cast("double").alias("v")).withColumn("volume_id", F.lit("events"))
+    inside = F.col("c").isNotNull() & F.col("z").between(0, EVENT_GRID.depth - 1) & F.col("y").between(0, EVENT_GRID.height - 1) & F.col("x").isNotNull()
+    counts = counts.withColumn("c", F.when(inside, F.col("c")).otherwise(F.raise_error(F.lit("an event lies outside the grid of event_volume")).cast("int")))
     return dense(counts, EVENT_GRID, _single(spark, "events"), channels=True)
 
 
