@@ -6,6 +6,7 @@ from tests.llm import data
 
 from voxstrata.llm import linededup
 
+INNER = "did th seq pos h w total upto before after a b v fp spans run origin opens first last lines runs found _h _lines _runs _did c0 c1".split()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -27,41 +28,46 @@ def corpus(rng):
 
 
 def brute(rows, least=50):
-    """rows(doc_id, text, th) to kept texts, by (doc_id, th)."""
+    """rows(doc_id, text, th) to kept texts, by (doc_id, th): for each line and each earlier equal one, the common run around both."""
+    order = lambda p: (p[0] is not None, p[0] or 0, p[1] is not None, p[1] or 0)
     seqs = {}
     for i, t, th in rows:
         split = (t or "").split("\n")
         seqs[i, th] = (split, [(p, x.strip(" \t\r\v\f"), len(WORD.findall(x))) for p, x in enumerate(split) if WORD.search(x)])
-    windows = []
-    for place, (_, seq) in seqs.items():
-        for step in (1, -1):
-            for a in range(len(seq)):
-                b, n, content = a, 0, []
-                while 0 <= b < len(seq) and n < least:
-                    n += seq[b][2]
-                    content.append(seq[b][1])
-                    b += step
-                if n >= least:
-                    ends = sorted((seq[a][0], seq[b - step][0]))
-                    windows.append((place, (step, tuple(content)), *ends))
-    order = lambda p: (p[0] is not None, p[0] or 0, p[1] is not None, p[1] or 0)
-    first = {}
-    for place, key, lo, _ in windows:
-        spot = (order(place), lo)
-        first[key] = min(first.get(key, spot), spot)
-    dead = {p: set() for p in seqs}
-    for place, key, lo, hi in windows:
-        if first[key] != (order(place), lo):
-            dead[place].update(range(lo, hi + 1))
-    return {p: ("\n".join(x for k, x in enumerate(split) if k not in dead[p]), len(dead[p])) for p, (split, _) in seqs.items()}
+    spots = {}
+    for place in sorted(seqs, key=order):
+        for k, (_, line, _) in enumerate(seqs[place][1]):
+            spots.setdefault(line, []).append((place, k))
+    out = {}
+    for place, (split, seq) in seqs.items():
+        gone = set()
+        for k, (_, line, _) in enumerate(seq):
+            for other, j in spots[line]:
+                if (order(other), j) >= (order(place), k):
+                    break
+                theirs, lo, hi = seqs[other][1], 0, 0
+                # the earlier run must not hold line k itself
+                most = k - j - 1 if other == place else len(seq)
+                while lo < min(j, k) and seq[k - lo - 1][1] == theirs[j - lo - 1][1]:
+                    lo += 1
+                while hi < most and k + hi + 1 < len(seq) and j + hi + 1 < len(theirs) and seq[k + hi + 1][1] == theirs[j + hi + 1][1]:
+                    hi += 1
+                if sum(x[2] for x in seq[k - lo : k + hi + 1]) >= least:
+                    gone.add(k)
+                    break
+        # blank lines between two deleted ones go too
+        dead = {p for k in gone for p in range(seq[k][0], seq[k + 1][0] if k + 1 in gone else seq[k][0] + 1)}
+        out[place] = ("\n".join(x for p, x in enumerate(split) if p not in dead), len(dead))
+    return out
 
 
 def compare(spark, rows):
-    df = data.clashing(data.frame(spark, rows))
+    df = data.clashing(data.frame(spark, rows)).withColumns({c: F.lit("x") for c in INNER})
     got = linededup.dedup_lines(df).withColumn("orig", F.lit(0)).collect()
     keyed = df.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()
     expected = brute([(r.doc_id, r.text, r.th) for r in keyed])
     assert len(got) == len(rows)
+    assert {c for r in got for c in INNER if r[c] != "x"} == set()
     texts = sorted(((r.doc_id, r.text or "", r.n_removed) for r in got), key=str)
     assert texts == sorted(((r.doc_id, *expected[r.doc_id, r.th]) for r in keyed), key=str)
     return got
@@ -96,3 +102,32 @@ def test_long_text_and_empty_table(spark):
     long = "\n".join(lines(rng, 3000))
     compare(spark, [(1, long, "en", "a", 0), (2, long, "en", "a", 0)])
     assert linededup.dedup_lines(data.empty(spark)).count() == 0
+
+
+def test_a_passage_that_overlaps_with_itself(spark):
+    rng = random.Random(6)
+    five, other = data.text(rng, 5), data.text(rng, 7)
+    texts = ["\n".join([five] * 200), "\n".join([five] * 12), "\n\n".join([five] * 40), "\n".join([other, five, ""] * 30), "\n".join([five, other] * 9 + ["own words here"] + [five, other] * 9)]
+    for t in texts:
+        got = compare(spark, [(1, t, "en", "a", 0)])
+        assert len(WORD.findall(got[0].text)) >= 50, got[0].n_removed
+    compare(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    got = compare(spark, [(1, texts[0], "en", "a", 0)])
+    assert (got[0].n_lines, got[0].n_removed) == (200, 190)
+
+
+def test_a_document_in_itself_and_in_others(spark):
+    rng = random.Random(7)
+    part, tail = lines(rng, 9), lines(rng, 3)
+    texts = ["\n".join(part + ["between"] + part), "\n".join(part), "\n".join(["x", *part[2:], *tail]), "\n".join(["y", *part[3:], *tail]), "\n".join(part[::-1])]
+    got = compare(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    assert {r.doc_id: r.n_removed for r in got}[0] == 9
+
+
+def test_the_longest_of_several_earlier_runs_counts(spark):
+    """The first occurrence of a window may lack the lines that a later one shares."""
+    rng = random.Random(8)
+    long, short = data.text(rng, 49), [data.text(rng, 1) + str(i) for i in range(4)]
+    texts = [[long, short[0], "z"], [long, *short], [long, *short], [short[3], long, short[0]]]
+    got = compare(spark, [(i, "\n".join(t), "en", "a", 0) for i, t in enumerate(texts)])
+    assert [r.n_removed for r in sorted(got, key=lambda r: r.doc_id)] == [0, 2, 5, 2]

@@ -35,23 +35,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-#: Windows as text; of equal windows the first stays.
+#: All pairs of equal lines, their diagonals' runs of 50 words, and what of those doesn't lie in the earlier run.
 OP7 = r"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, text IS NULL AS none FROM documents),
 raw AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
 worded AS (SELECT doc_id, pos, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw),
-seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM worded WHERE w > 0),
-ends AS (
- SELECT a.doc_id, 1 AS kind, a.k AS lo, min(b.k) AS hi FROM seq a JOIN seq b ON b.doc_id = a.doc_id AND b.k >= a.k AND b.upto - a.upto + a.w >= 50 GROUP BY ALL
- UNION ALL
- SELECT a.doc_id, -1, max(b.k), a.k FROM seq a JOIN seq b ON b.doc_id = a.doc_id AND b.k <= a.k AND a.upto - b.upto + b.w >= 50 GROUP BY a.doc_id, a.k),
-wins AS (SELECT e.doc_id, kind, lo, hi, string_agg(line, chr(10) ORDER BY k) AS body, min(pos) AS first, max(pos) AS last FROM ends e JOIN seq s ON s.doc_id = e.doc_id AND s.k BETWEEN lo AND hi GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY kind, body ORDER BY doc_id, first) AS r FROM wins),
-dead AS (SELECT DISTINCT raw.doc_id, raw.pos FROM ranked JOIN raw ON raw.doc_id = ranked.doc_id AND raw.pos BETWEEN first AND last WHERE r > 1),
-runs AS (SELECT doc_id, min(pos) AS first, max(pos) AS last FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM dead) GROUP BY doc_id, g),
-kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM raw ANTI JOIN dead USING (doc_id, pos) GROUP BY doc_id)
+seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM worded WHERE w > 0),
+pairs AS (SELECT b.doc_id AS d, a.doc_id AS o, b.k - a.k AS shift, b.k, b.pos, b.w FROM seq a JOIN seq b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.k < b.k)),
+diagonal AS (SELECT *, k - row_number() OVER (PARTITION BY d, o, shift ORDER BY k) AS g FROM pairs),
+common AS (SELECT *, sum(w) OVER (PARTITION BY d, o, shift, g ORDER BY k) AS upto, max(k) OVER (PARTITION BY d, o, shift, g) AS e FROM diagonal),
+gone AS (
+ SELECT DISTINCT s.d AS doc_id, s.k FROM common s JOIN common t ON t.d = s.d AND t.o = s.o AND t.shift = s.shift AND t.g = s.g
+  AND t.k = CASE WHEN s.d = s.o THEN least(s.e, s.k + s.shift - 1) ELSE s.e END WHERE t.upto >= 50),
+worn AS (SELECT doc_id, pos, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM gone JOIN seq USING (doc_id, k)),
+runs AS (SELECT doc_id, min(pos) AS first, max(pos) AS last FROM worn GROUP BY doc_id, g),
+dead AS (SELECT raw.doc_id, raw.pos FROM runs JOIN raw ON raw.doc_id = runs.doc_id AND raw.pos BETWEEN first AND last),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM raw ANTI JOIN dead USING (doc_id, pos) GROUP BY doc_id),
+merged AS (SELECT doc_id, min(pos) AS first, max(pos) AS last FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM dead) GROUP BY doc_id, g)
 SELECT doc_id, CASE WHEN none THEN 0 ELSE CAST(len(ls) AS INT) END AS n_lines, CAST((SELECT count(*) FROM dead d WHERE d.doc_id = s.doc_id) AS INT) AS n_removed,
- coalesce((SELECT string_agg(first || '-' || last, ',' ORDER BY first) FROM runs r WHERE r.doc_id = s.doc_id), '') AS removed_runs,
+ coalesce((SELECT string_agg(first || '-' || last, ',' ORDER BY first) FROM merged r WHERE r.doc_id = s.doc_id), '') AS removed_runs,
  CAST(length(coalesce(k.text, '')) AS INT) AS kept_chars, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k USING (doc_id)"""
 
@@ -69,7 +71,7 @@ SELECT vec_id, (SELECT count(*) FROM e WHERE u = vec_id) AS n_links, root AS com
 
 def _overlaps() -> str:
     """All common seeds, every stretch between two matches of their diagonals, and the longest ones."""
-    masks = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 7))
+    masks = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 7), (0, 1, 2, 4, 5))
     words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
     def keyed(table: str, name: str, mask: tuple[int, ...]) -> str:
