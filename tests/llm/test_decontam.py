@@ -87,3 +87,45 @@ def test_empty_tables(spark):
     assert found(docs, none) == set() and found(data.empty(spark), none) == set()
     assert decontam.drop_contaminated(docs, none).count() == docs.count()
     assert found(docs.select(F.col("doc_id"), F.lit(None).cast("string").alias("text")), spark.createDataFrame([(1, "a b c d e f g")], BENCH)) == set()
+
+
+def test_repetitive_texts_stay_bounded():
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for item, doc in ((["a"] * 1000, ["a"] * 20_000), (["a", "b", "c"] * 400, ["b", "c", "a"] * 6600), ([str(x) for x in rng.integers(0, 2, 800)], [str(x) for x in rng.integers(0, 2, 20_000)])):
+        table = decontam.SeedTable([7], [" ".join(item)])
+        raw = np.frombuffer(" ".join(doc).encode(), np.uint8)
+        tracemalloc.start()
+        began = time.time()
+        found = list(table.overlaps(*decontam.word_hashes(raw, np.array([0, len(raw)]), letters_only=True)))
+        took, (_, peak) = time.time() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert len(found) == 1 and took < 30 and peak < 500e6, (took, peak)
+
+
+def test_distances():
+    import numpy as np
+
+    rng = random.Random(31)
+    for n, m in ((3, 4), (300, 500), (2000, 40)):
+        p, q = (np.array(sorted(rng.sample(range(4000), k))) for k in (n, m))
+        assert decontam.distances(p, q).tolist() == sorted({a - b for a in p.tolist() for b in q.tolist()})
+
+
+def test_the_join_finds_what_the_broadcast_finds(spark):
+    rng = random.Random(32)
+    rows = data.awkward(rng)
+    items = [(1, rows[3][1]), (1, rows[3][1]), (2, None), (3, ""), (4, "one two three four"), (None, rows[5][1]), (6, "one"), (7, "w1 w2 " * 40)]
+    items += [(10 + k, plant(rng, rows[10 + k][1], 6)) for k in range(6)]
+    rows += [(900, "w1 w2 " * 300, "en", "a", 0), (901, "w2 w1 " * 30 + rows[12][1], "en", "a", 0)]
+    docs, bench = data.clashing(data.frame(spark, rows)).withColumns({c: F.lit("x") for c in ("tk", "ik", "c0", "places", "shifts")}), spark.createDataFrame(items, BENCH)
+    a, b = (sorted(map(tuple, decontam.find_overlaps(docs, bench, **o).collect()), key=str) for o in ({}, {"block_words": 1}))
+    assert a == b and len(a) > 20
+    kept = [decontam.drop_contaminated(docs, bench, **o) for o in ({}, {"block_words": 1})]
+    assert kept[0].columns == kept[1].columns == docs.columns
+    assert [sorted(map(tuple, k.collect()), key=str) for k in kept][0] == sorted(map(tuple, kept[1].collect()), key=str)
+    assert kept[0].count() < docs.count()
