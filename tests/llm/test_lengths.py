@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from tests.llm import data
 
@@ -8,7 +9,7 @@ from voxstrata.llm import lengths
 def test_histogram_against_lists(spark):
     rows = data.awkward(random.Random(7))
     df = data.clashing(data.frame(spark, rows))
-    encoder = lengths._encoder(f"{lengths.TOKENIZER_DIR}/{lengths.VOCABULARY}", lengths.PATTERN)
+    encoder = lengths._encoder(Path(f"{lengths.TOKENIZER_DIR}/{lengths.VOCABULARY}").read_bytes(), lengths.PATTERN)
     n = [len(encoder.encode_ordinary(r[1] or "")) for r in rows]
     bars = lengths.length_histogram(lengths.token_counts(df)).collect()
     assert sorted(r.n_tokens for r in bars) == sorted(set(n))

@@ -75,3 +75,44 @@ def test_document_weights_tilt_the_sample(spark):
     targets = mixing.source_targets(sizes, [1.0], budget=1000.0)
     chosen = mixing.mix_copies(sizes, targets, doc_weight="w").where("_in").select("doc_id").collect()
     assert len(chosen) == 100 and sum(r.doc_id < 200 for r in chosen) > 70
+
+
+def test_the_documents_taken_against_brute_force(spark):
+    """Whole copies, the Pareto order and the fill, source by source, from the hashes that Spark gives."""
+    import math
+
+    rng = random.Random(9)
+    rows = [(i, data.text(rng, rng.choice([0, 3, 20, 60])) or None, "en", rng.choice(["a"] * 5 + ["b", "c", "c", None]), 0) for i in range(500)]
+    df = data.frame(spark, rows).repartition(5)
+    out = {r.doc_id: r for r in mixing.mix_documents(df).collect()}
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(mixing.SEED), F.col("doc_id"), mixing.count_words(F.col("text"))).alias("h")).collect()}
+    by_source = defaultdict(list)
+    for r in out.values():
+        by_source[r.source].append(r)
+    for docs in by_source.values():
+        rate = docs[0].target / docs[0].source_size
+        sure = min(3, math.floor(rate))
+        rest = docs[0].target - sure * docs[0].source_size
+        rank = lambda r: ((u := (((hashes[r.doc_id] % 2**64) >> 12) + 0.5) / 2**52) / (1 - u), r.doc_id)
+        chosen, total = set(), 0
+        for r in sorted(docs, key=rank):
+            total += r.size
+            if total > rest or rest <= 0:
+                break
+            chosen.add(r.doc_id)
+        gap = rest - sum(r.size for r in docs if r.doc_id in chosen)
+        for _ in range(mixing.FILL_ROUNDS):
+            near = [r for r in docs if r.doc_id not in chosen and r.size > 0 and rest > 0 and gap > 0 and r.size < 2 * gap]
+            if near:
+                best = min(near, key=lambda r: (abs(gap - r.size), r.doc_id))
+                chosen.add(best.doc_id)
+                gap -= best.size
+        assert {r.doc_id: r.copies for r in docs if r.size} == {r.doc_id: min(3, sure + (r.doc_id in chosen)) for r in docs if r.size}
+
+
+def test_cells_stay_even_for_a_source_of_whole_copies(spark):
+    """A source whose target is a whole multiple of its size has no sampled part, and no cell holds its keys."""
+    rows = [(i, "a b", "en", "s", 0) for i in range(500)]
+    sizes = data.frame(spark, rows).select(F.col("doc_id").alias("_row"), "doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
+    out = mixing.mix_copies(sizes, mixing.source_targets(sizes, [1.0], budget=2000.0)).collect()
+    assert {(r._sure, r._in) for r in out} == {(2, False)}

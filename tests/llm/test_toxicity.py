@@ -60,6 +60,49 @@ def test_awkward_rows(spark):
     assert len(blank) == 1
 
 
+def test_contradictory_labels_of_equal_texts(spark):
+    """Whatever order the rows come in, the largest label counts."""
+    rng = random.Random(14)
+    rows, labels = corpus(rng, 300)
+    rows = [(i, t, *r) for i, t, *r in rows] + [(1000 + i, t, *r) for i, t, *r in rows]
+    marks = [(i, q, t) for i, q, t in labels] + [(1000 + i, q, 0) for i, q, t in labels]
+    once = [(i, q, t) for i, q, t in labels]
+    import zlib
+
+    both = {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(1000 + i).encode()) % 3 != 1}
+    keep = [m for m in marks if m[0] % 1000 in both]
+    models = [toxicity.train(data.frame(spark, r).repartition(n), spark.createDataFrame(x, LABELS)) for r, x, n in ((rows, keep, 1), (rows[::-1], keep[::-1], 7), (rows, [m for m in once if m[0] in both], 3))]
+    assert all((m.terms == models[0].terms).all() and (m.weights == models[0].weights).all() for m in models)
+
+
+def test_all_telling_terms_are_kept(spark):
+    """No number of terms is a cut: each of 3,000 words marks a few toxic rows."""
+    rows = [(i, " ".join([f"bad{(i * 7 + j) % 3000}x" for j in range(40)] if i % 2 else [f"ok{(i * 7 + j) % 3000}x" for j in range(40)]), "en", "a", 0) for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(3000)], LABELS)
+    model = toxicity.train(data.frame(spark, rows), labels)
+    assert len(model.terms) > 4000
+
+
+def test_scores_against_brute_force(spark):
+    """The query's scores from plain Python: terms as sets, pairs one by one."""
+    import math
+    import re
+
+    rows, labels = corpus(random.Random(15), 300)
+    docs = data.frame(spark, rows + [(900, None, "en", "a", 0), (901, "Grubby grubby! folkersfolk \u00e9t\u00e9", "en", "a", 0)])
+    model = toxicity.train(docs, spark.createDataFrame(labels, LABELS))
+    place = {int(t): i for i, t in enumerate(model.terms)}
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    for doc, text in [(r.doc_id, r.text) for r in docs.collect()][::7] + [(900, None), (901, rows and "Grubby grubby! folkersfolk \u00e9t\u00e9")]:
+        terms = set()
+        for word in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or ""):
+            raw = np.frombuffer(word.encode(), np.uint8)
+            terms |= set(toxicity.text_terms(raw, np.array([0, len(raw)]))[1].tolist())
+        at = sorted(place[t] for t in terms if t in place)
+        z = model.bias + sum(model.weights[i] for i in at) + sum(model.factors[i] @ model.factors[j] for k, i in enumerate(at) for j in at[k + 1 :])
+        assert math.isclose(got[doc], 1 / (1 + math.exp(-z)), rel_tol=1e-6, abs_tol=1e-12)
+
+
 def test_no_labels_and_no_documents(spark):
     docs = data.frame(spark, [(1, "a b", "en", "x", 0)])
     none = spark.createDataFrame([], LABELS)

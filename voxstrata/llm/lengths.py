@@ -15,7 +15,9 @@ gives an empty histogram; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,18 +26,18 @@ from pyspark.sql.window import Window
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[int, str], object] = {}
 
 
-def _encoder(path: str, pattern: str):
-    """The byte-level BPE of a rank file, made once a process."""
-    if path not in _encoders:
+def _encoder(raw: bytes, pattern: str):
+    """The byte-level BPE of a rank file's bytes, made once a process."""
+    key = (zlib.crc32(raw), pattern)
+    if key not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
+        _encoders[key] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
 
 
 #: How byte-level BPE splits a text before merging (fixed by the vocabulary).
@@ -44,12 +46,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 def token_counts(docs: DataFrame, text: str = "text", keep: Sequence[str] = (), *, vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """The columns ``keep`` of docs with ``n_tokens``."""
-    path = vocabulary or f"{TOKENIZER_DIR}/{VOCABULARY}"
+    # the driver reads the vocabulary, a file of a megabyte, and sends it along
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary or f"{TOKENIZER_DIR}/{VOCABULARY}").read_bytes())
     chosen = docs.select(*keep, F.col(text).alias("_text"))
     fields = [f for f in chosen.schema.fields if f.name != "_text"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = _encoder(shared.value, pattern)
         for batch in batches:
             counts = [len(encoder.encode_ordinary(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])

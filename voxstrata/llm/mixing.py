@@ -80,8 +80,9 @@ def mix_copies(rows: DataFrame, targets: DataFrame, *, doc_weight: str | None =
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 12).cast("double") + 0.5) / float(1 << 52)
     tilt = F.coalesce(F.col(doc_weight).cast("double"), F.lit(1.0)) if doc_weight else F.lit(1.0)
     odds = (unit / (1 - unit)) / (F.col("_p") / (1 - F.col("_p")) * tilt)
-    keyed = rows.join(goal, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_key", odds / (1 + odds))
-    keyed = keyed.withColumn("_cell", F.least(F.floor(F.col("_key") * RANK_CELLS), F.lit(RANK_CELLS - 1)).cast("int"))
+    # the inclusion odds are one number for a source, so cells are cut by the rest of the rank: they stay even whatever that number is
+    spread = (unit / (1 - unit)) / tilt
+    keyed = rows.join(goal, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_key": odds, "_cell": F.least(F.floor(spread / (1 + spread) * RANK_CELLS), F.lit(RANK_CELLS - 1)).cast("int")})
     cells = keyed.groupBy("source", "_cell").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_goal"))
     upto = Window.partitionBy("source").orderBy("_cell")
     reached = cells.withColumn("_sum", F.sum("_words").over(upto)).where("_sum > _goal").groupBy("source").agg(F.min_by(F.struct("_cell", (F.col("_sum") - F.col("_words")).alias("before")), "_cell").alias("edge"))

@@ -1,22 +1,23 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct lower-cased words and the first 4 and 5 bytes of
-longer words, as 64-bit hashes.  From a bounded sample of labelled rows, the
-``max_terms`` terms with the largest likelihood-ratio statistic are kept.  The
+longer words, as 64-bit hashes.  Of a bounded sample of labelled rows all terms
+that stand in ``min_rows`` rows and whose likelihood-ratio statistic is at least
+``min_statistic`` are kept; a term that tells nothing by itself isn't.  The
 model scores a text by a bias, one weight a term, and the inner products of all
 pairs of its terms' factor vectors, so a pair such as an insult beside a group
 name can weigh more, or less, than its parts.  It is fitted by Adam on the
 logistic loss with L2 decay; the cut between the classes, found on rows kept
 out of the fit, is moved to a score of ``THRESHOLD``.
 
-The sample has at most ``max_rows`` distinct texts, the ones with the least
-hashes; that bound and ``max_terms`` bound what reaches the driver and what is
+The sample has at most ``max_rows`` labelled documents, the ones with the least
+hashes; that bounds the terms too, and so what reaches the driver and what is
 sent to the executors (16 bytes and the factors for each term).  Scoring reads
 every whole text once.
 
 Defined cases: a null or empty text has no terms and gets the bias's score;
-labels that are null are not learned from, of repeated labels the largest
-counts; without labels of both classes all scores are the smoothed rate of 1;
+labels that are null are not learned from, of repeated labels and of the labels
+of equal texts the largest counts; without labels of both classes all scores are the smoothed rate of 1;
 repeated rows are scored alike; an empty table gives an empty result; columns
 of the input are kept where ``score_documents`` is asked to.
 """
@@ -35,7 +36,6 @@ from .textkernel import U64, mix64, span_hashes, text_chunks, trim_memory, word_
 
 THRESHOLD = 0.7
 MAX_ROWS = 12_000
-MAX_TERMS = 2_048
 RANK = 8
 PREFIXES = (4, 5)
 _BITS = 20
@@ -136,7 +136,7 @@ def in_training_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 != 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, min_rows: int = 3, min_statistic: float = 10.0) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = MAX_ROWS, min_rows: int = 3, min_statistic: float = 10.0) -> FactorizationMachine:
     """Fit on labelled documents outside the held-out fold."""
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & in_training_fold(F.col("doc_id"))).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("_y"))
     # at most max_rows ids are broadcast
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows:
 
     from ..plans.durable import DurableTable
 
-    table = DurableTable(sample.dropDuplicates(["text"]), "toxicity-sample")
+    table = DurableTable(sample.groupBy("text").agg(F.max("_y").alias("_y")).select("_y", "text"), "toxicity-sample")
     rows = table.df
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if n == 0 or n1 in (0, n):
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows:
     a, k = F.col("a").cast("double"), F.col("k").cast("double")
     p = float(n1) / n
     statistic = 2 * (part(a, k * p) + part(k - a, k * (1 - p)) + part(n1 - a, (n - k) * p) + part(n - k - n1 + a, (n - k) * (1 - p)))
-    kept = seen.where(F.col("k") < n).withColumn("g", statistic).where(F.col("g") >= min_statistic).orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()
+    kept = seen.where(F.col("k") < n).withColumn("g", statistic).where(F.col("g") >= min_statistic).select("term").collect()
     terms = np.sort(np.array([r.term for r in kept], np.int64).view(U64))
     finder = FactorizationMachine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 0)))
     shared = docs.sparkSession.sparkContext.broadcast(finder)
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows:
                     found[first + row].append(at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "at"])
 
-    # at most max_rows rows of at most max_terms small numbers
+    # at most max_rows rows of small numbers
     coded = sorted((r.y, tuple(r.at)) for r in rows.mapInArrow(encode, "y int, at array<int>").collect())
     table.drop()
     order = np.random.default_rng(3).permutation(len(coded))
