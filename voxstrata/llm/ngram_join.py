@@ -24,8 +24,9 @@ verified there unless its two classes are in one component already.
 Links are counted, or given as pairs of classes, on the whole: every link lies
 inside a component, so all pairs of a component's classes are verified on their
 whole sets.  A component is cut into blocks of at most about ``BLOCK`` classes
-and ``BLOCK_SHINGLES`` shingles; pairs of blocks are separate tasks, small
-components share tasks, and a task returns numbers for its classes.
+and ``BLOCK_SHINGLES`` shingles; pairs of blocks are separate tasks, so a text
+travels once for each block of its component.  Small components share tasks, a
+task compares tiles of its blocks and returns numbers for its classes.
 
 Defined cases: null or empty texts and texts without words have an empty set
 and link with nothing; fewer than 5 words make one shingle; repeated rows are
@@ -55,7 +56,9 @@ _SKETCH_BLOCK = 1 << 13
 #: Jaccard threshold as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Classes and shingles of a block of a component whose links are counted.
-BLOCK, BLOCK_SHINGLES = 1_024, 1 << 18
+BLOCK, BLOCK_SHINGLES = 4_096, 1 << 21
+#: A tile of a block, what is compared at a time, has a quarter of its classes and at most about so many shingles.
+TILE_SHINGLES = 1 << 18
 _COLUMNS = 4_096
 
 
@@ -132,7 +135,8 @@ def group_key(first: np.ndarray, n: int) -> int:
 def _prefixes(shared, k: int):
     """text to (token, grp, pos): one row per prefix shingle and its place.
 
-    A task gives each class once; its remembered classes are 8 bytes each.
+    A task gives each class once; it remembers the keys of its own split's
+    classes, some hundred bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +307,12 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _count_links(k: int, pairs: bool):
+def _tiles(rows: np.ndarray, sizes: np.ndarray, tile: int) -> list[np.ndarray]:
+    full = np.maximum(np.arange(len(rows)) // tile, np.cumsum(sizes[rows]) // TILE_SHINGLES)
+    return np.split(rows, np.flatnonzero(np.diff(full)) + 1)
+
+
+def _count_links(k: int, pairs: bool, tile: int):
     """Classes of a task's components and blocks to (key, links), or to the linked (a, b) with a < b."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -323,18 +332,23 @@ def _count_links(k: int, pairs: bool):
             left, right = (lo + np.flatnonzero(side[lo:hi] == b) for b in (block_a, block_b))
             if not len(left) or not len(right):
                 continue
-            common = _common([sets[i] for i in left], [sets[i] for i in right])
-            ok = DENOMINATOR * common >= NUMERATOR * (sizes[left][:, None] + sizes[right] - common)
-            if block_a == block_b:
-                np.fill_diagonal(ok, False)
-            if pairs:
-                i, j = np.nonzero(ok)
-                once = slice(None) if block_a != block_b else i < j
-                found.append((keys[left[i[once]]], keys[right[j[once]]]))
-                continue
-            links[left] += ok @ copies[right]
-            if block_a != block_b:
-                links[right] += copies[left] @ ok
+            same = block_a == block_b
+            parts_l, parts_r = _tiles(left, sizes, tile), _tiles(right, sizes, tile)
+            for i, x in enumerate(parts_l):
+                for j, y in enumerate(parts_r):
+                    if same and j < i:
+                        continue
+                    common = _common([sets[r] for r in x], [sets[r] for r in y])
+                    ok = DENOMINATOR * common >= NUMERATOR * (sizes[x][:, None] + sizes[y] - common)
+                    if same and i == j:
+                        np.fill_diagonal(ok, False)
+                    if pairs:
+                        u, v = np.nonzero(np.triu(ok) if same and i == j else ok)
+                        found.append((keys[x[u]], keys[y[v]]))
+                        continue
+                    links[x] += ok @ copies[y]
+                    if not (same and i == j):
+                        links[y] += copies[x] @ ok
         trim_memory()
         if pairs:
             a, b = (np.concatenate([f[side] for f in found] or [np.zeros(0, np.int64)]) for side in (0, 1))
@@ -359,7 +373,7 @@ def _links(parts: DataFrame, texts: DataFrame, copies: DataFrame, k: int, *, pai
     spots = durable(placed, "ngram-blocks").join(texts.select("key", "packed"), "key")
     tasks = spots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other"), "single": F.col("cuts") == 1})
     kept = tasks.select("single", "shelf", "block_a", "block_b", "part", "key", "copies", "block", "packed")
-    found = kept.groupBy("single", "shelf", "block_a", "block_b").applyInArrow(_count_links(k, pairs), "a long, b long" if pairs else "key long, links long")
+    found = kept.groupBy("single", "shelf", "block_a", "block_b").applyInArrow(_count_links(k, pairs, max(1, block // 4)), "a long, b long" if pairs else "key long, links long")
     return found if pairs else found.groupBy("key").agg(F.sum("links").alias("links"))
 
 
@@ -441,10 +455,9 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicate_components(docs).select("doc_id", "n_shingles", "component_id")
+    return near_duplicate_components(docs, count_links=True).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 def op1_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
-    """The join with its links: what ``op1_ngram_jaccard_join`` gives and n_links."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicate_components(docs, count_links=True).select("doc_id", "n_shingles", "n_links", "component_id")
+    """The name under which n_links came first; the join has them now."""
+    return op1_ngram_jaccard_join(spark, sf_dir)

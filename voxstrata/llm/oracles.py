@@ -18,7 +18,7 @@ cc(id, root) USING KEY (id) AS (
  SELECT doc_id, doc_id FROM words
  UNION
  SELECT e.u, min(cc.root) FROM cc JOIN e ON e.w = cc.id JOIN recurring.cc r ON r.id = e.u WHERE cc.root < r.root GROUP BY e.u)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM words LEFT JOIN n USING (doc_id) JOIN cc ON cc.id = doc_id"""
+SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT count(*) FROM e WHERE u = doc_id) AS n_links, root AS component_id FROM words LEFT JOIN n USING (doc_id) JOIN cc ON cc.id = doc_id"""
 
 OP5 = r"""
 WITH rows AS (
@@ -93,4 +93,4 @@ UNION ALL
 SELECT doc_id, item_id, 0, 0, len(docs.w), len(docs.w) FROM docs JOIN items ON docs.w = items.w WHERE len(docs.w) BETWEEN 1 AND 4"""
 
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op5_chat_formatting": OP5, "op7_line_dedup": OP7, "op9_embedding_near_dedup": OP9, "op10_decontamination": _overlaps()}
+ORACLES = {"op1_ngram_jaccard_join": OP1, "op1_ngram_jaccard_links": OP1, "op5_chat_formatting": OP5, "op7_line_dedup": OP7, "op9_embedding_near_dedup": OP9, "op10_decontamination": _overlaps()}
