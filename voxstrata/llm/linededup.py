@@ -123,7 +123,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     placed = docs.toDF(*(f"c{i}" for i in range(len(names))))
     own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     runs = repeated_runs(placed, doc_id=own_id, text=own_text, min_words=min_words)
-    joined = placed.withColumn("h", F.xxhash64(own_text)).join(runs, F.col(own_id).eqNullSafe(F.col("did")) & (F.col("h") == F.col("th")), "left")
+    # a plan for few runs and for many
+    joined = placed.withColumn("h", F.xxhash64(own_text)).join(runs.hint("merge"), F.col(own_id).eqNullSafe(F.col("did")) & (F.col("h") == F.col("th")), "left")
     found = F.coalesce(F.col("runs"), F.array().cast("array<struct<first:int,last:int>>"))
     removed = F.aggregate(found, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     # what stays lies between the end of one run and the start of the next
