@@ -74,13 +74,30 @@ def test_cohort_of_label_stacks(spark, tmp_path):
         labels[0, 1, 1:3] = 1
         spacing = (1.0, 1.0, 1.0 + i % 2)
         raw, _ = tiff.write_labels(labels, spacing, "um")
-        for side in "rc":
-            (tmp_path / f"{side}{i}.tif").write_bytes(raw)
+        for side in ("reference", "candidate"):
+            (tmp_path / side).mkdir(exist_ok=True)
+            (tmp_path / side / f"{i}.tif").write_bytes(raw)
         digest = hashlib.sha256(raw).hexdigest()
-        cases.append({"id": f"c{i}", "acquisitionId": f"a{i}", "channels": 1 + i % 2, "voxelType": kinds[i], "container": "tiff", "spacingZ": spacing[2], "referenceLabelsPath": f"r{i}.tif", "referenceLabelsSha256": digest, "candidateLabelsPath": f"c{i}.tif", "candidateLabelsSha256": digest})
+        cases.append({"id": f"c{i}", "acquisitionId": f"a{i}", "channels": 1 + i % 2, "voxelType": kinds[i], "container": "tiff", "spacingZ": spacing[2], "referenceLabelsPath": f"reference/{i}.tif", "referenceLabelsSha256": digest, "candidateLabelsPath": f"candidate/{i}.tif", "candidateLabelsSha256": digest})
     manifest = {"schemaVersion": 1, "datasetName": "d", "cases": cases}
     good = cohort.validate_cohort(spark, json.dumps(manifest), str(tmp_path))
     assert good["passed"], good
+    (tmp_path / "m.json").write_text(json.dumps(manifest))
+    assert cohort.main([str(tmp_path / "m.json")], spark) == 0 and json.loads((tmp_path / "m.report.json").read_text())["passed"]
+    # another content under the same base name is another file
+    other = np.zeros((2, 3, 4), int)
+    other[1, 2, 3] = 7
+    raw, _ = tiff.write_labels(other, (1.0, 1.0, 1.0), "um")
+    (tmp_path / "candidate/0.tif").write_bytes(raw)
+    kept, cases[0]["candidateLabelsSha256"] = cases[0]["candidateLabelsSha256"], hashlib.sha256(raw).hexdigest()
+    worse = cohort.validate_cohort(spark, json.dumps(manifest), str(tmp_path))["cases"]
+    assert [c["passed"] for c in worse] == [False, True, True, True, True] and "dice" in worse[0]["failures"]
+    (tmp_path / "m.json").write_text(json.dumps(manifest))
+    assert cohort.main([str(tmp_path / "m.json"), "--output", str(tmp_path / "out/r.json")], spark) == 1 and (tmp_path / "out/r.json").exists()
+    assert cohort.main([], spark) == 2 and cohort.main([str(tmp_path / "none.json")], spark) == 2 and cohort.main([str(tmp_path / "m.json"), "--output", str(tmp_path / "m.json")], spark) == 2
+    cases[0]["candidateLabelsPath"] = "candidate/none.tif"
+    assert cohort.validate_cohort(spark, json.dumps(manifest), str(tmp_path))["cases"][0]["failures"] == ["candidate labels can't be read"]
+    cases[0]["candidateLabelsPath"] = "reference/0.tif"
     cases[0]["candidateLabelsSha256"] = "0" * 64
     bad = cohort.validate_cohort(spark, json.dumps(manifest), str(tmp_path))
     assert not bad["passed"] and bad["cases"][0]["failures"] == ["candidate labels have another hash"]

@@ -329,3 +329,30 @@ def test_watershed_against_a_scalar_version():
                 opened[p] = -1
         labels = grow(opened, np.float32(np.inf))
     assert (dense.watershed(level, seeds) == labels).all()
+
+
+@pytest.mark.parametrize("radius", [3, 5])
+def test_balls_on_tiles_agree_with_rows(spark, radius):
+    from voxstrata.operators import volumes
+
+    a = np.random.default_rng(radius).random((9, 11, 7))
+    field, grid = field_of(spark, a), grid_of(a)
+    for dilate in (True, False):
+        rows = array_of(morphology.ball(field, grid, radius, dilate, engine="rows"), a.shape)
+        assert np.array_equal(array_of(morphology.ball(field, grid, radius, dilate), a.shape), rows)
+        tiled = volumes.per_tile(field, grid, radius, morphology._tile_kernel(radius, dilate), voxels=100)
+        assert volumes.tile_sides(grid, radius, 100) == (radius, radius)
+        assert np.array_equal(array_of(tiled, a.shape), rows)
+
+
+def test_nan_is_above_all_numbers_in_tiles():
+    a = np.array([[[1.0, np.nan, np.nan, np.nan, 2.0]]])
+    assert np.array_equal(morphology._tile_kernel(1, False)(a), [[[1, 1, np.nan, 2, 2]]], equal_nan=True)
+    assert np.array_equal(morphology._tile_kernel(1, True)(a), [[[np.nan] * 5]], equal_nan=True)
+
+
+def test_component_boxes():
+    labels = np.full((4, 5, 6), -1)
+    labels[1, 2, 3:5] = 0
+    labels[0:3, 4, 0] = 1
+    assert dense.label_boxes(labels) == [(slice(1, 2), slice(2, 3), slice(3, 5)), (slice(0, 3), slice(4, 5), slice(0, 1))]

@@ -116,3 +116,11 @@ def test_hausdorff_against_brute_force(spark):
         got = metrics.hausdorff95(field_of(spark, a, "label"), field_of(spark, b, "label"), grid_of(a)).collect()[0].hausdorff95
         expected = brute_hausdorff(a, b)
         assert got == (None if expected is None else pytest.approx(expected))
+
+
+def test_objects_of_any_labels(spark):
+    """Labels of any size and sign; touching ones of different labels are two objects."""
+    a = np.zeros((1, 1, 8), np.int64)
+    a[0, 0, :] = [0, -2_000_000_000, 2_000_000_000, 2_000_000_000, -1, 0, 5, -5]
+    got = metrics.object_count(field_of(spark, a, "label"), grid_of(a), 26).first().objects
+    assert got == 5

@@ -48,6 +48,21 @@ def test_durable_tables(spark):
         table.df.count()
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from voxstrata.model import InvalidState
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_root(session("spark://host:7077", "hdfs://x/shared/")) == "hdfs://x/shared"
+    assert shared_root(session("local[2]")).startswith("file://")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(InvalidState):
+            shared_root(session(master))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

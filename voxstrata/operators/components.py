@@ -102,7 +102,12 @@ def connected_low(field: DataFrame, grid: Grid, most: float, more_than: int, exc
 
 def label_components(labels: DataFrame, grid: Grid, connectivity: int, engine: str = "auto") -> DataFrame:
     """(volume_id, z, y, x, label, idx, root): components of equal labels >= 0."""
-    return _roots(labels.where("label >= 0"), grid, connectivity, ("label",), engine)
+    return equal_components(labels.where("label >= 0"), grid, connectivity, engine)
+
+
+def equal_components(labels: DataFrame, grid: Grid, connectivity: int, engine: str = "auto") -> DataFrame:
+    """The same for all rows given, whatever their labels."""
+    return _roots(labels, grid, connectivity, ("label",), engine)
 
 
 def component_table(labels: DataFrame, field: DataFrame) -> DataFrame:

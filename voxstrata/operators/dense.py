@@ -27,17 +27,19 @@ def ball(a: np.ndarray, radius: int, dilate: bool) -> np.ndarray:
     if radius == 0:
         return a
     pick, worst = (np.maximum, -np.inf) if dilate else (np.minimum, np.inf)
-    runs, out = {0: a}, None
-    run = a
-    for half in range(1, radius + 1):
-        run = pick(run, pick(_shifted(a, 0, 0, half, worst), _shifted(a, 0, 0, -half, worst)))
-        runs[half] = run
+    moves: dict[int, list[tuple[int, int]]] = {}
     for dz in range(-radius, radius + 1):
         for dy in range(-radius, radius + 1):
-            left = radius * radius - dz * dz - dy * dy
-            if left >= 0:
-                moved = _shifted(runs[isqrt(left)], dz, dy, 0, worst)
-                out = moved if out is None else pick(out, moved)
+            if (left := radius * radius - dz * dz - dy * dy) >= 0:
+                moves.setdefault(isqrt(left), []).append((dz, dy))
+    out, run = None, a
+    # runs along x grow by one voxel on both sides; each width is moved to where the ball has it
+    for half in range(radius + 1):
+        if half:
+            run = pick(run, pick(_shifted(a, 0, 0, half, worst), _shifted(a, 0, 0, -half, worst)))
+        for dz, dy in moves.get(half, ()):
+            moved = _shifted(run, dz, dy, 0, worst)
+            out = moved if out is None else pick(out, moved)
     return out
 
 
@@ -208,6 +210,20 @@ def wall_thickness(mask: np.ndarray, start: int) -> int:
     return top * 2
 
 
+def label_boxes(labels: np.ndarray) -> list[tuple[slice, ...]]:
+    """The bounding box of each label from 0 on."""
+    n = int(labels.max(initial=-1)) + 1
+    spots = np.nonzero(labels >= 0)
+    which = labels[spots]
+    ends = []
+    for axis, at in enumerate(spots):
+        lo, hi = np.full(n, labels.shape[axis]), np.full(n, -1)
+        np.minimum.at(lo, which, at)
+        np.maximum.at(hi, which, at)
+        ends.append([slice(int(a), int(b) + 1) for a, b in zip(lo, hi, strict=True)])
+    return list(zip(*ends, strict=True))
+
+
 def staged_segmentation(masks, shape, *, closing_radius: int, more_than: int, invalid_area: float, outside: np.ndarray | None) -> tuple[np.ndarray, int, int]:
     """Labels, their number and the passes done over a sequence of masks (callables).
 
@@ -226,15 +242,18 @@ def staged_segmentation(masks, shape, *, closing_radius: int, more_than: int, in
             mask = np.where(outside, np.float32(MASK), mask)
         dark = (mask <= np.float32(LOW)) & (labels < 0)
         candidates = dense_labels(components(dark), more_than + 1)
+        boxes = label_boxes(candidates)
         waiting, before = False, labels.copy()
         for c in range(int(candidates.max(initial=-1)) + 1):
-            own = candidates == c
+            # the component's box, and around it what its closing can reach
+            box = tuple(slice(max(0, s.start - thickness // 2), s.stop + thickness // 2) for s in boxes[c])
+            own = candidates[box] == c
             if not final:
                 closed = chunked(own.astype(np.float32), thickness // 2, False)
-                if ((closed > 0) & (candidates < 0) & (before < 0)).sum() > np.float32(invalid_area) * np.float32(thickness):
+                if ((closed > 0) & (candidates[box] < 0) & (before[box] < 0)).sum() > np.float32(invalid_area) * np.float32(thickness):
                     waiting = True
                     continue
-            labels[own] = count
+            labels[box][own] = count
             count += 1
         if not waiting:
             return labels, count, number + 1

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..model import BACKGROUND, Grid, InvalidArgument, InvalidState
 from ..plans.durable import durable
 from .components import half_neighbours, label_components
+from .morphology import ball
 
 KEYS = ["volume_id", "z", "y", "x"]
 
@@ -87,6 +88,35 @@ def erode(labels: DataFrame, selected: list[int], iterations: int = 1, connectiv
     return labels
 
 
+def ball_dilate(labels: DataFrame, grid: Grid, selected: list[int], radius: int) -> DataFrame:
+    """Background voxels within a ball of a selected label take the least such label."""
+    if not selected:
+        raise InvalidState("nothing is selected")
+    # ids from the least up, far ones for what isn't selected
+    far = float(2**31)
+    field = labels.select(*KEYS, F.when(F.col("label").isin(selected), F.col("label").cast("double")).otherwise(F.lit(far)).alias("v"))
+    least = ball(field, grid, radius, False).select(*KEYS, F.col("v").alias("near"))
+    taken = (F.col("label") < 0) & (F.col("near") < far)
+    return labels.join(least, KEYS).select(*KEYS, F.when(taken, F.col("near")).otherwise(F.col("label")).cast("int").alias("label"))
+
+
+def ball_erode(labels: DataFrame, grid: Grid, selected: list[int], radius: int) -> DataFrame:
+    """Selected voxels with another label, or background, within a ball become background; the volume's edge doesn't count."""
+    if not selected:
+        raise InvalidState("nothing is selected")
+    field = labels.select(*KEYS, F.col("label").cast("double").alias("v"))
+    low = ball(field, grid, radius, False).select(*KEYS, F.col("v").alias("low"))
+    high = ball(field, grid, radius, True).select(*KEYS, F.col("v").alias("high"))
+    edge = F.col("label").isin(selected) & (F.col("low") != F.col("high"))
+    return labels.join(low, KEYS).join(high, KEYS).select(*KEYS, F.when(edge, F.lit(BACKGROUND)).otherwise(F.col("label")).cast("int").alias("label"))
+
+
+def copy_segments(labels: DataFrame, grid: Grid, selected: list[int], offset: tuple[int, int, int]) -> DataFrame:
+    """Selected labels stay and are written again, moved by (dx, dy, dz), over what is there; what leaves the grid is cut off."""
+    moved = labels.where(F.col("label").isin(selected)).select("volume_id", *((F.col(a) + d).cast("int").alias(a) for a, d in zip("zyx", reversed(offset), strict=True)), F.col("label").alias("copy"))
+    return labels.join(moved, KEYS, "left").select(*KEYS, F.coalesce("copy", "label").alias("label"))
+
+
 def bounding_box(labels: DataFrame, selected: list[int]) -> DataFrame:
     chosen = labels.where(F.col("label").isin(selected))
     return chosen.groupBy("volume_id").agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Grid, InvalidArgument
-from .components import label_components
+from .components import equal_components
 from .surface import min_plus
 
 KEYS = ["volume_id", "z", "y", "x"]
@@ -42,9 +42,8 @@ def overlap(reference: DataFrame, candidate: DataFrame, reference_background: in
 
 def object_count(labels: DataFrame, grid: Grid, connectivity: int = 26, background: int = 0) -> DataFrame:
     """(volume_id, objects): components of equal labels other than the background."""
-    # labels are moved to >= 0 for the components; only equality counts there
-    kept = labels.where(F.col("label") != background).withColumn("label", F.pmod(F.xxhash64("label"), F.lit(2**31 - 1)).cast("int"))
-    return label_components(kept, grid, connectivity).groupBy("volume_id").agg(F.count_distinct("root").alias("objects"))
+    kept = labels.where(F.col("label") != background)
+    return equal_components(kept, grid, connectivity).groupBy("volume_id").agg(F.count_distinct("root").alias("objects"))
 
 
 def surface(labels: DataFrame, grid: Grid, background: int = 0) -> DataFrame:

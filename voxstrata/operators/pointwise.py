@@ -134,3 +134,10 @@ def render_plane(image: DataFrame, low: float, high: float) -> DataFrame:
     width = max(1e-6, float(high) - float(low))
     unit = F.least(F.greatest((F.col("v") - F.lit(float(low))) / F.lit(width), F.lit(0.0)), F.lit(1.0))
     return image.withColumn("v", F.round(unit * 255).cast("int"))
+
+
+def overwrite(field: DataFrame, mask: DataFrame, value: float) -> DataFrame:
+    """value where the mask isn't 0."""
+    keys = ["volume_id", "z", "y", "x"]
+    marks = mask.select(*keys, F.col("v").alias("_m"))
+    return field.join(marks, keys, "left").withColumn("v", F.when(F.col("_m") != 0, F.lit(float(value))).otherwise(F.col("v"))).drop("_m")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import weights as W
 from ..model import MASK, Crop, Grid, Kernel, Projection
 from ..operators import components, directional, labels, metrics, morphology, pointwise, resample, segmentation, stencil, surface
-from ..sources import adapters, packages, synthetic
+from ..sources import adapters, packages, synthetic, tiff
 from .durable import durable
 
 G = adapters.LINEITEM_GRID
@@ -448,6 +448,70 @@ def label_render(spark, sf_dir):
     return labels.render_labels(columns(spark, sf_dir), [2]).select("z", "y", "x", "red", "green", "blue")
 
 
+@query
+def label_select_at(spark, sf_dir):
+    """The label under a cursor, for every tenth position of a row; none for background."""
+    session = labels.LabelSession(columns(spark, sf_dir), G)
+    found = [(x, (session.clear_selection(), session.select_at(x, 5, 3))[1]) for x in range(0, G.width, 10)]
+    return spark.createDataFrame([(x, chosen[0] if chosen else None) for x, chosen in found], "x int, label int")
+
+
+@query
+def label_session_crop(spark, sf_dir):
+    """Select, merge and crop in a session; the crop's origin goes with the voxels."""
+    session = labels.LabelSession(columns(spark, sf_dir), G)
+    session.select([1, 3])
+    session.merge()
+    origin = session.crop()
+    return session.labels.select(*((F.col(a) + o).cast("int").alias(a) for a, o in zip("zyx", reversed(origin), strict=True)), "label")
+
+
+@query
+def label_session_undo(spark, sf_dir):
+    """Merge, dilate, crop, and undo the last two."""
+    session = labels.LabelSession(columns(spark, sf_dir), G)
+    session.select([0, 2])
+    session.merge(2)
+    session.dilate()
+    session.crop()
+    assert session.undo() and session.undo() and session.grid == G
+    return show(session.labels)
+
+
+@query
+def label_session_replace(spark, sf_dir):
+    """Labels replaced by others; of the selection what is still there stays."""
+    session = labels.LabelSession(columns(spark, sf_dir), G)
+    session.select([0, 1, 4])
+    session.replace(session.labels.withColumn("label", F.when(F.col("label") == 1, -1).otherwise(F.col("label")).cast("int")))
+    chosen = session.selection
+    return show(session.labels).withColumn("selected", F.col("label").isin(chosen))
+
+
+@query
+def label_ball_dilate(spark, sf_dir):
+    """Background within a ball of radius 2 of the selected labels takes the least of them."""
+    return show(labels.ball_dilate(columns(spark, sf_dir), G, [1, 3], 2))
+
+
+@query
+def label_ball_erode(spark, sf_dir):
+    """Selected voxels with another label within a ball of radius 1 become background."""
+    return show(labels.ball_erode(columns(spark, sf_dir), G, [0, 2], 1))
+
+
+@query
+def copy_segments(spark, sf_dir):
+    """Selected labels copied to another place: five to the right, one row down."""
+    return show(labels.copy_segments(columns(spark, sf_dir), G, [0, 2], (5, 1, 0)))
+
+
+@query
+def overwrite_by_mask(spark, sf_dir):
+    field = volume(spark, sf_dir)
+    return out(pointwise.overwrite(field, pointwise.threshold(field, middle(field) + 1), 99.0))
+
+
 # agreement, export, sources
 
 
@@ -479,7 +543,8 @@ def metric_hausdorff95(spark, sf_dir):
 @query
 def metric_report(spark, sf_dir):
     a, b = _two_masks(spark, sf_dir)
-    return metrics.evaluate(a, b, G).drop("volume_id")
+    found = metrics.evaluate(a, b, G).drop("volume_id")
+    return found.withColumns({"failures": F.array_join("failures", ", "), **{c: F.round(c, 9) for c in ("dice", "volume_difference", "hausdorff95")}})
 
 
 @query
@@ -487,6 +552,13 @@ def export_labels(spark, sf_dir):
     return packages.export(columns(spark, sf_dir), G, "label").select("volume_id", "kind", "payload_sha256", "label_bits", F.octet_length("payload").alias("payload_bytes"))
 
 
+@query
+def label_stack_round_trip(spark, sf_dir):
+    """Labels written as a stack of 16-bit planes and decoded from its bytes."""
+    stacks = packages.export(columns(spark, sf_dir), G, "label", (0.25, 0.5, 1.75))
+    return tiff.decode_label_stacks(stacks.select("volume_id", F.col("label_tiff").alias("content"))).select("z", "y", "x", "label", "bits", "sz")
+
+
 @query
 def synthetic_sphere(spark, sf_dir):
     return out(synthetic.sphere(spark, 24, 20, 12, 6, 2)[0], 6)

@@ -1,20 +1,24 @@
 """Lineage cuts that survive a lost executor.
 
 A cut is a Parquet table in the shared folder that the session names in
-``spark.checkpoint.dir``; only where that setting is missing (tests, a single
-machine) a temporary folder is used.  Tables are removed when they are dropped
-explicitly or when the driver ends.
+``spark.checkpoint.dir``; only where that setting is missing and the master is
+local (tests, a single machine) a temporary folder is used, elsewhere a missing
+setting is an error, as executors don't share a driver's folders.  Tables are
+removed when they are dropped explicitly or when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..model import InvalidState
+
 _own_root: list[str] = []
 _live: set[str] = set()
 
@@ -23,6 +27,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise InvalidState(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="voxstrata-"))
     return _own_root[0]
@@ -56,10 +63,10 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
 
 @atexit.register
 def _drop_all() -> None:
-    spark = SparkSession.getActiveSession() if _live else None
-    for path in list(_live):
-        with contextlib.suppress(Exception):
-            if spark is not None:
+    with contextlib.suppress(Exception):
+        spark = SparkSession.getActiveSession() or SparkSession._instantiatedSession
+        for path in list(_live) if spark is not None else ():
+            with contextlib.suppress(Exception):
                 _delete(spark, path)
     for root in _own_root:
         with contextlib.suppress(Exception):

@@ -261,6 +261,32 @@ SELECT c.z, c.y, c.x, CAST(coalesce(f.label, c.label) AS INT) AS label FROM cols
         "ab AS (SELECT sqrt(min((p.z - q.z) ** 2 + (p.y - q.y) ** 2 + (p.x - q.x) ** 2)) AS d FROM sa p, sb q GROUP BY p.z, p.y, p.x)",
         "ba AS (SELECT sqrt(min((p.z - q.z) ** 2 + (p.y - q.y) ** 2 + (p.x - q.x) ** 2)) AS d FROM sb p, sa q GROUP BY p.z, p.y, p.x)",
     ),
+    "label_select_at": _with("SELECT x, CASE WHEN label >= 0 THEN label END AS label FROM cols WHERE y = 5 AND z = 3 AND x % 10 = 0", _COLS),
+    "label_session_crop": _with(
+        "SELECT z, y, x, CASE WHEN label IN (1, 3) THEN 1 ELSE -1 END AS label FROM cols, (SELECT min(z) lz, max(z) hz, min(y) ly, max(y) hy, min(x) lx, max(x) hx FROM cols WHERE label IN (1, 3)) WHERE z BETWEEN lz AND hz AND y BETWEEN ly AND hy AND x BETWEEN lx AND hx",
+        _COLS,
+    ),
+    "label_session_undo": _with("SELECT z, y, x, CASE WHEN label IN (0, 2) THEN 2 ELSE label END AS label FROM cols", _COLS),
+    "label_session_replace": _with("SELECT z, y, x, CASE WHEN label = 1 THEN -1 ELSE label END AS label, label IN (0, 4) AS selected FROM cols", _COLS),
+    "label_ball_dilate": _with(f"SELECT p.z, p.y, p.x, CASE WHEN p.label < 0 THEN coalesce(min(q.label), p.label) ELSE p.label END AS label FROM cols p LEFT JOIN cols q ON q.label IN (1, 3) AND {_ball(2)} GROUP BY p.z, p.y, p.x, p.label", _COLS),
+    "label_ball_erode": _with(f"SELECT p.z, p.y, p.x, CASE WHEN p.label IN (0, 2) AND bool_or(q.label <> p.label) THEN -1 ELSE p.label END AS label FROM cols p JOIN cols q ON {_ball(1)} GROUP BY p.z, p.y, p.x, p.label", _COLS),
+    "copy_segments": _with("SELECT c.z, c.y, c.x, coalesce(m.label, c.label) AS label FROM cols c LEFT JOIN cols m ON m.label IN (0, 2) AND m.z = c.z AND m.y = c.y - 1 AND m.x = c.x - 5", _COLS),
+    "overwrite_by_mask": _with("SELECT z, y, x, CASE WHEN v >= t + 1 THEN CAST(99 AS DOUBLE) ELSE v END AS v FROM vol, t"),
+    "label_stack_round_trip": _with("SELECT z, y, x, label, CAST(16 AS INT) AS bits, CAST(1.75 AS DOUBLE) AS sz FROM cols", _COLS),
+    "metric_report": _components(
+        "(SELECT z, y, x FROM a WHERE l = 1 UNION ALL SELECT z + 100, y, x FROM b WHERE l = 1)", 3,
+        """, n AS (SELECT (SELECT sum(l) FROM a) AS r, (SELECT sum(l) FROM b) AS c, (SELECT sum(a.l * b.l) FROM a JOIN b USING (z, y, x)) AS k,
+ (SELECT count(DISTINCT root) FROM cc WHERE root < 50000) AS ro, (SELECT count(DISTINCT root) FROM cc WHERE root >= 50000) AS co,
+ greatest((SELECT quantile_disc(d, 0.95) FROM ab), (SELECT quantile_disc(d, 0.95) FROM ba)) AS h),
+f AS (SELECT *, 2.0 * k / (r + c) AS dice, abs(c - r) / CAST(r AS DOUBLE) AS difference FROM n)
+SELECT CAST(r AS BIGINT) AS reference_count, CAST(c AS BIGINT) AS candidate_count, CAST(k AS BIGINT) AS common, round(dice, 9) AS dice, round(difference, 9) AS volume_difference, ro AS reference_objects, co AS candidate_objects,
+ round(h, 9) AS hausdorff95, CAST(r AS DOUBLE) AS reference_volume, CAST(c AS DOUBLE) AS candidate_volume, 'voxel^3' AS unit,
+ concat_ws(', ', CASE WHEN dice < 0.995 THEN 'dice' END, CASE WHEN ro <> co THEN 'object count' END, CASE WHEN difference > 0.005 THEN 'volume difference' END, CASE WHEN h > 1 THEN 'surface distance' END) AS failures,
+ dice >= 0.995 AND ro = co AND difference <= 0.005 AND h <= 1 AS passed FROM f""",
+        _MASKS, _hausdorff("a"), _hausdorff("b"),
+        "ab AS (SELECT sqrt(min((p.z - q.z) ** 2 + (p.y - q.y) ** 2 + (p.x - q.x) ** 2)) AS d FROM sa p, sb q GROUP BY p.z, p.y, p.x)",
+        "ba AS (SELECT sqrt(min((p.z - q.z) ** 2 + (p.y - q.y) ** 2 + (p.x - q.x) ** 2)) AS d FROM sb p, sa q GROUP BY p.z, p.y, p.x)",
+    ),
     "synthetic_sphere": f"SELECT CAST(c.i AS INT) AS c, CAST(z.i AS INT) AS z, CAST(y.i AS INT) AS y, CAST(x.i AS INT) AS x, round({_f32('CASE WHEN (x.i - 11.5) ** 2 + (y.i - 9.5) ** 2 + ((z.i - 5.5) * 2) ** 2 <= 36 THEN 1 - c.i * 0.2 ELSE 0 END')}, 6) AS v FROM range(2) c(i), range(12) z(i), range(20) y(i), range(24) x(i)",
     "synthetic_ramp": f"SELECT CAST(z.i AS INT) AS z, CAST(y.i AS INT) AS y, CAST(x.i AS INT) AS x, round({_f32('(x.i + y.i + z.i) / CAST(27 AS DOUBLE)')}, 6) AS v FROM range(6) z(i), range(8) y(i), range(16) x(i)",
 }

@@ -344,3 +344,21 @@ def read_labels(raw: bytes) -> tuple[np.ndarray, Stack]:
     if stack.voxel_type not in ("int16", "int32") or stack.grid.channels != 1:
         raise MalformedFile("a label stack has one channel of signed integers")
     return stack.samples[0].astype(np.int32), stack
+
+
+def decode_label_stacks(stacks: DataFrame) -> DataFrame:
+    """stacks(volume_id, content binary) to (volume_id, z, y, x, label, bits, sx, sy, sz)."""
+    from ..operators.volumes import from_arrays
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                labels, stack = read_labels(raw.as_py())
+                for z in range(len(labels)):
+                    table = from_arrays(name, {"label": labels[z : z + 1]}, z).combine_chunks()
+                    table = table.append_column("bits", pa.repeat(pa.scalar(16 if stack.voxel_type == "int16" else 32, pa.int32()), len(table)))
+                    for axis, size in zip("xyz", stack.grid.spacing, strict=True):
+                        table = table.append_column(f"s{axis}", pa.repeat(pa.scalar(float(size), pa.float64()), len(table)))
+                    yield from table.to_batches()
+
+    return stacks.mapInArrow(run, "volume_id string, z int, y int, x int, label int, bits int, sx double, sy double, sz double")
