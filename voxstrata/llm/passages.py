@@ -53,21 +53,26 @@ def repeated_words(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 def dedup_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text without later repeated runs, n_words, n_removed and removed_runs."""
-    runs = repeated_words(docs, doc_id=doc_id, text=text, min_words=min_words).withColumnsRenamed({"did": "_did", "th": "_th", "runs": "_runs"})
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(runs, F.col(doc_id).eqNullSafe(F.col("_did")) & (F.col("_h") == F.col("_th")), "left")
-    found = F.coalesce(F.col("_runs"), F.array().cast("array<struct<first:int,last:int>>"))
+    # columns by place, so that their names can't clash with those in here
+    names = docs.columns
+    placed = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    runs = repeated_words(placed, doc_id=own_id, text=own_text, min_words=min_words)
+    joined = placed.withColumn("h", F.xxhash64(own_text)).join(runs.hint("merge"), F.col(own_id).eqNullSafe(F.col("did")) & (F.col("h") == F.col("th")), "left")
+    found = F.coalesce(F.col("runs"), F.array().cast("array<struct<first:int,last:int>>"))
     removed = F.aggregate(found, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
-    out = joined.withColumns({"removed_runs": found, "n_removed": removed, "_pieces": F.coalesce(F.regexp_extract_all(F.col(text), F.lit(_PIECE), F.lit(0)), F.array().cast("array<string>"))})
+    out = joined.withColumns({"removed_runs": found, "n_removed": removed, "pieces": F.coalesce(F.regexp_extract_all(F.col(own_text), F.lit(_PIECE), F.lit(0)), F.array().cast("array<string>"))})
     # what stays lies between the end of one run and the start of the next
-    edge = F.array(F.struct(F.size("_pieces").alias("first"), F.size("_pieces").alias("last")))
+    edge = F.array(F.struct(F.size("pieces").alias("first"), F.size("pieces").alias("last")))
     gaps = F.transform(F.concat("removed_runs", edge), lambda r, i: F.struct((F.coalesce(F.get(F.col("removed_runs"), i - 1)["last"], F.lit(-1)) + 1).alias("a"), r["first"].alias("b")))
-    kept = F.concat(F.regexp_extract(F.col(text), "^" + _SPACE, 0), F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(F.col("_pieces"), g["a"] + 1, g["b"] - g["a"]))), ""))
-    out = out.withColumns({text: F.when(F.size("removed_runs") > 0, kept).otherwise(F.col(text)), "n_words": F.size("_pieces")})
+    kept = F.concat(F.regexp_extract(F.col(own_text), "^" + _SPACE, 0), F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(F.col("pieces"), g["a"] + 1, g["b"] - g["a"]))), ""))
+    out = out.withColumns({own_text: F.when(F.size("removed_runs") > 0, kept).otherwise(F.col(own_text)), "n_words": F.size("pieces")})
     added = ("n_words", "n_removed", "removed_runs")
-    return out.select(*(c for c in docs.columns if c not in added), *added)
+    stay = [(f"c{i}", name) for i, name in enumerate(names) if name not in added]
+    return out.select(*(c for c, _ in stay), *added).toDF(*(name for _, name in stay), *added)
 
 
-def op7_passage_dedup(spark, sf_dir: str) -> DataFrame:
+def passage_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     spans = F.array_join(F.transform("removed_runs", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string"))), ",")
     return dedup_passages(docs).select("doc_id", "n_words", "n_removed", spans.alias("removed_runs"), F.coalesce(F.length("text"), F.lit(0)).alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -6,17 +6,17 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_ngram_jaccard_join": "ngram_join",
-    "op1_ngram_jaccard_links": "ngram_join",
     "op2_mixing": "mixing",
     "op3_token_counts": "lengths",
     "op4_toxicity": "toxicity",
     "op5_chat_formatting": "chat",
     "op6_license_scans": "licenses",
     "op7_line_dedup": "linededup",
-    "op7_passage_dedup": "passages",
     "op8_sharding": "sharding",
     "op9_embedding_near_dedup": "embeddings",
     "op10_decontamination": "decontam",
+    # op7 on words instead of lines
+    "passage_dedup": "passages",
 }
 
 
