@@ -370,7 +370,8 @@ def _links(parts: DataFrame, texts: DataFrame, copies: DataFrame, k: int, *, pai
     # components of one block share tasks that hold about a block together
     shelf = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("part"), F.lit(shelves))).otherwise(F.col("part"))
     placed = members.join(sized, "part").select("key", "part", "copies", "cuts", shelf.alias("shelf"), F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int").alias("block"))
-    spots = durable(placed, "ngram-blocks").join(texts.select("key", "packed"), "key")
+    # a plan for few classes and for many
+    spots = durable(placed, "ngram-blocks").hint("merge").join(texts.select("key", "packed"), "key")
     tasks = spots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other"), "single": F.col("cuts") == 1})
     kept = tasks.select("single", "shelf", "block_a", "block_b", "part", "key", "copies", "block", "packed")
     found = kept.groupBy("single", "shelf", "block_a", "block_b").applyInArrow(_count_links(k, pairs, max(1, block // 4)), "a long, b long" if pairs else "key long, links long")
@@ -456,8 +457,3 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicate_components(docs, count_links=True).select("doc_id", "n_shingles", "n_links", "component_id")
-
-
-def op1_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
-    """The name under which n_links came first; the join has them now."""
-    return op1_ngram_jaccard_join(spark, sf_dir)
