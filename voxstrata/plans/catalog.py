@@ -450,10 +450,10 @@ def label_render(spark, sf_dir):
 
 @query
 def label_select_at(spark, sf_dir):
-    """The label under a cursor, for every tenth position of a row; none for background."""
+    """The label under a cursor, for every tenth position of a row; -1 where nothing is selected."""
     session = labels.LabelSession(columns(spark, sf_dir), G)
     found = [(x, (session.clear_selection(), session.select_at(x, 5, 3))[1]) for x in range(0, G.width, 10)]
-    return spark.createDataFrame([(x, chosen[0] if chosen else None) for x, chosen in found], "x int, label int")
+    return spark.createDataFrame([(x, chosen[0] if chosen else -1) for x, chosen in found], "x int, label int")
 
 
 @query

@@ -261,7 +261,7 @@ SELECT c.z, c.y, c.x, CAST(coalesce(f.label, c.label) AS INT) AS label FROM cols
         "ab AS (SELECT sqrt(min((p.z - q.z) ** 2 + (p.y - q.y) ** 2 + (p.x - q.x) ** 2)) AS d FROM sa p, sb q GROUP BY p.z, p.y, p.x)",
         "ba AS (SELECT sqrt(min((p.z - q.z) ** 2 + (p.y - q.y) ** 2 + (p.x - q.x) ** 2)) AS d FROM sb p, sa q GROUP BY p.z, p.y, p.x)",
     ),
-    "label_select_at": _with("SELECT x, CASE WHEN label >= 0 THEN label END AS label FROM cols WHERE y = 5 AND z = 3 AND x % 10 = 0", _COLS),
+    "label_select_at": _with("SELECT x, CASE WHEN label >= 0 THEN label ELSE -1 END AS label FROM cols WHERE y = 5 AND z = 3 AND x % 10 = 0", _COLS),
     "label_session_crop": _with(
         "SELECT z, y, x, CASE WHEN label IN (1, 3) THEN 1 ELSE -1 END AS label FROM cols, (SELECT min(z) lz, max(z) hz, min(y) ly, max(y) hy, min(x) lx, max(x) hx FROM cols WHERE label IN (1, 3)) WHERE z BETWEEN lz AND hz AND y BETWEEN ly AND hy AND x BETWEEN lx AND hx",
         _COLS,
