@@ -46,7 +46,7 @@ def got(df, **options):
 
 def test_against_brute_force(spark):
     rows = sample(1)
-    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS n", "2 AS cls", "3 AS pivot")
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS n", "2 AS cls", "3 AS pivots", "4 AS members", "5 AS block")
     out = embeddings.near_duplicates(df).collect()
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in out)
     assert got(df) == brute(rows)
@@ -57,6 +57,14 @@ def test_blocks_give_the_same(spark):
     assert got(spark.createDataFrame(rows, SCHEMA), block=16) == brute(rows)
 
 
+def test_long_lists_are_cut_by_more_pivots(spark):
+    rows = sample(4, 150)
+    expected = brute(rows)
+    for split in (2, 40):
+        assert got(spark.createDataFrame(rows, SCHEMA), split=split) == expected
+    assert got(spark.createDataFrame(rows, SCHEMA), split=20, block=8) == expected
+
+
 def test_recall_on_random_neighbours(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 32))

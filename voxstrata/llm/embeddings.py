@@ -1,19 +1,25 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A vector is described by its ``NEAREST`` nearest reference points (pivots).  An
-inverted list holds, for each (label, length, pivot), the vectors that have the
-pivot in their description.  Two vectors are a candidate if they share at least
-``SHARED`` pivots; with descriptions ordered by pivot number such a pair meets
-in a list of the first ``NEAREST - SHARED + 1`` pivots of both, so only those
-are posted, and the pair is handled in the list of its least shared pivot only.
-Candidates are verified by cosine in double precision.
+A vector is described by its ``NEAREST`` nearest reference points (pivots), in
+order of their numbers.  Two vectors are a candidate if they share at least
+``SHARED`` pivots.  An inverted list holds, for each (label, length, pivot), the
+vectors that have the pivot in their description; with the first
+``NEAREST - SHARED + 1`` pivots posted such a pair meets, and it is handled in
+the list of its least shared pivot only.  A list of more than ``SPLIT`` members is
+cut by the next shared pivot into lists of two pivots, those again into lists of
+three; this changes no candidate, as a pair that shares enough pivots has its
+least ones in common.  So lists stay short although the number of pivots is
+bounded.  Lists hold ids and descriptions; vectors are sent to a list's tasks
+only.  Candidates are verified by cosine in double precision.
 
 Pivots are a bounded sample of distinct vectors (``MAX_PIVOTS`` at most, about
 4 * sqrt(n)), thinned so that no two of them are near each other; every vector
 is indexed.  Equal vectors are one class before the search.  A list of more than
 ``BLOCK`` members is cut into blocks, and its pairs of blocks are separate
-tasks.  A task returns for its members the number of links and one edge to a
-local root, never the pairs.
+tasks.  Members that share a pivot below the list's own are handled elsewhere:
+those with the list's most frequent such pivot are put into blocks of their own,
+which aren't compared with each other.  A task returns for its members the number
+of links and one edge to a local root, never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors with a null label, link with nothing and are their own
@@ -25,6 +31,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +47,8 @@ MAX_PIVOTS = 8_192
 MIN_PIVOTS = 16
 THIN_COSINE = 0.9
 BLOCK = 2_048
+#: Lists of more members are cut by one more shared pivot.
+SPLIT = 4 * BLOCK
 SIMILARITY = 0.98
 
 
@@ -52,17 +61,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, embedding) to (vec_id, label, n, bytes); bytes are null if unusable."""
     for batch in batches:
         vectors = batch.column(2)
-        lengths, raw = [], []
-        for value in vectors:
-            v = None
-            if value.is_valid and len(value) and value.values.null_count == 0:
-                v = value.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                v = v + 0.0  # -0.0 equals 0.0
-                if not (np.isfinite(v).all() and v.any()):
-                    v = None
-            lengths.append(0 if v is None else len(v))
-            raw.append(None if v is None else (v.astype("<f4").tobytes() if value.values.type == pa.float32() else v.tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "label", "n", "raw"])
+        lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        single = vectors.type.value_type == pa.float32()
+        # nulls become NaN; -0.0 equals 0.0
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4" if single else "<f8") + (np.float32(0) if single else 0.0)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        bad = np.bincount(row[~np.isfinite(flat)], minlength=len(lengths)) > 0
+        ok = ~bad & (np.bincount(row[flat != 0], minlength=len(lengths)) > 0)
+        lengths = np.where(ok, lengths, 0)
+        offsets = np.r_[0, np.cumsum(lengths * flat.itemsize)].astype(np.int32)
+        parts = [pa.py_buffer(np.packbits(ok, bitorder="little")), pa.py_buffer(offsets), pa.py_buffer(flat[ok[row]])]
+        raw = pa.Array.from_buffers(pa.binary(), len(lengths), parts)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int32()), raw], names=["vec_id", "label", "n", "raw"])
 
 
 def _matrix(raw: pa.Array, n: int) -> np.ndarray:
@@ -86,12 +96,11 @@ def choose_pivots(classes: DataFrame, count: int, per_length: int = 2) -> dict[i
     return {n: table[: used[n]] for n, table in pivots.items()}
 
 
-def _postings(shared, nearest: int, needed: int):
+def _describe(shared, nearest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
         for batch in batches:
             lengths = batch.column("n").to_numpy(zero_copy_only=False)
-            out = []
             for n in np.unique(lengths):
                 rows = np.flatnonzero(lengths == n)
                 points = pivots.get(int(n))
@@ -104,34 +113,79 @@ def _postings(shared, nearest: int, needed: int):
                         similar = _unit(_matrix(batch.column("raw").take(pa.array(rows[a : a + 4096])), int(n))) @ points.T
                         near[a : a + 4096] = np.argpartition(-similar, m - 1, axis=1)[:, :m]
                     described = np.sort(near, axis=1)
-                post = max(1, described.shape[1] - needed + 1)
-                for k in range(post):
-                    out.append((rows, described[:, k], described))
-            for rows, pivot, described in out:
                 part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(pivot, pa.int32()), pa.array(list(described.astype("<i4")), pa.list_(pa.int32()))], names=[*part.schema.names, "pivot", "described"]
-                )
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * described.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(described.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("label"), part.column("n"), lists], names=["cls", "label", "n", "described"])
 
     return run
 
 
+_LIST = ["label", "n", "pivots"]
+
+
+def _deeper(members: DataFrame, level: int, needed: int) -> DataFrame:
+    """Members in lists of ``level`` pivots, from lists of one pivot less (at: place of the last one)."""
+    size = F.size("described")
+    last = size - F.least(F.lit(needed), size) + level
+    places = F.when(F.col("at") < last, F.sequence(F.col("at") + 1, last)).otherwise(F.array().cast("array<int>"))
+    pivots = F.array_append("pivots", F.element_at("described", F.col("at")))
+    return members.withColumn("at", F.explode(places)).withColumn("pivots", pivots).select("cls", *_LIST, "described", "at")
+
+
+def _leaf_lists(described: DataFrame, needed: int, split: int) -> list[DataFrame]:
+    """(cls, label, n, pivots, described, at, members): the lists to search, of one pivot and more."""
+    members = described.withColumns({"pivots": F.array().cast("array<int>"), "at": F.lit(0)})
+    leaves = []
+    for level in range(1, needed + 1):
+        members = durable(_deeper(members, level, needed), "pivot-lists")
+        lists = durable(members.groupBy(*_LIST).agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "pivot-list-sizes")
+        counted = members.join(lists, _LIST)
+        more = (F.col("members") > split) & (F.least(F.lit(needed), F.size("described")) > level)
+        leaves.append(counted.where(~more))
+        if level == needed or lists.where(F.col("members") > split).isEmpty():
+            break
+        members = counted.where(more).drop("members")
+    return leaves
+
+
+def _tasks(leaf: DataFrame, block: int) -> DataFrame:
+    """leaf with block, block_a, block_b: each member once for every task that it is in."""
+    below = F.array_except(F.slice("described", 1, F.col("at") - 1), F.col("pivots"))
+    large = leaf.where(F.col("members") > block)
+    common = large.select(*_LIST, F.explode(below).alias("x")).groupBy(*_LIST, "x").agg(F.count(F.lit(1)).alias("having"))
+    common = common.groupBy(*_LIST).agg(F.max(F.struct("having", "x")).alias("c")).select(*_LIST, F.col("c.x").alias("x"), F.col("c.having").alias("having"))
+    shared = F.coalesce(F.array_contains(below, F.col("x")), F.lit(False))
+    split_off = F.ceil(F.coalesce("having", F.lit(0)) / F.lit(block)).cast("int")
+    others = F.ceil((F.col("members") - F.coalesce("having", F.lit(0))) / F.lit(block)).cast("int")
+    placed = large.join(common, _LIST, "left").withColumns({"shared": shared, "first": split_off, "cuts": split_off + others})
+    spot = F.xxhash64("cls")
+    placed = placed.withColumn("block", F.when(F.col("shared"), F.pmod(spot, F.col("first"))).otherwise(F.col("first") + F.pmod(spot, F.col("cuts") - F.col("first"))).cast("int"))
+    start = F.when(F.col("shared"), F.col("first")).otherwise(0)
+    other = F.when(start < F.col("cuts"), F.sequence(start, F.col("cuts") - 1)).otherwise(F.array().cast("array<int>"))
+    columns = ["cls", *_LIST, "described", "at", "block"]
+    pairs = placed.withColumn("other", F.explode(other)).select(*columns, F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
+    whole = leaf.where(F.col("members") <= block).withColumns({"block": F.lit(0), "block_a": F.lit(0), "block_b": F.lit(0)})
+    return pairs.unionByName(whole.select(*columns, "block_a", "block_b"))
+
+
 def _verify(needed: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        n, pivot = table.column("n")[0].as_py(), table.column("pivot")[0].as_py()
+        n, pivots = table.column("n")[0].as_py(), table.column("pivots")[0].as_py()
         a, b = table.column("block_a")[0].as_py(), table.column("block_b")[0].as_py()
         ids = table.column("cls").to_numpy()
         weight = table.column("copies").to_numpy()
         side = table.column("block").to_numpy()
         unit = _unit(_matrix(table.column("raw").combine_chunks(), n))
-        described = np.array(table.column("described").to_pylist(), np.int64)
+        described = table.column("described").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         need = min(needed, described.shape[1])
-        _, local = np.unique(described, return_inverse=True)
+        known, local = np.unique(described, return_inverse=True)
         local = local.reshape(described.shape)
         hot = np.zeros((len(ids), int(local.max()) + 1), np.float32)
         np.put_along_axis(hot, local, 1, axis=1)
-        low = hot[:, : int(np.searchsorted(np.unique(described), pivot))]
+        # pivots that a pair of this list doesn't share
+        low = hot[:, (known < pivots[-1]) & ~np.isin(known, pivots)]
         left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
         links = np.zeros(len(ids), np.int64)
         root = np.arange(len(ids))
@@ -141,6 +195,8 @@ def _verify(needed: int, threshold: float):
             ok = hot[rows] @ hot[right].T >= need
             if low.shape[1]:
                 ok &= low[rows] @ low[right].T == 0
+            if not ok.any():
+                continue
             ok &= unit[rows] @ unit[right].T >= threshold
             if a == b:
                 ok &= rows[:, None] != right[None, :]
@@ -187,7 +243,7 @@ def _merge(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return root
 
 
-def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = SIMILARITY, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = SIMILARITY, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors."""
     spark = vectors.sparkSession
     narrow = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).alias("embedding"))
@@ -200,13 +256,11 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     )
     count = classes.count()
     points = spark.sparkContext.broadcast(choose_pivots(classes, count))
-    posted = classes.select("cls", "copies", "label", "n", "raw").mapInArrow(_postings(points, nearest, shared), "cls long, copies long, label string, n int, raw binary, pivot int, described array<int>")
-    posted = durable(posted, "pivot-lists")
-    lists = posted.groupBy("label", "n", "pivot").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    cut = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    placed = posted.join(lists, ["label", "n", "pivot"]).withColumn("cuts", cut).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
-    found = durable(tasks.groupBy("label", "n", "pivot", "block_a", "block_b").applyInArrow(_verify(shared, threshold), "cls long, links long, root long"), "vector-links")
+    described = durable(classes.select("cls", "label", "n", "raw").mapInArrow(_describe(points, nearest), "cls long, label string, n int, described array<int>"), "descriptions")
+    tasks = reduce(DataFrame.unionByName, [_tasks(leaf, block) for leaf in _leaf_lists(described, shared, split)])
+    # ids only up to here: a vector is sent once for each of its tasks
+    members = tasks.join(classes.select("cls", "copies", "raw"), "cls")
+    found = durable(members.groupBy(*_LIST, "block_a", "block_b").applyInArrow(_verify(shared, threshold), "cls long, links long, root long"), "vector-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("cls", "root"), "cls", "root")
     of_class = classes.select("key", "cls", "copies", "least").join(links, "cls", "left").join(parts, F.col("cls") == F.col("node"), "left").select("key", "copies", F.coalesce("links", F.lit(0)).alias("links"), "least", F.coalesce("component", "cls").alias("part"))
