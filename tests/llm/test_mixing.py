@@ -116,3 +116,15 @@ def test_cells_stay_even_for_a_source_of_whole_copies(spark):
     sizes = data.frame(spark, rows).select(F.col("doc_id").alias("_row"), "doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
     out = mixing.mix_copies(sizes, mixing.source_targets(sizes, [1.0], budget=2000.0)).collect()
     assert {(r._sure, r._in) for r in out} == {(2, False)}
+
+
+def test_targets_of_many_sources_over_many_ranges(spark):
+    rng = random.Random(9)
+    sizes = {f"host{i}é": int(10 ** rng.uniform(0, 5)) for i in range(400)} | {None: 12, "": 0, "\U0001f600": 7, "�": 9}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+    expected = fill(sizes)
+    out = mixing.source_targets(df, (1, 2, 3)).collect()
+    assert len(out) == len(sizes)
+    for r in out:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(expected[r.source], rel=1e-9)
+    assert mixing.source_targets(df.where("false"), (1, 2, 3)).collect() == []

@@ -46,26 +46,41 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ranked(by_source: DataFrame) -> DataFrame:
+    """by_source with ``_i``, its place in the order of sources; counted by ranges, so no task holds all sources."""
+    ranges = durable(by_source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()), "mix-sources")
+    # one row a range
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last())
+    return ranges.join(F.broadcast(starts), F.col("_range") == F.col("_r")).withColumn("_i", F.col("_start") + F.row_number().over(inside) - 1)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float | None = None, max_copies: int = MAX_COPIES) -> DataFrame:
     """(source, source_size, target): one row per source.
 
-    The windows run over sources, not documents.  The filling level t solves
-    sum(min(weight * t, max_copies * size)) = budget; with sources ordered by
-    max_copies * size / weight the capped ones are a prefix of the order.
+    The filling level t solves sum(min(weight * t, max_copies * size)) = budget.
+    It rises from budget / sum(weight): each round shares what the sources above
+    their cap leave among the others, until no further source is above it.  The
+    driver sees three sums a round.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_i"), F.lit(len(weights))) + 1).cast("int"))
-    ranked = by_source.withColumn("_i", F.row_number().over(order) - 1).withColumn("weight", weight).withColumn("cap", F.lit(float(max_copies)) * F.col("source_size"))
-    whole = Window.partitionBy(F.lit(0))
-    level = Window.orderBy(F.col("cap") / F.col("weight"), "_i").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(whole).cast("double") if budget is None else F.least(F.lit(float(budget)), F.sum("cap").over(whole))
-    filled = ranked.withColumns({"_total": total, "_cut": F.coalesce(F.sum("cap").over(level), F.lit(0.0)), "_left": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(level), F.lit(0.0))})
-    # t if this source is the first that isn't capped; the true t is the least one that its own source's cap reaches
-    offered = filled.withColumn("_t", (F.col("_total") - F.col("_cut")) / F.col("_left"))
-    solved = offered.withColumn("_level", F.min(F.when(F.col("_t") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "_i", "_t"))).over(whole))
-    target = F.coalesce(F.least(F.col("cap"), F.col("_level")["_t"] * F.col("weight")), F.col("cap"))
-    return solved.select("source", "source_size", target.alias("target"))
+    ranked = _ranked(by_source).select("source", "source_size", weight.alias("weight"), (F.lit(float(max_copies)) * F.col("source_size")).alias("cap"))
+    table = durable(ranked, "mix-caps")
+    words, caps, left = table.agg(F.sum("source_size"), F.sum("cap"), F.sum("weight")).first()
+    if words is None:
+        return table.select("source", "source_size", F.col("cap").alias("target"))
+    total = float(words) if budget is None else min(float(budget), caps)
+    level, above = total / left, 0
+    while True:
+        full = F.col("weight") * F.lit(level) > F.col("cap")
+        now, cut, left = table.agg(F.count_if(full), F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if now == above or left <= 0:
+            break
+        level, above = (total - cut) / left, now
+    return table.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def mix_copies(rows: DataFrame, targets: DataFrame, *, doc_weight: str | None = None, seed: int = SEED, max_copies: int = MAX_COPIES) -> DataFrame:
