@@ -12,7 +12,7 @@ whose size is nearest to what is still missing is taken if that lowers the
 error.
 
 No task holds a source: rank keys are cut into ``RANK_CELLS`` cells, sums per
-(source, cell) find the one cell in which a source's rest is reached, and only
+(source, cell), and of blocks of cells, find the one cell in which a source's rest is reached, and only
 that cell's rows are ordered one by one.
 
 Defined cases: a null text has 0 words; a null source is a source of its own,
@@ -36,6 +36,7 @@ from ..plans.durable import durable
 WORD = "[^\\x20\\x09-\\x0D]+"
 SEED = 2_718_281
 RANK_CELLS = 1 << 14
+CELL_BLOCK = 1 << 7
 MAX_COPIES = 3
 FILL_ROUNDS = 3
 #: Up to so many sources, the table of targets (a row of a few numbers each) is broadcast.
@@ -99,9 +100,18 @@ def mix_copies(rows: DataFrame, targets: DataFrame, *, doc_weight: str | None =
     spread = (unit / (1 - unit)) / tilt
     keyed = rows.join(goal, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_key": odds, "_cell": F.least(F.floor(spread / (1 + spread) * RANK_CELLS), F.lit(RANK_CELLS - 1)).cast("int")})
     cells = keyed.groupBy("source", "_cell").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_goal"))
-    upto = Window.partitionBy("source").orderBy("_cell")
-    reached = cells.withColumn("_sum", F.sum("_words").over(upto)).where("_sum > _goal").groupBy("source").agg(F.min_by(F.struct("_cell", (F.col("_sum") - F.col("_words")).alias("before")), "_cell").alias("edge"))
-    edges = reached.select(F.col("source").alias("_es"), F.col("edge._cell").alias("_edge"), F.col("edge.before").alias("_before"))
+    # first the block of cells, then the cell in it: windows of RANK_CELLS / CELL_BLOCK and of CELL_BLOCK rows a source
+    block = F.floor(F.col("_cell") / CELL_BLOCK).cast("int")
+
+    def first_over(sums: DataFrame, place: str, before: Column) -> DataFrame:
+        run = sums.withColumn("_sum", F.sum("_words").over(Window.partitionBy("source").orderBy(place)) + before)
+        edge = F.min_by(F.struct(place, (F.col("_sum") - F.col("_words")).alias("before")), place)
+        return run.where("_sum > _goal").groupBy(F.col("source").alias("_es")).agg(edge.alias("edge"))
+
+    blocks = cells.groupBy("source", block.alias("_block")).agg(F.sum("_words").alias("_words"), F.first("_goal").alias("_goal"))
+    reached = first_over(blocks, "_block", F.lit(0))
+    inside = cells.join(reached, F.col("source").eqNullSafe(F.col("_es")) & (block == F.col("edge._block"))).select("source", "_cell", "_words", "_goal", F.col("edge.before").alias("_from"))
+    edges = first_over(inside, "_cell", F.col("_from")).select("_es", F.col("edge._cell").alias("_edge"), F.col("edge.before").alias("_before"))
     placed = keyed.join(edges, F.col("source").eqNullSafe(F.col("_es")), "left")
     # every cell before the edge is taken; a source that never reaches its rest takes all
     at_edge = placed.where("_cell = _edge")
