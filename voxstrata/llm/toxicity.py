@@ -97,23 +97,35 @@ def fit(terms: np.ndarray, rows: np.ndarray, at: np.ndarray, labels: np.ndarray,
     learn = (np.arange(n) % 5 != 4) if n >= 200 else np.ones(n, bool)
     used = learn[rows]
     r, a = rows[used], at[used]
-    state = [np.zeros((m + 1, rank + 1)) for _ in range(2)]
+    # entries by row and by term, so that sums are over runs of neighbours
+    by_row, by_term = np.lexsort((a, r)), np.lexsort((r, a))
+    r, a, turned = r[by_row], a[by_row], r[by_term]
+    row_at, term_at = (np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)]) for x in (r, at[used][by_term]))
+    some, every = r[row_at], at[used][by_term][term_at]
+    state = [np.zeros((rank + 1, m + 1)) for _ in range(2)]
+    weights, factors = model.weights, np.ascontiguousarray(model.factors.T)
     for step in range(1, steps + 1):
-        v = model.factors[a]
-        sums = np.stack([np.bincount(r, v[:, f], n) for f in range(rank)], axis=1)
-        error = np.where(learn, 1 / (1 + np.exp(-np.clip(model.logits(r, a, n), -60, 60))) - labels, 0.0) / learn.sum()
-        grad = np.zeros((m + 1, rank + 1))
-        grad[:m, 0] = np.bincount(a, error[r], m) + decay * model.weights
-        pull = (sums[r] - v) * error[r][:, None]
-        for f in range(rank):
-            grad[:m, f + 1] = np.bincount(a, pull[:, f], m) + decay * model.factors[:, f]
-        grad[m, 0] = error.sum()
+        v = factors[:, a]
+        sums, logits = np.zeros((rank, n)), np.full(n, model.bias)
+        if len(a):
+            sums[:, some] = np.add.reduceat(v, row_at, axis=1)
+            own = weights[a] - 0.5 * np.einsum("fi,fi->i", v, v)
+            logits[some] += np.add.reduceat(own, row_at) + 0.5 * (sums[:, some] ** 2).sum(axis=0)
+        error = np.where(learn, 1 / (1 + np.exp(-np.clip(logits, -60, 60))) - labels, 0.0) / learn.sum()
+        grad = decay * np.vstack([weights, factors])
+        grad = np.hstack([grad, np.zeros((rank + 1, 1))])
+        if len(a):
+            pull = np.add.reduceat(error[turned], term_at)
+            grad[0, every] += pull
+            grad[1:, every] += np.add.reduceat((sums * error)[:, turned], term_at, axis=1) - factors[:, every] * pull
+        grad[0, m] = error.sum()
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.999 * state[1] + 0.001 * grad**2
         move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
-        model.weights -= move[:m, 0]
-        model.factors -= move[:m, 1:]
-        model.bias -= move[m, 0]
+        weights -= move[0, :m]
+        factors -= move[1:, :m]
+        model.bias -= move[0, m]
+    model.factors = np.ascontiguousarray(factors.T)
     held = ~learn if 0 < labels[~learn].sum() < (~learn).sum() else learn
     model.bias += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(model.logits(rows, at, n)[held], labels[held])
     return model
