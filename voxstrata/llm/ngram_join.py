@@ -387,18 +387,17 @@ def linked_class_pairs(docs: DataFrame, text: str = "text", k: int = SHINGLE, bl
     return _links(parts, texts.df, texts.df.select("key", F.lit(1).cast("long").alias("copies")), k, pairs=True, block=block)
 
 
-def _keyed(k: int):
-    """Rows with their set's size and key behind them; the text is the column ``_text``."""
+def _keyed(k: int, at: int, keep: bool):
+    """Rows with the size and key of the set of their column ``at`` behind them, and that column only if it is to be kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
             sizes, keys = [], []
             for _, _, data, offs in text_chunks(batch.column(at)):
                 for s in shingle_sets(data, offs, k):
                     sizes.append(len(s))
                     keys.append(set_key(s))
-            rest = [i for i in range(batch.num_columns) if i != at]
+            rest = [i for i in range(batch.num_columns) if keep or i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=[*(batch.schema.names[i] for i in rest), "n_shingles", "set_key"])
         trim_memory()
 
@@ -412,7 +411,7 @@ def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text:
     ``count_links`` also n_links, the number of other rows that the row links with.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    described = durable(narrow.mapInArrow(_keyed(k), "doc_id long, n_shingles long, set_key long"), "ngram-docs")
+    described = durable(narrow.mapInArrow(_keyed(k, 1, False), "doc_id long, n_shingles long, set_key long"), "ngram-docs")
     parts, texts = _linked(narrow, "_text", k)
     classes = described.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     placed = classes.join(parts, F.col("set_key") == F.col("node"), "left").select("set_key", "least", "copies", F.coalesce("component", "set_key").alias("part"))
@@ -443,9 +442,9 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     # columns by place, so that their names can't clash with those in here
     names = docs.columns
     placed = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    own_id = f"c{names.index(doc_id)}"
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields)
-    keyed = placed.withColumn("_text", F.col(own_text)).mapInArrow(_keyed(k), f"{fields}, n_shingles long, set_key long")
+    keyed = placed.mapInArrow(_keyed(k, names.index(text), True), f"{fields}, n_shingles long, set_key long")
     same = F.col(own_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("set_key") == F.col("_s"))
     left = keyed.join(drop, same, "left_anti")
     if not again.isEmpty():
