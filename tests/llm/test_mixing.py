@@ -96,10 +96,11 @@ def test_the_documents_taken_against_brute_force(spark):
         rank = lambda r: ((u := (((hashes[r.doc_id] % 2**64) >> 12) + 0.5) / 2**52) / (1 - u), r.doc_id)
         chosen, total = set(), 0
         for r in sorted(docs, key=rank):
-            total += r.size
-            if total > rest or rest <= 0:
+            if rest <= 0 or (total + r.size > rest and rest - total <= mixing.TOLERANCE * r.target):
                 break
-            chosen.add(r.doc_id)
+            if total + r.size <= rest:
+                total += r.size
+                chosen.add(r.doc_id)
         gap = rest - sum(r.size for r in docs if r.doc_id in chosen)
         for _ in range(mixing.FILL_ROUNDS):
             near = [r for r in docs if r.doc_id not in chosen and r.size > 0 and rest > 0 and gap > 0 and r.size < 2 * gap]
@@ -110,6 +111,18 @@ def test_the_documents_taken_against_brute_force(spark):
         assert {r.doc_id: r.copies for r in docs if r.size} == {r.doc_id: min(3, sure + (r.doc_id in chosen)) for r in docs if r.size}
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_long_documents_do_not_end_the_order(spark, few, monkeypatch):
+    """A document that doesn't fit is passed over, so that few long ones don't leave a target unfilled; by broadcast and by parts."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    # two sources of 300 documents of 10 words and a long one, and a third that is the biggest
+    rows = [(1000 * s + i, "w " * (2_000 if i == 0 else 10), "en", source, 0) for s, source in enumerate("ab") for i in range(301)]
+    rows += [(5000 + i, "w " * 10, "en", "c", 0) for i in range(100)]
+    out = mixing.mix_documents(data.frame(spark, rows).repartition(5)).collect()
+    assert len(out) == len(rows)
+    check(rows, out, 0.01)
+
+
 def test_cells_stay_even_for_a_source_of_whole_copies(spark):
     """A source whose target is a whole multiple of its size has no sampled part, and no cell holds its keys."""
     rows = [(i, "a b", "en", "s", 0) for i in range(500)]

@@ -6,14 +6,17 @@ size, and what is cut off is shared by weight among the others.  A document of
 a source with target / size = c gets floor(c) whole copies for certain.  The
 rest of the target is a sample: documents are ranked by random odds divided by
 inclusion odds (Pareto order sampling; the inclusion probability is the rest of
-c, optionally tilted by a document weight) and taken in that order until the
-rest would be exceeded; then, ``FILL_ROUNDS`` times, the left-over document
-whose size is nearest to what is still missing is taken if that lowers the
-error.
+c, optionally tilted by a document weight) and taken in that order.  A document
+that would exceed the rest is passed over, and the order goes on until nothing
+fits or no more than ``TOLERANCE`` of the target is missing.  Then,
+``FILL_ROUNDS`` times, the left-over document whose size is nearest to what is
+still missing is taken if that lowers the error.
 
 No task holds a source: rank keys are cut into ``RANK_CELLS`` cells, sums per
 (source, cell), and of blocks of cells, find the one cell in which a source's rest is reached, and only
-that cell's rows are ordered one by one.
+that cell's rows are ordered one by one.  What is known of a source reaches its
+rows by a broadcast of at most ``BROADCAST_SOURCES`` sources, else by a join in
+which each source has ``SALT`` parts.
 
 Defined cases: a null text has 0 words; a null source is a source of its own,
 after all others; a document without words is taken 0 words; an empty table
@@ -39,6 +42,8 @@ RANK_CELLS = 1 << 14
 CELL_BLOCK = 1 << 7
 MAX_COPIES = 3
 FILL_ROUNDS = 3
+TOLERANCE = 1e-3
+SALT = 64
 #: Up to so many sources, the table of targets (a row of a few numbers each) is broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -84,22 +89,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float | N
     return table.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix_copies(rows: DataFrame, targets: DataFrame, *, doc_weight: str | None = None, seed: int = SEED, max_copies: int = MAX_COPIES) -> DataFrame:
-    """rows(_row, doc_id, source, size) with source_size, target and ``copies``.
+def _with_source(rows: DataFrame, facts: DataFrame, key: str, few: bool, how: str = "inner") -> DataFrame:
+    """rows(_row, source, ..) with facts, a row for each source in ``key``; no task gets all rows of a source."""
+    same = F.col("source").eqNullSafe(F.col(key))
+    if few:
+        return rows.join(F.broadcast(facts), same, how)
+    parts = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALT)).cast("int"))
+    return salted.join(parts, same & (F.col("_salt") == F.col("_part")), how).drop("_salt", "_part")
 
-    ``_row`` must be unique.  ``doc_weight`` names a positive column that tilts
-    the inclusion odds of the sampled part.
-    """
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = targets.select(F.col("source").alias("_source"), "source_size", "target", F.least(F.floor(rate), F.lit(max_copies)).cast("int").alias("_sure"), rate.alias("_rate"))
-    goal = goal.withColumn("_rest", F.col("target") - F.col("_sure") * F.col("source_size")).withColumn("_p", F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("_rate") - F.col("_sure"))))
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 12).cast("double") + 0.5) / float(1 << 52)
-    tilt = F.coalesce(F.col(doc_weight).cast("double"), F.lit(1.0)) if doc_weight else F.lit(1.0)
-    odds = (unit / (1 - unit)) / (F.col("_p") / (1 - F.col("_p")) * tilt)
-    # the inclusion odds are one number for a source, so cells are cut by the rest of the rank: they stay even whatever that number is
-    spread = (unit / (1 - unit)) / tilt
-    keyed = rows.join(goal, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_key": odds, "_cell": F.least(F.floor(spread / (1 + spread) * RANK_CELLS), F.lit(RANK_CELLS - 1)).cast("int")})
-    cells = keyed.groupBy("source", "_cell").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_goal"))
+
+def _cut(keyed: DataFrame, few: bool) -> DataFrame:
+    """keyed(_row, doc_id, source, size, _key, _cell, _goal, ..) with ``_in``: taken in the order of keys before ``_goal`` is exceeded."""
+    cells = keyed.groupBy("source", "_cell").agg(F.sum("size").alias("_words"), F.first("_goal").alias("_goal"))
     # first the block of cells, then the cell in it: windows of RANK_CELLS / CELL_BLOCK and of CELL_BLOCK rows a source
     block = F.floor(F.col("_cell") / CELL_BLOCK).cast("int")
 
@@ -110,17 +112,35 @@ def mix_copies(rows: DataFrame, targets: DataFrame, *, doc_weight: str | None =
 
     blocks = cells.groupBy("source", block.alias("_block")).agg(F.sum("_words").alias("_words"), F.first("_goal").alias("_goal"))
     reached = first_over(blocks, "_block", F.lit(0))
+    reached = F.broadcast(reached) if few else reached
     inside = cells.join(reached, F.col("source").eqNullSafe(F.col("_es")) & (block == F.col("edge._block"))).select("source", "_cell", "_words", "_goal", F.col("edge.before").alias("_from"))
     edges = first_over(inside, "_cell", F.col("_from")).select("_es", F.col("edge._cell").alias("_edge"), F.col("edge.before").alias("_before"))
-    placed = keyed.join(edges, F.col("source").eqNullSafe(F.col("_es")), "left")
-    # every cell before the edge is taken; a source that never reaches its rest takes all
-    at_edge = placed.where("_cell = _edge")
+    placed = _with_source(keyed, edges, "_es", few, "left")
+    # every cell before the edge is taken; a source that never reaches its goal takes all
     run = Window.partitionBy("source").orderBy("_key", "doc_id", "size", "_row")
-    ordered = at_edge.withColumn("_sum", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before"))
-    decided = ordered.withColumn("_in", F.col("_sum") <= F.col("_rest"))
-    rest = placed.where("_cell <> _edge OR _edge IS NULL").withColumn("_in", F.coalesce(F.col("_cell") < F.col("_edge"), F.lit(True)) & (F.col("_rest") > 0))
-    columns = [*rows.columns, "source_size", "target", "_sure", "_rest", "_in"]
-    return decided.select(*columns).unionAll(rest.select(*columns))
+    ordered = placed.where("_cell = _edge").withColumn("_sum", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before"))
+    decided = ordered.withColumn("_in", F.col("_sum") <= F.col("_goal"))
+    others = placed.where("_cell <> _edge OR _edge IS NULL").withColumn("_in", F.coalesce(F.col("_cell") < F.col("_edge"), F.lit(True)) & (F.col("_goal") > 0))
+    columns = [*keyed.columns, "_in"]
+    return decided.select(*columns).unionAll(others.select(*columns))
+
+
+def mix_copies(rows: DataFrame, targets: DataFrame, *, doc_weight: str | None = None, seed: int = SEED, max_copies: int = MAX_COPIES, few_sources: bool = False) -> DataFrame:
+    """rows(_row, doc_id, source, size) with source_size, target, whole copies ``_sure``, and ``_in``: in the sample up to the first that doesn't fit.
+
+    ``_row`` must be unique.  With ``few_sources`` tables of sources are broadcast.  ``doc_weight`` names a positive column that tilts
+    the inclusion odds of the sampled part.
+    """
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = targets.select(F.col("source").alias("_source"), "source_size", "target", F.least(F.floor(rate), F.lit(max_copies)).cast("int").alias("_sure"), rate.alias("_rate"))
+    goal = goal.withColumn("_rest", F.col("target") - F.col("_sure") * F.col("source_size")).withColumn("_p", F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("_rate") - F.col("_sure"))))
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 12).cast("double") + 0.5) / float(1 << 52)
+    tilt = F.coalesce(F.col(doc_weight).cast("double"), F.lit(1.0)) if doc_weight else F.lit(1.0)
+    odds = (unit / (1 - unit)) / (F.col("_p") / (1 - F.col("_p")) * tilt)
+    # the inclusion odds are one number for a source, so cells are cut by the rest of the rank: they stay even whatever that number is
+    spread = (unit / (1 - unit)) / tilt
+    keyed = _with_source(rows, goal, "_source", few_sources).withColumns({"_key": odds, "_cell": F.least(F.floor(spread / (1 + spread) * RANK_CELLS), F.lit(RANK_CELLS - 1)).cast("int"), "_goal": F.col("_rest")})
+    return _cut(keyed.select(*rows.columns, "source_size", "target", "_sure", "_rest", "_key", "_cell", "_goal"), few_sources)
 
 
 def mix_documents(
@@ -142,24 +162,41 @@ def mix_documents(
     narrow = docs.select((F.monotonically_increasing_id() if row_id is None else F.col(row_id)).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"))
     sizes = durable(narrow, "mix-sizes")
     targets = durable(source_targets(sizes, weights, budget, max_copies), "mix-targets")
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    chosen = durable(mix_copies(sizes, targets, seed=seed, max_copies=max_copies), "mix-chosen")
-    taken = chosen.where("_in").groupBy("source").agg(F.sum("size").alias("_taken"))
+    few = targets.count() <= BROADCAST_SOURCES
+    chosen = durable(mix_copies(sizes, targets, seed=seed, max_copies=max_copies, few_sources=few), "mix-chosen")
+    taken = chosen.where("_in").groupBy(F.col("source").alias("_ts")).agg(F.sum("size").alias("_taken"))
     sure = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_copies))).otherwise(0)
-    gaps = targets.join(taken.withColumnRenamed("source", "_ts"), F.col("source").eqNullSafe(F.col("_ts")), "left").select(
-        F.col("source").alias("_gs"), (F.col("target") - sure * F.col("source_size") - F.coalesce("_taken", F.lit(0))).alias("_gap"), F.array().cast("array<bigint>").alias("_fill")
+    gaps = targets.join(taken, F.col("source").eqNullSafe(F.col("_ts")), "left").select(
+        F.col("source").alias("_gs"), (F.col("target") - sure * F.col("source_size") - F.coalesce("_taken", F.lit(0))).alias("_gap"), (F.lit(TOLERANCE) * F.col("target")).alias("_slack")
     )
-    spare = chosen.where("NOT _in AND size > 0 AND _rest > 0").select("_row", "doc_id", "source", "size")
+    gaps = durable(gaps, "mix-gaps")
+    spare = chosen.where("NOT _in AND size > 0 AND _rest > 0").select("_row", "doc_id", "source", "size", "_key", "_cell")
+    # the order goes on behind a document that doesn't fit: each round takes what fits of the documents that fitted before
+    left, more = spare, None
+    while True:
+        fits = _with_source(left, gaps.where("_gap > _slack").select("_gs", F.col("_gap").alias("_goal")), "_gs", few).where("size <= _goal")
+        fits = durable(_cut(fits.drop("_gs"), few), "mix-fits")
+        if fits.isEmpty():
+            break
+        now = fits.where("_in")
+        gains = now.groupBy(F.col("source").alias("_ts")).agg(F.sum("size").alias("_more"))
+        gaps = durable(gaps.join(gains, F.col("_gs").eqNullSafe(F.col("_ts")), "left").select("_gs", (F.col("_gap") - F.coalesce("_more", F.lit(0))).alias("_gap"), "_slack"), "mix-gaps")
+        more = now.select("_row") if more is None else more.unionAll(now.select("_row"))
+        left = fits.where("NOT _in").select(*left.columns)
+    if more is not None:
+        spare = spare.join(more, "_row", "left_anti")
+    gaps = gaps.select("_gs", "_gap", F.array().cast("array<bigint>").alias("_fill"))
     for _ in range(FILL_ROUNDS):
         gaps = durable(gaps, "mix-gaps")
-        near = spare.join(gaps.where("_gap > 0"), F.col("source").eqNullSafe(F.col("_gs"))).where((F.col("size") < 2 * F.col("_gap")) & ~F.array_contains("_fill", F.col("_row")))
+        near = _with_source(spare, gaps.where("_gap > 0"), "_gs", few).where((F.col("size") < 2 * F.col("_gap")) & ~F.array_contains("_fill", F.col("_row")))
         best = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("e"), "doc_id", "_row", "size")).alias("f")).withColumnRenamed("source", "_bs")
         found = F.col("f").isNotNull()
         gaps = gaps.join(best, F.col("_gs").eqNullSafe(F.col("_bs")), "left").select(
             "_gs", F.when(found, F.col("_gap") - F.col("f.size")).otherwise(F.col("_gap")).alias("_gap"), F.when(found, F.array_append("_fill", F.col("f._row"))).otherwise(F.col("_fill")).alias("_fill")
         )
     filler = gaps.select(F.explode("_fill").alias("_frow"))
+    if more is not None:
+        filler = filler.unionAll(more)
     out = chosen.join(filler, F.col("_row") == F.col("_frow"), "left")
     copies = F.least(F.lit(max_copies), F.col("_sure") + (F.col("_in") | F.col("_frow").isNotNull()).cast("int"))
     return out.select("_row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
