@@ -245,8 +245,8 @@ def staged_segmentation(masks, shape, *, closing_radius: int, more_than: int, in
         boxes = label_boxes(candidates)
         waiting, before = False, labels.copy()
         for c in range(int(candidates.max(initial=-1)) + 1):
-            # the component's box, and around it what its closing can reach
-            box = tuple(slice(max(0, s.start - thickness // 2), s.stop + thickness // 2) for s in boxes[c])
+            # the component's box, around it what its dilation can reach, and what the erosion of that reads
+            box = tuple(slice(max(0, s.start - 2 * (thickness // 2)), s.stop + 2 * (thickness // 2)) for s in boxes[c])
             own = candidates[box] == c
             if not final:
                 closed = chunked(own.astype(np.float32), thickness // 2, False)
