@@ -16,11 +16,11 @@ def test_query(spark, sf_dir, name):
     ours, theirs = queries.queries()[name](spark, sf_dir).toPandas(), con.execute(oracles.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     keys = sorted(ours.columns)
-    a, b = (d[keys].sort_values(keys).reset_index(drop=True).astype(object) for d in (ours, theirs))
+    a, b = (d[keys].sort_values(keys).reset_index(drop=True).astype(object).fillna("null") for d in (ours, theirs))
     assert len(a) == len(b) and (a == b).all().all()
 
 
-@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in oracles.ORACLES and n != "op3_token_counts"])
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in oracles.ORACLES and n not in ("op3_token_counts", "op12_packing")])
 def test_one_row_per_document(spark, sf_dir, name):
     got = queries.queries()[name](spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -94,3 +94,47 @@ SELECT doc_id, item_id, 0, 0, len(docs.w), len(docs.w) FROM docs JOIN items ON d
 
 
 ORACLES = {"op1_ngram_jaccard_join": OP1, "op5_chat_formatting": OP5, "op7_line_dedup": OP7, "op9_embedding_near_dedup": OP9, "op10_decontamination": _overlaps()}
+
+_OP11_UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+#: Units as lists, cut by list slices.
+OP11 = rf"""
+WITH cut AS (
+ SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_OP11_UNITS}') AS u, sha256('42:' || doc_id) AS h FROM documents),
+drawn AS (
+ SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+ SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts"""
+
+
+def _op13(rounds: int = 10) -> str:
+    """Whole distances to all centroids, round by round; a centroid is a list."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+ SELECT k.row, k.vec_id, k.w, min(struct_pack(d := list_sum(list_transform(list_zip(k.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, j := c.j)) AS b FROM kept k, c{r} c GROUP BY ALL)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (
+ SELECT c.j, coalesce(m.w, c.w) AS w FROM c{r} c LEFT JOIN (
+  SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS w FROM (
+   SELECT b.j AS j, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT b, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a{r}) GROUP BY ALL) GROUP BY j) m USING (j))"""
+            )
+    return f"""
+WITH kept AS MATERIALIZED (
+ SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, w) - 1 AS j, w FROM (SELECT sha256('3:' || vec_id) AS h, w FROM kept ORDER BY h, w LIMIT 8)),
+{", ".join(steps)}
+SELECT vec_id, b.j::INTEGER AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.j))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.w, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.j = a.b.j"""
+
+
+ORACLES["op11_fill_in_middle"] = OP11
+ORACLES["op13_centroid_clustering"] = _op13()

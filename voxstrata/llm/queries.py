@@ -15,6 +15,9 @@ _QUERIES = {
     "op8_sharding": "sharding",
     "op9_embedding_near_dedup": "embeddings",
     "op10_decontamination": "decontam",
+    "op11_fill_in_middle": "fim",
+    "op12_packing": "packing",
+    "op13_centroid_clustering": "centroids",
     # op7 on words instead of lines
     "passage_dedup": "passages",
 }

@@ -103,6 +103,20 @@ def word_spans(data: np.ndarray, offs: np.ndarray, letters_only: bool = False) -
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offs)
 
 
+def unit_ends(data: np.ndarray, last: bool = True) -> np.ndarray:
+    """Byte ends of the units of one text: white space and the word behind it, or white space at the end.
+
+    With ``last`` False the last byte is only looked at to see whether a word goes on.
+    """
+    inside = ~_SPACE[data]
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    return np.append(ends, len(data)) if last and len(data) else ends
+
+
+def code_points(data: np.ndarray) -> int:
+    return int(np.count_nonzero((data & 0xC0) != 0x80))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray, lower: bool = True):
     """64-bit hashes of byte spans, independent of where they stand.
 
