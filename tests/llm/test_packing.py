@@ -50,8 +50,9 @@ def test_hashes_that_collide(encoder, monkeypatch):
 
 
 def test_a_full_table_starts_anew(encoder, monkeypatch):
-    other = packing.UnitEncoder(RAW)
     monkeypatch.setattr(packing, "KEPT_UNITS", 20)
+    monkeypatch.setattr(packing, "SLOT_BITS", 4)
+    other = packing.UnitEncoder(RAW)
     rng = random.Random(6)
     for _ in range(20):
         texts = [data.text(rng, 12) for _ in range(3)]
@@ -60,13 +61,15 @@ def test_a_full_table_starts_anew(encoder, monkeypatch):
 
 def brute_cost(places, penalties, length, sequence):
     cost = [0]
+    free = {packing.SHORTEST << k for k in range(12)}
     for j in range(1, len(places)):
         sizes = ((places[j] - places[i], cost[i]) for i in range(j))
-        cost.append(min(c + (0 if s & (s - 1) == 0 else length - s) for s, c in sizes if s <= length) + sequence + penalties[j])
+        cost.append(min(c + (0 if s in free else length - s) for s, c in sizes if s <= length) + sequence + penalties[j])
     return cost
 
 
-def test_cuts_are_the_cheapest():
+def test_cuts_are_the_cheapest(monkeypatch):
+    monkeypatch.setattr(packing, "SHORTEST", 4)
     rng = random.Random(7)
     for length in (8, 32, 64):
         for _ in range(60):
@@ -77,6 +80,15 @@ def test_cuts_are_the_cheapest():
             assert all(0 < places[j] - places[back[j]] <= length for j in range(1, len(places)))
 
 
+def test_places_of_cuts():
+    units = np.array([3, 10, 40, 45, 90, 100, 300])
+    stops = np.array([False, True, False, False, True, True, True])
+    places, penalties = packing.possible_cuts(np.array([0, 100, 300]), units, stops)
+    assert places[:4].tolist() == [10, 45, 74, 90] and penalties[:4].tolist() == [4, 32, 32, 4]
+    assert places[4:].tolist() == list(range(132, 300, 32)) and set(penalties[4:].tolist()) == {32}
+    assert packing.possible_cuts(np.array([0, 0, 0]), units[:0], stops[:0])[0].tolist() == []
+
+
 def total_cost(packer, documents):
     pieces = [p for d in documents for p in packer.add(*d)] + list(packer.end())
     return pieces, packer.sequences
@@ -88,14 +100,15 @@ def test_sending_early_changes_nothing():
     for k in range(300):
         n = rng.choice([1, 5, 40, 300, 700])
         units = np.array(sorted(rng.sample(range(1, n + 1), max(1, n // 3))))
-        documents.append((k, np.arange(n, dtype=np.uint32), units, np.array([rng.random() < 0.1 for _ in units])))
+        places, penalties = packing.possible_cuts(np.array([0, n]), units, np.array([rng.random() < 0.1 for _ in units]))
+        documents.append((k, np.arange(n, dtype=np.uint32), np.append(places, n), np.append(penalties, 0)))
 
     def cost(pieces):
         windows = defaultdict(int)
         for _, _, size, _, _, sequence, _ in pieces:
             windows[sequence] += size
         parted = sum(1 for _, first, size, _, n, _, _ in pieces if first + size < n)
-        return sum(0 if v & (v - 1) == 0 else 128 - v for v in windows.values()) + 16 * len(windows), parted
+        return sum(0 if v in (64, 128) else 128 - v for v in windows.values()) + 16 * len(windows), parted
 
     (early, _), (late, _) = (total_cost(packing.Packer(length=128, stretch=s), documents) for s in (400, 1 << 40))
     assert [p[:3] + p[4:] for p in early] == [p[:3] + p[4:] for p in late] or cost(early) == cost(late)

@@ -11,8 +11,8 @@ document.  A window of a power of two needs no padding; any other is padded to
 
 For a cut at p the best window start s minimises cost(s) + (LENGTH - (p - s)),
 that is cost(s) + s, over the starts in reach: the minimum of a sliding window,
-which a monotone queue gives in constant time a cut.  Windows of a power of two
-are looked up by their start.  Backward paths from all cuts still in reach meet
+which a monotone queue gives in constant time a cut.  Windows of a power of two,
+from ``SHORTEST`` on, are looked up by their start.  Backward paths from all cuts still in reach meet
 soon; what lies before their meeting point is final and is sent, so a task holds
 a stretch of the stream only and the result is still the least of the whole
 stream.  Tasks are independent: no text is shuffled, and each task but for its
@@ -33,6 +33,9 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import os
+import zlib
+from collections import deque
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -50,14 +53,17 @@ END_ID = 1
 LENGTH = 2048
 #: What a sequence, a cut at a sentence's end and a cut inside a sentence cost, in tokens of padding.
 SEQUENCE, SENTENCE, FREE = 16, 4, 32
+#: The least window of a power of two that goes without padding.
+SHORTEST = 64
 #: Inside a sentence, cuts may stand after about so many tokens.
 FREE_EVERY = 32
 #: Tokens of the stream after which final windows are looked for.
 STRETCH = 1 << 18
 #: Distinct units whose ids a worker keeps, some 20 MB of them.
 KEPT_UNITS = 1 << 19
+SLOT_BITS = 20
 #: Bytes of a long text encoded at a time, and bytes of ids sent at a time.
-BLOCK, SEND_BYTES = 1 << 19, 1 << 24
+BLOCK, SEND_BYTES = 1 << 19, 1 << 22
 #: Bytes of distinct units encoded behind one another.
 JOINED_BYTES = 1 << 14
 #: Sequence numbers of one task.
@@ -92,9 +98,11 @@ def _gather(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class UnitEncoder:
-    """Ids of texts by the distinct units in them; a table keeps those of the units met, sorted by hash."""
+    """Ids of texts by the distinct units in them; a table keeps the units met."""
 
     def __init__(self, raw: bytes):
+        # Spark has a worker for each core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
@@ -105,8 +113,10 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.where = np.zeros((4, 0), np.int64)  # begin and size of a unit's ids, and of its bytes
+        #: by the upper bits of a hash: the hash, and the number of the unit learned last with those bits
+        self.tags, self.units = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int64)
+        #: begin and size of a unit's ids, and of its bytes
+        self.where = np.zeros((0, 4), np.int64)
         self.ids, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,42 +141,38 @@ class UnitEncoder:
         counts, back = last - begins, np.argsort(order)
         return counts[back], ids[_gather(begins[back], counts[back])]
 
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.hashes) + len(hashes) > KEPT_UNITS:
-            self._clear()
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of new units."""
         n_ids, ids = self._encoded(data, starts, ends)
         n_bytes = ends - starts
-        rows = np.stack((np.cumsum(n_ids) - n_ids + len(self.ids), n_ids, np.cumsum(n_bytes) - n_bytes + len(self.bytes), n_bytes))
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.where = np.insert(self.hashes, at, hashes), np.insert(self.where, at, rows, axis=1)
+        rows = np.stack((np.cumsum(n_ids) - n_ids + len(self.ids), n_ids, np.cumsum(n_bytes) - n_bytes + len(self.bytes), n_bytes), axis=1)
+        numbers = np.arange(len(rows)) + len(self.where)
+        self.where = np.concatenate((self.where, rows))
         self.ids, self.bytes = np.concatenate((self.ids, ids)), np.concatenate((self.bytes, data[_gather(starts, n_bytes)]))
+        slots = hashes >> np.uint64(64 - SLOT_BITS)
+        self.tags[slots], self.units[slots] = hashes, numbers
+        return numbers
 
     def _unit_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each unit, all ids); the units are all of data, in order."""
+        if len(self.where) > KEPT_UNITS:
+            self._clear()
         hashes = span_hashes(data, starts, ends, lower=False)
-        for _ in range(2):  # where the table is cleared, units known before it are learned again
-            at = np.searchsorted(self.hashes, hashes)
-            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-            if known.all():
-                break
-            fresh, first = np.unique(hashes[~known], return_index=True)
-            first = np.flatnonzero(~known)[first]
-            self._learn(fresh, data, starts[first], ends[first])
-        else:
-            at = np.searchsorted(self.hashes, hashes)
-            if not (self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes).all():
-                return self._encoded(data, starts, ends)
-        begins, sizes, byte_begins, n_bytes = self.where[:, at]
+        slots = hashes >> np.uint64(64 - SLOT_BITS)
+        numbers = self.units[slots]
+        missing = np.flatnonzero((self.tags[slots] != hashes) | (hashes == 0))
+        if len(missing):
+            fresh, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            first = missing[first]
+            numbers[missing] = self._learn(fresh, data, starts[first], ends[first])[which]
+        begins, sizes, byte_begins, n_bytes = self.where[numbers].T
         # units of one hash must be of the same bytes
         if not np.array_equal(n_bytes, ends - starts) or not np.array_equal(self.bytes[_gather(byte_begins, n_bytes)], data):
             return self._encoded(data, starts, ends)
         return sizes, self.ids[_gather(begins, sizes)]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all rows, their row offsets, ends of units in ids, which of those end a sentence)."""
-        if not len(data):
-            none = np.zeros(0, np.int64)
-            return none.astype(np.uint32), np.zeros(len(offs), np.int64), none, none.astype(bool)
+        """(ids of all rows, their row offsets, ends of units in ids, which of those end a sentence); data isn't empty."""
         inside = ~_SPACE[data]
         border = np.append(inside[:-1] & ~inside[1:], False)
         border[offs[1:][offs[1:] > 0] - 1] = True
@@ -192,36 +198,61 @@ class UnitEncoder:
         return ids, np.concatenate(([0], upto))[np.searchsorted(ends, offs, "right")], upto, stops
 
 
+def possible_cuts(rows: np.ndarray, units: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places inside rows of ids where a window may end, and their penalties; rows, units: offsets into the ids.
+
+    Behind sentences, and in a sentence that is longer than ``FREE_EVERY`` ids
+    behind the first word of each piece of that many, or at the piece's start if
+    no word ends in it.
+    """
+    inner = units[stops]
+    inner = inner[~np.isin(inner, rows)]
+    fence = np.union1d(inner, rows)
+    gap = np.diff(fence)
+    many = np.maximum(gap - 1, 0) // FREE_EVERY
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + 1
+    grid = np.repeat(fence[:-1], many) + place * FREE_EVERY
+    if len(grid):
+        word = units[np.minimum(np.searchsorted(units, grid), len(units) - 1)]
+        grid = np.where((word >= grid) & (word < np.minimum(grid + FREE_EVERY, np.repeat(fence[1:], many))), word, grid)
+    places = np.concatenate((inner, grid))
+    order = np.argsort(places, kind="stable")
+    return places[order], np.repeat([SENTENCE, FREE], [len(inner), len(grid)])[order]
+
+
 def least_cost_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
     """(cost, previous cut) of each place where a window may end; place 0 is the start.
 
     No two neighbouring places are more than ``length`` apart.
     """
     n = len(places)
-    twins: list[list[int]] = [[] for _ in range(n)]
-    size = 1
+    twins: dict[int, list[int]] = {}
+    size = SHORTEST
     while size < length:
-        at = np.searchsorted(places, places - size)
-        for j in np.flatnonzero((places >= places[0] + size) & (places[np.minimum(at, n - 1)] == places - size)).tolist():
-            twins[j].append(int(at[j]))
+        at = np.minimum(np.searchsorted(places, places - size), n - 1)
+        for j in np.flatnonzero(places[at] == places - size).tolist():
+            twins.setdefault(j, []).append(int(at[j]))
         size *= 2
-    where, extra = places.tolist(), penalties.tolist()
-    cost, back, keys = [0] * n, [-1] * n, [0] * n
-    queue, head = [], 0
+    where, extra = places.tolist(), (penalties + sequence).tolist()
+    cost, back, keys = [0] * n, [-1] * n, where[:1] + [0] * (n - 1)
+    queue, head = deque([0]), 0
     for j in range(1, n):
         here = where[j]
-        keys[j - 1] = key = cost[j - 1] + where[j - 1]
-        while len(queue) > head and keys[queue[-1]] > key:
+        while where[head] < here - length:
+            # the least of the window left it
+            queue.popleft()
+            head = queue[0]
+        least, best = keys[head] + length - here, head
+        if j in twins:
+            for i in twins[j]:
+                if cost[i] < least:
+                    least, best = cost[i], i
+        cost[j], back[j] = least + extra[j], best
+        keys[j] = key = least + extra[j] + here
+        while queue and keys[queue[-1]] > key:
             queue.pop()
-        queue.append(j - 1)
-        while where[queue[head]] < here - length:
-            head += 1
-        best = queue[head]
-        least = keys[best] + length - here
-        for i in twins[j]:
-            if cost[i] < least:
-                least, best = cost[i], i
-        cost[j], back[j] = least + sequence + extra[j], best
+        queue.append(j)
+        head = queue[0]
     return np.array(cost), np.array(back)
 
 
@@ -240,35 +271,19 @@ def _meeting(back: np.ndarray, reach: np.ndarray) -> int:
 class Packer:
     """Takes documents one by one and gives final pieces."""
 
-    def __init__(self, length: int = LENGTH, stretch: int = STRETCH, sequence: int = SEQUENCE, sentence: int = SENTENCE, free: int = FREE, free_every: int = FREE_EVERY):
-        self.length, self.stretch, self.sequence, self.sentence, self.free, self.free_every = length, stretch, sequence, sentence, free, min(free_every, length)
+    def __init__(self, length: int = LENGTH, stretch: int = STRETCH, sequence: int = SEQUENCE):
+        self.length, self.stretch, self.sequence = length, stretch, sequence
         self.docs: list[tuple] = []
         #: where the stream's kept part starts in its first document, and its size
         self.skipped = self.size = self.sequences = 0
         self.checked = stretch
 
-    def _cuts(self, n: int, units: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document where a window may end, and penalties there; its end is the last."""
-        places = units[stops & (units < n)]
-        penalties = np.full(len(places), self.sentence)
-        fence = np.concatenate(([0], places, [n]))
-        if len(wide := np.flatnonzero(np.diff(fence) > self.free_every)):
-            # in a long sentence, the first word's end in each piece of its length, else the token there
-            grid = np.concatenate([np.arange(fence[k] + self.free_every, fence[k + 1], self.free_every) for k in wide])
-            limit = np.concatenate([np.minimum(np.arange(fence[k] + self.free_every, fence[k + 1], self.free_every) + self.free_every, fence[k + 1]) for k in wide])
-            if len(units):
-                at = np.searchsorted(units, grid)
-                word = units[np.minimum(at, len(units) - 1)]
-                grid = np.where((word >= grid) & (word < limit), word, grid)
-            places = np.concatenate((places, grid))
-            penalties = np.concatenate((penalties, np.full(len(grid), self.free)))
-            order = np.argsort(places, kind="stable")
-            places, penalties = places[order], penalties[order]
-        return np.append(places, n), np.append(penalties, 0)
-
-    def add(self, key, ids: np.ndarray, units: np.ndarray, stops: np.ndarray) -> Iterator[tuple]:
-        """One document; gives (key, start, length, ids, tokens, sequence, offset) of pieces that are final."""
-        self.docs.append((key, ids, *self._cuts(len(ids), units, stops)))
+    def add(self, key, ids: np.ndarray, places: np.ndarray, penalties: np.ndarray) -> Iterator[tuple]:
+        """One document; gives (key, start, length, ids, tokens, sequence, offset) of pieces that are final.
+
+        A window may end at the places, rising to the document's end, which is the last.
+        """
+        self.docs.append((key, ids, places, penalties))
         self.size += len(ids)
         if self.size >= self.checked:
             yield from self._send(False)
@@ -313,38 +328,51 @@ class Packer:
 _encoders: dict[int, UnitEncoder] = {}
 
 
+def _encoder(raw: bytes) -> UnitEncoder:
+    key = zlib.crc32(raw)
+    if key not in _encoders:
+        _encoders[key] = UnitEncoder(raw)
+    return _encoders[key]
+
+
+def _blocks(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pieces of a long text that end with a unit."""
+    at, reach = 0, BLOCK
+    while at < len(data):
+        end = len(data)
+        if at + reach < end:
+            ends = unit_ends(data[at : at + reach], last=False)
+            ends = at + ends[~_ends_in(data[at : at + reach], ends, _WIDE_SPACE)]
+            if not len(ends):  # a unit longer than this
+                reach *= 2
+                continue
+            end = int(ends[-1])
+        yield at, end
+        at, reach = end, BLOCK
+
+
 def _documents(batch: pa.RecordBatch, encoder: UnitEncoder, end_id: int) -> Iterator[tuple]:
-    """(key, ids, ends of units, which end a sentence) of each row."""
+    """(key, ids, places where a window may end, penalties there) of each row."""
     close = np.array([end_id], np.uint32)
     for start, stop, data, offs in text_chunks(batch.column(1)):
-        keys = batch.column(0)[start:stop].to_pylist()
-        if stop - start > 1 or len(data) <= 2 * BLOCK:
-            ids, rows, upto, stops = encoder.encode(data, offs)
-            of_rows = np.searchsorted(upto, rows, "right")
-            for k, key in enumerate(keys):
-                u = slice(of_rows[k], of_rows[k + 1])
-                yield key, np.concatenate((ids[rows[k] : rows[k + 1]], close)), upto[u] - rows[k], stops[u]
-            continue
-        # one long text, in blocks that end with a unit
-        parts, n, at = [], 0, 0
-        while at < len(data):
-            end = len(data)
-            reach = BLOCK
-            while at + reach < len(data):
-                block = data[at : at + reach]
-                ends = unit_ends(block, last=False)
-                ends = ends[~_ends_in(block, ends, _WIDE_SPACE)]
-                if len(ends):
-                    end = at + int(ends[-1])
-                    break
-                reach *= 2
-            ids, _, upto, stops = encoder.encode(data[at:end], np.array([0, end - at]))
-            if len(stops) and end < len(data) and data[end] in (10, 13):
-                stops[-1] = True
-            parts.append((ids, upto + n, stops))
-            n, at = n + len(ids), end
-        ids, upto, stops = (np.concatenate(p) for p in zip(*parts, strict=True))
-        yield keys[0], np.concatenate((ids, close)), upto, stops
+        parts, n = [], 0
+        # rows share a chunk, or one long row is encoded in blocks
+        for a, b in [(0, len(data))] if stop - start > 1 else _blocks(data):
+            if a < b:
+                ids, rows, units, stops = encoder.encode(data[a:b], offs if stop - start > 1 else np.array([0, b - a]))
+                if b < len(data) and _NEWLINE[data[b]]:
+                    stops[-1] = True
+                parts.append((ids, units + n, stops))
+                n += len(ids)
+        ids, units, stops = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (close[:0], np.zeros(0, np.int64), np.zeros(0, bool))
+        if stop - start == 1 or not parts:
+            rows = np.append(np.zeros(stop - start, np.int64), n)
+        places, penalties = possible_cuts(rows, units, stops)
+        of_rows = np.searchsorted(places, rows).tolist()
+        for k, key in enumerate(batch.column(0)[start:stop].to_pylist()):
+            first, last = int(rows[k]), int(rows[k + 1])
+            own = slice(of_rows[k], of_rows[k + 1])
+            yield key, np.concatenate((ids[first:last], close)), np.append(places[own] - first, last - first + 1), np.append(penalties[own], 0)
 
 
 def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID, **options) -> DataFrame:
@@ -359,10 +387,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabul
     fields = "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(shared.value) not in _encoders:
-            _encoders.clear()
-            _encoders[id(shared.value)] = UnitEncoder(shared.value)
-        encoder, packer = _encoders[id(shared.value)], Packer(**options)
+        encoder, packer = _encoder(shared.value), Packer(**options)
         base = TaskContext.get().partitionId() * TASK_NUMBERS
         rows, size, key_type = [], 0, None
 
