@@ -9,20 +9,33 @@ from pyspark.sql import functions as F
 
 from ..functions.weights import ascending_schedule, descending_schedule, enforce, estimate
 from ..model import MASK, Crop, Grid, InvalidArgument, InvalidState, Kernel
-from ..plans.durable import durable
+from ..plans.durable import DurableTable, durable
 from . import dense
 from .directional import response
 from .pointwise import crop_mask
 from .stencil import extreme_axis
+from .tiles import SIDE, TileArrays, Tiling, gather, settle, spread, step
 from .volumes import per_volume, to_array
 
+#: Volumes of more voxels are cut into tiles.
+KERNEL_VOXELS = 1 << 22
 
-def h_minima(field: DataFrame, grid: Grid, h: float, check_interval: int = 50, engine: str = "kernel") -> DataFrame:
-    """MASK where a basin is not deeper than h.  Engine "rows" loops over window minima."""
+
+def _tiled(engine: str, grid: Grid) -> bool:
+    return engine == "tiles" or engine == "auto" and grid.voxels > KERNEL_VOXELS
+
+
+def h_minima(field: DataFrame, grid: Grid, h: float, check_interval: int = 50, engine: str = "auto", side: int | tuple[int, int, int] = SIDE) -> DataFrame:
+    """MASK where a basin is not deeper than h.
+
+    Engines: "kernel" (a volume a task), "tiles", "rows" (a loop over window minima).
+    """
     if not 0 <= h <= 1 or not 1 <= check_interval <= 10_000:
         raise InvalidArgument("h is 0 to 1 and the interval 1 to 10000")
     if engine == "rows":
         return _h_minima_rows(field, grid, h)
+    if _tiled(engine, grid):
+        return _h_minima_tiles(field, Tiling.of(grid, 1, side), h)
 
     def run(_: str, table: pa.Table) -> dict[str, np.ndarray]:
         out = dense.reconstruct_minima(to_array(table, grid, "v", np.float32), h, check_interval)
@@ -31,6 +44,42 @@ def h_minima(field: DataFrame, grid: Grid, h: float, check_interval: int = 50, e
     return per_volume(field, grid, run, "v double")
 
 
+def _lower(arrays: dict[str, np.ndarray], _: int) -> None:
+    """Reconstruction inside a tile, its halo held: sweeps along every axis, both ways, until nothing falls."""
+    a, r = arrays["v"], arrays["r"]
+    while True:
+        before = r.copy()
+        for axis in range(3):
+            level, flood = np.moveaxis(a, axis, 0), np.moveaxis(r, axis, 0)
+            n = len(flood) - 2
+            for at, last in [(k, k - 1) for k in range(1, n + 1)] + [(k, k + 1) for k in range(n, 0, -1)]:
+                low = np.minimum(np.minimum(flood[last][:-2], flood[last][1:-1]), flood[last][2:])
+                low = np.minimum(np.minimum(low[:, :-2], low[:, 1:-1]), low[:, 2:])
+                own = flood[at, 1:-1, 1:-1]
+                np.maximum(level[at, 1:-1, 1:-1], np.minimum(own, low), out=own)
+        if np.array_equal(before, r):
+            return
+
+
+def _h_minima_tiles(field: DataFrame, tiling: Tiling, h: float) -> DataFrame:
+    """Tiles flood down on their own, borders are exchanged until none falls: the same least flood in any order."""
+    kind = TileArrays(tiling, {"v": (np.float32, np.inf), "r": (np.float32, np.inf)}, ("r",))
+
+    def start(arrays: dict[str, np.ndarray], tile: int) -> None:
+        if np.isnan(arrays["v"]).any():
+            raise InvalidArgument("H-minima need finite values")
+        arrays["r"][...] = arrays["v"] + np.float32(h)
+        _lower(arrays, tile)
+
+    settled = settle(DurableTable(gather(field, kind, start), "h-minima"), kind, _lower, "h-minima")
+    inner = tiling.inner()
+
+    def pick(arrays: dict[str, np.ndarray], _: int) -> dict[str, np.ndarray]:
+        return {"v": np.where(arrays["r"][inner] - arrays["v"][inner] < np.float32(1e-5), MASK, 0.0)}
+
+    return spread(settled.df, kind, pick, "v double")
+
+
 def _h_minima_rows(field: DataFrame, grid: Grid, h: float) -> DataFrame:
     source = durable(field.withColumn("i", F.col("v")).withColumn("v", F.col("v") + float(h)), "h-minima")
     while True:
