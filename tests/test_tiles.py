@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tests.volumes import array_of, field_of, grid_of
 
-from voxstrata.operators import dense, segmentation, tiles
+from voxstrata.operators import components, dense, segmentation, tiles
 
 
 def test_tiles_part_a_grid():
@@ -34,3 +34,32 @@ def test_h_minima_through_a_winding_channel(spark):
     a[1, 0, 0] = 0.0
     got = array_of(segmentation.h_minima(field_of(spark, a), grid_of(a), 0.15, engine="tiles", side=4), a.shape)
     assert ((got > 0) == (dense.reconstruct_minima(a, 0.15, 50) > 0)).all()
+
+
+@pytest.mark.parametrize("connectivity", [6, 18, 26])
+def test_components(spark, connectivity):
+    rng = np.random.default_rng(connectivity)
+    for shape, share in (((6, 9, 20), {6: 0.55, 18: 0.8, 26: 0.88}[connectivity]), ((5, 5, 5), 0.5)):
+        a = (rng.random(shape) > share).astype(float)
+        run = lambda engine, a=a: array_of(components.connected(field_of(spark, a), grid_of(a), 0.5, connectivity, 2, engine=engine, side=4), a.shape, "label")
+        assert (run("tiles") == run("kernel")).all()
+
+
+def test_components_of_equal_labels_in_two_volumes(spark):
+    rng = np.random.default_rng(2)
+    volumes = {name: rng.integers(-1, 3, (4, 6, 10)) for name in ("a", "b")}
+    rows = field_of(spark, volumes["a"], "label").union(field_of(spark, volumes["b"], "label", "b"))
+    grid = grid_of(volumes["a"])
+    run = lambda engine: sorted(map(tuple, components.label_components(rows, grid, 6, engine=engine, side=3).select("volume_id", "z", "y", "x", "label", "idx", "root").collect()))
+    assert run("tiles") == run("kernel")
+
+
+def test_one_long_component(spark):
+    a = np.zeros((2, 12, 12))
+    for k in range(0, 12, 2):
+        a[0, k, :] = 1
+        a[0, min(k + 1, 11), 11 if k % 4 == 0 else 0] = 1
+    got = array_of(components.connected(field_of(spark, a), grid_of(a), 0.5, 6, engine="tiles", side=(1, 3, 3)), a.shape, "label")
+    assert (got == np.where(a > 0, 0, -1)).all()
+    empty = array_of(components.connected(field_of(spark, 0 * a), grid_of(a), 0.5, 6, engine="tiles", side=4), a.shape, "label")
+    assert (empty == -1).all()

@@ -10,19 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.weights import ascending_schedule, descending_schedule, enforce, estimate
 from ..model import MASK, Crop, Grid, InvalidArgument, InvalidState, Kernel
 from ..plans.durable import DurableTable, durable
-from . import dense
+from . import components, dense
 from .directional import response
 from .pointwise import crop_mask
 from .stencil import extreme_axis
 from .tiles import SIDE, TileArrays, Tiling, gather, settle, spread, step
 from .volumes import per_volume, to_array
 
-#: Volumes of more voxels are cut into tiles.
-KERNEL_VOXELS = 1 << 22
 
 
 def _tiled(engine: str, grid: Grid) -> bool:
-    return engine == "tiles" or engine == "auto" and grid.voxels > KERNEL_VOXELS
+    return engine == "tiles" or engine == "auto" and grid.voxels > components.KERNEL_VOXELS
 
 
 def h_minima(field: DataFrame, grid: Grid, h: float, check_interval: int = 50, engine: str = "auto", side: int | tuple[int, int, int] = SIDE) -> DataFrame:
