@@ -63,3 +63,15 @@ def test_one_long_component(spark):
     assert (got == np.where(a > 0, 0, -1)).all()
     empty = array_of(components.connected(field_of(spark, 0 * a), grid_of(a), 0.5, 6, engine="tiles", side=4), a.shape, "label")
     assert (empty == -1).all()
+
+
+@pytest.mark.parametrize("shape,side,levels", [((6, 9, 20), 5, 5), ((1, 12, 12), 4, 4), ((5, 5, 8), (2, 5, 4), 3)])
+def test_watershed(spark, shape, side, levels):
+    rng = np.random.default_rng(sum(shape))
+    level, seeds = rng.random(shape).astype(np.float32) * 0.9, np.full(shape, -1)
+    for k in range(6):
+        at = tuple(rng.integers(0, n) for n in shape)
+        seeds[tuple(slice(max(0, p - 1), p + 2) for p in at)] = k
+    chosen = spark.createDataFrame([("a", int(i)) for i in np.unique(seeds[seeds >= 0])], "volume_id string, label int")
+    got = array_of(segmentation.watershed(field_of(spark, level), field_of(spark, seeds, "label"), grid_of(level), chosen, levels=levels, engine="tiles", side=side), shape, "label")
+    assert (got == dense.watershed(level, seeds, levels)).all()

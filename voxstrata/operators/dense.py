@@ -110,14 +110,16 @@ def reconstruct_minima(a: np.ndarray, h: float, check_interval: int) -> np.ndarr
     raise ResourceLimit("the reconstruction didn't settle")
 
 
-_ORDER = ((-1, 0, 0), (0, 0, -1), (0, -1, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0))
+#: The order in which a voxel looks for a labelled neighbour, and what labels have outside the volume.
+NEIGHBOUR_ORDER = ((-1, 0, 0), (0, 0, -1), (0, -1, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0))
+OUTSIDE = -3
 
 
 def _grow(labels: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     """Background voxels take the first labelled neighbour in a fixed order, all at once."""
     out = labels.copy()
     open_ = (labels < 0) & allowed
-    for d in _ORDER:
+    for d in NEIGHBOUR_ORDER:
         near = _shifted(labels, *d, BACKGROUND)
         take = open_ & (near >= 0)
         out[take] = near[take]
@@ -141,9 +143,9 @@ def watershed(intensity: np.ndarray, seeds: np.ndarray, levels: int = 256) -> np
                 break
             labels = grown
         differs = np.zeros(labels.shape, bool)
-        for d in _ORDER:
-            near = _shifted(labels, *d, -3)
-            differs |= (near != -3) & (near != labels)
+        for d in NEIGHBOUR_ORDER:
+            near = _shifted(labels, *d, OUTSIDE)
+            differs |= (near != OUTSIDE) & (near != labels)
         labels = np.where((labels >= 0) & differs, BACKGROUND, labels)
         labels = _grow(labels, np.ones(labels.shape, bool))
         changed = not np.array_equal(labels, start)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import ascending_schedule, descending_schedule, enforce, estimate
-from ..model import MASK, Crop, Grid, InvalidArgument, InvalidState, Kernel
+from ..model import BACKGROUND, MASK, Crop, Grid, InvalidArgument, InvalidState, Kernel
 from ..plans.durable import DurableTable, durable
 from . import components, dense
 from .directional import response
@@ -103,13 +103,109 @@ def _with_outside(rows: DataFrame, grid: Grid, crop: Crop | None) -> DataFrame:
     return rows.join(marks, keys)
 
 
-def watershed(field: DataFrame, seeds: DataFrame, grid: Grid, selected: DataFrame, *, least_seed: int = 0, crop: Crop | None = None) -> DataFrame:
+_NEVER = np.iinfo(np.int32).max
+
+
+def _grow_within(arrays: dict[str, np.ndarray], allowed: np.ndarray) -> None:
+    """Times and labels of the tile's voxels, growing from ``start`` and from the halo as it is.
+
+    A voxel's time is the number of steps from what was labelled; its label is
+    that of the first neighbour, in the fixed order, of one step less.
+    """
+    time, label, start = arrays["time"], arrays["label"], arrays["start"]
+    inner = (slice(2, -2),) * 3
+    shape = time.shape
+    own_time, own_label = time[inner], label[inner]
+    own_time[...] = np.where(start[inner] >= 0, 0, _NEVER)
+    own_label[...] = start[inner]
+    now = 0
+    while now <= time[time < _NEVER].max(initial=-1):
+        open_ = allowed & (own_time == _NEVER)
+        for d in dense.NEIGHBOUR_ORDER:
+            near = tuple(slice(2 + s, n - 2 + s) for s, n in zip(d, shape, strict=True))
+            take = open_ & (time[near] == now) & (label[near] >= 0)
+            own_label[take] = label[near][take]
+            own_time[take] = now + 1
+            open_ &= ~take
+        now += 1
+
+
+def _open_within(arrays: dict[str, np.ndarray], _: int) -> bool:
+    """Labels opened by one voxel (with a halo of two); whether they differ from the level's start."""
+    label = arrays["label"]
+    ring = (slice(1, -1),) * 3
+    opened = label[ring].copy()
+    differs = np.zeros(opened.shape, bool)
+    for d in dense.NEIGHBOUR_ORDER:
+        near = label[tuple(slice(1 + s, n - 1 + s) for s, n in zip(d, label.shape, strict=True))]
+        differs |= (near != dense.OUTSIDE) & (near != opened)
+    opened[(opened >= 0) & differs] = BACKGROUND
+    own = opened[ring].copy()
+    open_ = own < 0
+    for d in dense.NEIGHBOUR_ORDER:
+        near = opened[tuple(slice(1 + s, n - 1 + s) for s, n in zip(d, opened.shape, strict=True))]
+        take = open_ & (near >= 0)
+        own[take] = near[take]
+        open_ &= ~take
+    inner = (slice(2, -2),) * 3
+    label[inner] = own
+    return not np.array_equal(own, arrays["start"][inner])
+
+
+def _watershed_tiles(rows: DataFrame, tiling: Tiling, levels: int) -> DataFrame:
+    """Level by level: times and labels settle across tiles, then one step opens the labels.
+
+    Synchronous growth gives each voxel the label of a neighbour that is one step
+    nearer, so it doesn't matter in which order tiles find the times.  Levels at
+    which no voxel is added are skipped while nothing changes.
+    """
+    kind = TileArrays(tiling, {"v": (np.float32, np.inf), "label": (np.int32, dense.OUTSIDE), "time": (np.int32, _NEVER), "start": (np.int32, BACKGROUND)}, ("label", "time"))
+    inner = tiling.inner()
+    tops = (np.arange(1, levels + 1, dtype=np.float32) / np.float32(levels)).astype(np.float32)
+
+    def met(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v = kind.load(batch, k, batch.column("tile")[k].as_py())["v"][inner]
+                found = np.unique(np.searchsorted(tops, v)) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], names=["level"])
+
+    def grow(level: int, fresh: bool):
+        def kernel(arrays: dict[str, np.ndarray], _: int) -> None:
+            if fresh:
+                arrays["start"][...] = arrays["label"]
+                arrays["time"][...] = np.where(arrays["label"] >= 0, 0, _NEVER)
+            _grow_within(arrays, arrays["v"][inner] <= tops[level - 1])
+
+        return kernel
+
+    state = DurableTable(gather(rows, kind), "watershed")
+    new = {r.level for r in state.df.select("volume_id", "tile", *kind.columns).mapInArrow(met, "level int").distinct().collect()}
+
+    def then(state: DurableTable, kernel) -> DurableTable:
+        following = DurableTable(step(state.df, kind, kernel, touched_only=False), "watershed")
+        state.drop()
+        return following
+
+    changed = True
+    for level in range(1, levels + 1):
+        if not changed and level not in new:
+            continue
+        state = settle(then(state, grow(level, True)), kind, grow(level, False), "watershed")
+        state = then(state, _open_within)
+        changed = not state.df.where("changed").isEmpty()
+    return spread(state.df, kind, lambda arrays, _: {"label": arrays["label"][inner]}, "label int")
+
+
+def watershed(
+    field: DataFrame, seeds: DataFrame, grid: Grid, selected: DataFrame, *, least_seed: int = 0, crop: Crop | None = None, levels: int = 256, engine: str = "auto", side: int | tuple[int, int, int] = SIDE
+) -> DataFrame:
     """Labels grown from the selected seeds that have ``least_seed`` voxels; ids are kept.
 
-    seeds(volume_id, z, y, x, label), selected(volume_id, label).
+    seeds(volume_id, z, y, x, label), selected(volume_id, label).  Engines: "kernel" (a volume a task), "tiles".
     """
-    if least_seed < 0:
-        raise InvalidArgument("the least seed size must not be negative")
+    if least_seed < 0 or not 1 <= levels <= 65_535:
+        raise InvalidArgument("the least seed size must not be negative, levels are 1 to 65535")
     sizes = seeds.where("label >= 0").groupBy("volume_id", "label").agg(F.count(F.lit(1)).alias("n")).join(selected, ["volume_id", "label"]).where(F.col("n") >= least_seed)
     sizes = durable(sizes, "seeds")
     if sizes.isEmpty():
@@ -117,10 +213,13 @@ def watershed(field: DataFrame, seeds: DataFrame, grid: Grid, selected: DataFram
     keys = ["volume_id", "z", "y", "x"]
     chosen = seeds.join(sizes.select("volume_id", "label"), ["volume_id", "label"]).select(*keys, "label")
     rows = _with_outside(field.join(chosen, keys, "left").withColumn("label", F.coalesce("label", F.lit(-1))), grid, crop)
+    if _tiled(engine, grid):
+        level = F.when(F.col("outside"), F.lit(float(np.finfo(np.float32).max))).otherwise(F.col("v"))
+        return _watershed_tiles(rows.withColumn("v", level), Tiling.of(grid, 2, side), levels)
 
     def run(_: str, table: pa.Table) -> dict[str, np.ndarray]:
         level = np.where(_outside(table, grid), np.finfo(np.float32).max, to_array(table, grid, "v", np.float32))
-        return {"label": dense.watershed(level, to_array(table, grid, "label", np.int32))}
+        return {"label": dense.watershed(level, to_array(table, grid, "label", np.int32), levels)}
 
     return per_volume(rows, grid, run, "label int")
 

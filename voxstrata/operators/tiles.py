@@ -208,10 +208,11 @@ def with_inbox(state: DataFrame) -> DataFrame:
     return state.drop("out", "n_out").join(inbox, ["volume_id", "tile"], "left")
 
 
-def step(state: DataFrame, kind: TileArrays, kernel: Callable[[dict[str, np.ndarray], int], None], touched_only: bool = True) -> DataFrame:
+def step(state: DataFrame, kind: TileArrays, kernel: Callable[[dict[str, np.ndarray], int], bool | None], touched_only: bool = True) -> DataFrame:
     """The next state: pieces received, the kernel run (in place), changed borders sent.
 
-    With ``touched_only`` a tile without received pieces stays as it is.
+    With ``touched_only`` a tile without received pieces stays as it is.  A tile has
+    ``changed`` if the kernel says so, or if it says nothing and an exchanged array differs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +226,9 @@ def step(state: DataFrame, kind: TileArrays, kernel: Callable[[dict[str, np.ndar
                 kind.receive(arrays, inbox)
                 inner = kind.tiling.inner()
                 before = {c: arrays[c].copy() for c in kind.exchanged}
-                kernel(arrays, tile)
-                changed = any(not np.array_equal(before[c][inner], arrays[c][inner]) for c in kind.exchanged)
-                yield kind.row(volume, tile, arrays, kind.changes(tile, before, arrays) if changed else [], changed)
+                said = kernel(arrays, tile)
+                differs = any(not np.array_equal(before[c][inner], arrays[c][inner]) for c in kind.exchanged)
+                yield kind.row(volume, tile, arrays, kind.changes(tile, before, arrays) if differs else [], differs if said is None else said)
 
     return with_inbox(state).mapInArrow(run, kind.schema)
 
