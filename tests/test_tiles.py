@@ -75,3 +75,58 @@ def test_watershed(spark, shape, side, levels):
     chosen = spark.createDataFrame([("a", int(i)) for i in np.unique(seeds[seeds >= 0])], "volume_id string, label int")
     got = array_of(segmentation.watershed(field_of(spark, level), field_of(spark, seeds, "label"), grid_of(level), chosen, levels=levels, engine="tiles", side=side), shape, "label")
     assert (got == dense.watershed(level, seeds, levels)).all()
+
+
+def test_wall_thickness(spark):
+    plate = np.zeros((9, 20, 20), np.float32)
+    plate[2:7, 3:17, 3:17] = 0.8
+    noise = (np.random.default_rng(1).random((9, 20, 20)) > 0.7).astype(np.float32) * 0.8
+    rows = field_of(spark, plate).union(field_of(spark, noise, volume_id="b")).union(field_of(spark, 0 * noise, volume_id="c")).union(field_of(spark, 0 * noise + 0.8, volume_id="d"))
+    got = dict(map(tuple, segmentation.wall_thickness(rows, grid_of(plate), engine="tiles", side=6).collect()))
+    assert got == {k: dense.wall_thickness(a, 1) for k, a in (("a", plate), ("b", noise), ("c", 0 * noise), ("d", 0 * noise + 0.8))}
+
+
+def whole_passes(masks, shape, options, outside=None):
+    return dense.staged_segmentation([lambda m=m: m for m in masks], shape, outside=outside, **options)
+
+
+def shell():
+    """A hollow shell, whose closing fills the hole."""
+    z, y, x = np.indices((22, 22, 22)) - 10.5
+    far = np.sqrt(z * z + y * y + x * x)
+    return np.where((far > 6) & (far < 9.5), 0.1, 0.9).astype(np.float32)
+
+
+@pytest.mark.parametrize("area", [10.0, 50.0, 250.0])
+def test_threshold_sweep_of_a_shell(spark, area):
+    a = shell()
+    options = {"closing_radius": 1, "more_than": 2, "invalid_area": area}
+    masks = [np.where(a >= np.float32(t), np.float32(0.8), np.float32(0)) for t in (0.8, 0.5, 0.2)]
+    labels, count, passes = whole_passes(masks, a.shape, options)
+    df = segmentation.threshold_sweep(field_of(spark, a), grid_of(a), 0.2, 0.8, 0.3, closing=1, min_size=2, min_invalid_area=area, engine="tiles", side=11)
+    assert (array_of(df, a.shape, "label") == labels).all() and (array_of(df, a.shape, "passes") == passes).all()
+
+
+def test_threshold_sweep_of_several_volumes(spark):
+    rng = np.random.default_rng(9)
+    volumes = {k: rng.random((5, 10, 14)).astype(np.float32) for k in "ab"}
+    volumes["c"] = np.full((5, 10, 14), 0.95, np.float32)
+    rows = field_of(spark, volumes["a"]).union(field_of(spark, volumes["b"], volume_id="b")).union(field_of(spark, volumes["c"], volume_id="c"))
+    df = segmentation.threshold_sweep(rows, grid_of(volumes["a"]), 0.3, 0.7, 0.2, closing=0, min_size=1, min_invalid_area=3.0, engine="tiles", side=5).cache()
+    for name, a in volumes.items():
+        masks = [np.where(a >= np.float32(t), np.float32(0.8), np.float32(0)) for t in (0.7, 0.5, 0.3)]
+        labels, _, passes = whole_passes(masks, a.shape, {"closing_radius": 0, "more_than": 1, "invalid_area": 3.0})
+        own = df.where(f"volume_id = '{name}'")
+        assert (array_of(own, a.shape, "label") == labels).all() and (array_of(own, a.shape, "passes") == passes).all()
+
+
+def test_directional_segmentation_with_a_crop(spark):
+    from voxstrata.model import Crop, Kernel
+
+    a = np.random.default_rng(4).random((6, 9, 12)).astype(np.float32)
+    run = lambda engine: segmentation.directional_segmentation(
+        field_of(spark, a), grid_of(a), radius=1, level=1, kernel=Kernel.MEAN, low=-0.4, high=0.0, step=0.2, closing=1, min_invalid_area=4.0, crop=Crop(1, 4, 1), engine=engine, side=5
+    )
+    left, right = run("tiles"), run("kernel")
+    for column in ("label", "passes"):
+        assert (array_of(left, a.shape, column) == array_of(right, a.shape, column)).all()

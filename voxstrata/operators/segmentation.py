@@ -1,20 +1,29 @@
-"""Iterative segmentation and fixpoints, one volume a task: see ``dense`` for the kernels."""
+"""Iterative segmentation and fixpoints.
+
+Volumes of up to ``components.KERNEL_VOXELS`` voxels are one task each (see
+``dense``), many at a time; larger ones are cut into tiles (see ``tiles``), with
+the same result.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.weights import ascending_schedule, descending_schedule, enforce, estimate
-from ..model import BACKGROUND, MASK, Crop, Grid, InvalidArgument, InvalidState, Kernel
+from ..model import BACKGROUND, LOW, MASK, Crop, Grid, InvalidArgument, InvalidState, Kernel
 from ..plans.durable import DurableTable, durable
 from . import components, dense
 from .directional import response
+from .morphology import closing as ball_closing
 from .pointwise import crop_mask
 from .stencil import extreme_axis
-from .tiles import SIDE, TileArrays, Tiling, gather, settle, spread, step
+from .tiles import SIDE, TileArrays, Tiling, deal, gather, settle, spread, step
 from .volumes import per_volume, to_array
 
 
@@ -233,15 +242,80 @@ def _staged(rows: DataFrame, grid: Grid, masks_of, options: dict) -> DataFrame:
     return per_volume(rows, grid, run, "label int, passes int")
 
 
+def _closed_invalid(arrays: dict[str, np.ndarray], own: tuple[slice, ...], first: dict) -> dict[str, np.ndarray]:
+    """For each candidate near a tile, the tile's voxels that its closing adds though they are neither dark nor labelled."""
+    radius, cand = first["thickness"] // 2, arrays["cand"]
+    free = (cand < 0) & (arrays["label"] < 0)
+    ids, compact = np.unique(cand, return_inverse=True)
+    compact = compact.reshape(cand.shape) - int(ids[0] < 0)
+    ids, counts = ids[ids >= 0], []
+    tile = np.zeros(cand.shape, bool)
+    tile[own] = True
+    for c, box in enumerate(dense.label_boxes(compact)):
+        box = tuple(slice(max(0, s.start - 2 * radius), s.stop + 2 * radius) for s in box)
+        closed = dense.chunked((compact[box] == c).astype(np.float32), radius, False)
+        counts.append(int(((closed > 0) & free[box] & tile[box]).sum()))
+    return {"cand": ids.astype(np.int32), "n": np.array(counts, np.int64)}
+
+
+def _staged_tiles(rows: DataFrame, grid: Grid, masks: list[Column], options: dict, side: int | tuple[int, int, int]) -> DataFrame:
+    """A pass is one plan: mask, closing and wall thickness on tiles, components, all candidates checked at once, ids by rank.
+
+    masks: MASK or 0 from the columns of rows.  Volumes that wait for nothing leave the loop.
+    """
+    keys, tiling = ["volume_id", "z", "y", "x"], Tiling.of(grid, 1, side)
+    source = durable(rows, "staged")
+    labels = durable(source.select(*keys, F.lit(BACKGROUND).alias("label")), "staged")
+    volumes = durable(source.select("volume_id").distinct().select("volume_id", *(F.lit(0).alias(c) for c in ("thickness", "known", "passes")), F.lit(False).alias("done")), "staged")
+    for number, mask in enumerate(masks):
+        final = number == len(masks) - 1
+        active = volumes.where(~F.col("done")).select("volume_id", F.col("thickness").alias("before"), "known")
+        if active.isEmpty():
+            break
+        made = source.join(active, "volume_id").select(*keys, mask.alias("v"))
+        closed = ball_closing(made, grid, options["closing_radius"]) if options["closing_radius"] else made
+        facts = source.select(*keys, "outside").join(labels, keys).join(active, "volume_id").join(closed, keys)
+        base = durable(facts.withColumn("v", F.when(F.col("label") >= 0, F.lit(0.0)).otherwise(F.col("v"))), "staged")
+        walls = wall_thickness_tiles(base.select(*keys, F.when(F.col("outside"), F.lit(0.0)).otherwise(F.col("v")).alias("v")), tiling, active.select("volume_id", F.floor(F.col("before") / 2).cast("int").alias("start")))
+        walls = durable(walls, "staged")
+        dark = (F.col("v") <= LOW) & ~F.col("outside") & (F.col("label") < 0)
+        found = components.label(base, grid, dark, 6, options["more_than"] + 1, engine="tiles", side=side).withColumnRenamed("label", "cand")
+        joined = durable(base.select(*keys, "label", "known").join(found, keys).join(walls, "volume_id"), "staged")
+        candidates = joined.where("cand >= 0").select("volume_id", "cand", "known", "thickness").distinct().withColumn("n", F.lit(0).cast("long"))
+        if not final:
+            reach = 2 * ((joined.agg(F.max("thickness")).first()[0] or 0) // 2)
+            added = deal(joined, tiling, reach, {"cand": np.int32, "label": np.int32}, _closed_invalid, "cand int, n long", ("thickness",))
+            added = added.groupBy("volume_id", "cand").agg(F.sum("n").alias("n"))
+            candidates = candidates.drop("n").join(added, ["volume_id", "cand"])
+        # in single precision, as a kernel's bound is
+        bound = (F.lit(float(np.float32(options["invalid_area"]))).cast("float") * F.col("thickness").cast("float")).cast("double")
+        checked = durable(candidates.withColumn("waits", F.lit(False) if final else F.col("n") > bound), "staged")
+        taken = checked.where("not waits").select("volume_id", "cand", (F.row_number().over(Window.partitionBy("volume_id").orderBy("cand")) - 1 + F.col("known")).cast("int").alias("id"))
+        grown = joined.join(taken, ["volume_id", "cand"], "left").select(*keys, F.coalesce("id", "label").alias("label"))
+        kept = labels.join(volumes.where("done").select("volume_id"), "volume_id", "left_semi")
+        sums = checked.groupBy("volume_id").agg(F.sum((~F.col("waits")).cast("int")).cast("int").alias("more"), F.max("waits").alias("waits"))
+        following = active.join(walls, "volume_id").join(sums, "volume_id", "left").select(
+            "volume_id", "thickness", (F.col("known") + F.coalesce("more", F.lit(0))).alias("known"), F.lit(number + 1).alias("passes"), (~F.coalesce("waits", F.lit(False))).alias("done")
+        )
+        labels, volumes = durable(grown.unionByName(kept), "staged"), durable(following.unionByName(volumes.where("done")), "staged")
+    return labels.join(volumes.select("volume_id", "passes"), "volume_id")
+
+
 def _options(closing: int, min_size: int, min_invalid_area: float) -> dict:
     if not 0 <= closing <= 64 or min_size < 0 or min_invalid_area < 0:
         raise InvalidArgument("closing is 0 to 64; sizes must not be negative")
     return {"closing_radius": closing, "more_than": min_size, "invalid_area": min_invalid_area}
 
 
-def threshold_sweep(field: DataFrame, grid: Grid, low: float, high: float, step: float, *, closing: int = 2, min_size: int = 0, min_invalid_area: float = 100.0, crop: Crop | None = None) -> DataFrame:
-    """(volume_id, z, y, x, label, passes): segmentation over falling thresholds."""
+def threshold_sweep(field: DataFrame, grid: Grid, low: float, high: float, step: float, *, closing: int = 2, min_size: int = 0, min_invalid_area: float = 100.0, crop: Crop | None = None, engine: str = "auto", side: int | tuple[int, int, int] = SIDE) -> DataFrame:
+    """(volume_id, z, y, x, label, passes): segmentation over falling thresholds.
+
+    Engines: "kernel" (a volume a task), "tiles".
+    """
     schedule, options = descending_schedule(low, high, step), _options(closing, min_size, min_invalid_area)
+    if _tiled(engine, grid):
+        levels = [F.when(F.col("v").cast("float") >= F.lit(float(np.float32(t))).cast("float"), F.lit(MASK)).otherwise(F.lit(0.0)) for t in schedule]
+        return _staged_tiles(_with_outside(field, grid, crop), grid, levels, options, side)
 
     def masks(table: pa.Table):
         v = to_array(table, grid, "v", np.float32)
@@ -251,7 +325,7 @@ def threshold_sweep(field: DataFrame, grid: Grid, low: float, high: float, step:
 
 
 def directional_segmentation(
-    field: DataFrame, grid: Grid, *, radius: int, level: int = 2, kernel: Kernel = Kernel.GAUSSIAN, low: float, high: float, step: float, z_factor: float = 0.2, closing: int = 2, min_size: int = 0, min_invalid_area: float = 500.0, crop: Crop | None = None
+    field: DataFrame, grid: Grid, *, radius: int, level: int = 2, kernel: Kernel = Kernel.GAUSSIAN, low: float, high: float, step: float, z_factor: float = 0.2, closing: int = 2, min_size: int = 0, min_invalid_area: float = 500.0, crop: Crop | None = None, engine: str = "auto", side: int | tuple[int, int, int] = SIDE
 ) -> DataFrame:
     """Segmentation over rising constants of the directional threshold; the response is made once, on slabs."""
     schedule, options = ascending_schedule(low, high, step), _options(closing, min_size, min_invalid_area)
@@ -259,10 +333,23 @@ def directional_segmentation(
         raise InvalidArgument("the Z factor must not be negative")
     enforce(estimate(grid.width, grid.height, grid.depth, radius, level, schedule))
     found = durable(response(field, grid, radius, level, kernel), "response")
-    return segmentation_from_response(found, grid, schedule, z_factor, options, crop)
+    return segmentation_from_response(found, grid, schedule, z_factor, options, crop, engine, side)
+
+
+def segmentation_from_response(
+    found: DataFrame, grid: Grid, schedule: list[float], z_factor: float, options: dict, crop: Crop | None = None, engine: str = "auto", side: int | tuple[int, int, int] = SIDE
+) -> DataFrame:
+    if _tiled(engine, grid):
+        # in single precision, in a kernel's order
+        v, least, alpha = (F.col(c).cast("float") for c in ("v", "least", "alpha"))
+
+        def bent(c: float) -> Column:
+            c32, z32 = np.float32(c), np.float32(z_factor)
+            return F.lit(float(c32)).cast("float") * (F.lit(1.0).cast("float") - alpha) + F.lit(float(c32 * z32)).cast("float") * alpha
 
+        levels = [F.when(v > least - bent(c), F.lit(MASK)).otherwise(F.lit(0.0)) for c in schedule]
+        return _staged_tiles(_with_outside(found, grid, crop), grid, levels, options, side)
 
-def segmentation_from_response(found: DataFrame, grid: Grid, schedule: list[float], z_factor: float, options: dict, crop: Crop | None = None) -> DataFrame:
     def masks(table: pa.Table):
         v, least, alpha = (to_array(table, grid, c, np.float32) for c in ("v", "least", "alpha"))
 
@@ -275,8 +362,43 @@ def segmentation_from_response(found: DataFrame, grid: Grid, schedule: list[floa
     return _staged(_with_outside(found, grid, crop), grid, masks, options)
 
 
-def wall_thickness(field: DataFrame, grid: Grid, start_radius: int = 1) -> DataFrame:
-    """(volume_id, thickness): twice the first radius whose chunked opening leaves at most half of sum |v|."""
+#: Radii tried in one pass over the tiles.
+RADII = 4
+
+
+def _openings(arrays: dict[str, np.ndarray], own: tuple[slice, ...], first: dict) -> dict[str, np.ndarray]:
+    """Sums of |v| over the tile: of the field (radius 0) and of its openings by some radii."""
+    v = arrays["v"]
+    radii = [r for r in range(first["start"], first["start"] + RADII) if r <= first["top"]]
+    total = lambda a: float(np.abs(a[own].astype(np.float64)).sum())
+    return {"radius": np.array([0, *radii], np.int32), "total": np.array([total(v), *(total(dense.chunked(v, r, True)) for r in radii)])}
+
+
+def wall_thickness_tiles(field: DataFrame, tiling: Tiling, starts: DataFrame) -> DataFrame:
+    """(volume_id, thickness) with starts(volume_id, start): some radii a pass, until each volume has its first."""
+    top = max(tiling.extents)
+    pending = durable(starts.select("volume_id", F.least(F.greatest("start", F.lit(1)), F.lit(top)).alias("start")), "thickness")
+    found = []
+    while (most := pending.agg(F.max("start")).first()[0]) is not None and most <= top:
+        rows = field.join(pending, "volume_id").withColumn("top", F.lit(top))
+        sums = deal(rows, tiling, 2 * min(most + RADII - 1, top), {"v": np.float32}, _openings, "radius int, total double", ("start", "top"))
+        sums = durable(sums.groupBy("volume_id", "radius").agg(F.sum("total").alias("total")), "thickness")
+        whole = sums.where("radius = 0").select("volume_id", F.col("total").alias("whole"))
+        hit = sums.where("radius > 0").join(whole, "volume_id").where(F.col("total") <= F.col("whole") * 0.5).groupBy("volume_id").agg((F.min("radius") * 2).alias("thickness"))
+        # a volume that has tried all radii has twice the largest
+        state = durable(pending.join(hit, "volume_id", "left").withColumn("thickness", F.coalesce("thickness", F.when(F.col("start") + RADII > top, F.lit(2 * top)))), "thickness")
+        found.append(state.where("thickness IS NOT NULL").select("volume_id", "thickness"))
+        pending = state.where("thickness IS NULL").select("volume_id", (F.col("start") + RADII).alias("start"))
+    return reduce(DataFrame.unionByName, found) if found else pending.select("volume_id", F.lit(0).alias("thickness"))
+
+
+def wall_thickness(field: DataFrame, grid: Grid, start_radius: int = 1, engine: str = "auto", side: int | tuple[int, int, int] = SIDE) -> DataFrame:
+    """(volume_id, thickness): twice the first radius whose chunked opening leaves at most half of sum |v|.
+
+    Engines: "kernel" (a volume a task), "tiles".
+    """
+    if _tiled(engine, grid):
+        return wall_thickness_tiles(field, Tiling.of(grid, 1, side), field.select("volume_id").distinct().withColumn("start", F.lit(start_radius)))
 
     def run(table: pa.Table) -> pa.Table:
         found = dense.wall_thickness(to_array(table, grid, "v", np.float32), start_radius)

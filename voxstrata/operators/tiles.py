@@ -35,6 +35,11 @@ _AXES = ("z", "y", "x")
 _AROUND = [d for d in product((-1, 0, 1), repeat=3) if any(d)]
 
 
+def _extended(numbers: Column, span: Column, n: int) -> Column:
+    """Each number times n plus each of span."""
+    return F.flatten(F.transform(numbers, lambda before: F.transform(span, lambda k: before * n + k)))
+
+
 @dataclass(frozen=True)
 class Tiling:
     grid: Grid
@@ -90,8 +95,7 @@ class Tiling:
         for axis, name in enumerate(_AXES):
             lo = self._part(axis, F.greatest(F.col(name) - halo, F.lit(0)))
             hi = self._part(axis, F.least(F.col(name) + halo, F.lit(self.extents[axis] - 1)))
-            span, n = F.sequence(lo, hi), self.parts[axis]
-            numbers = F.flatten(F.transform(numbers, lambda before, span=span, n=n: F.transform(span, lambda k: before * n + k)))
+            numbers = _extended(numbers, F.sequence(lo, hi), self.parts[axis])
         return numbers
 
     def inner(self) -> tuple[slice, ...]:
