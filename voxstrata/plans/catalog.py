@@ -336,6 +336,63 @@ def watershed(spark, sf_dir):
     return show(segmentation.watershed(scaled, seeds, G, chosen))
 
 
+@query
+def threshold_sweep_passes(spark, sf_dir):
+    """Three passes: components wait while their closing isn't dark enough."""
+    return _sweep_passes(volume(spark, sf_dir), "kernel")
+
+
+def _sweep_passes(field: DataFrame, engine: str) -> DataFrame:
+    t = middle(field)
+    return segmentation.threshold_sweep(field, G, t + 1, t + 3, 1.0, closing=1, min_size=30, min_invalid_area=10.0, engine=engine, side=TILE).select("z", "y", "x", "label", "passes")
+
+
+@query
+def watershed_blocks(spark, sf_dir):
+    """Seeds of 27 voxels, flooded in eight levels."""
+    return _watershed_blocks(spark, volume(spark, sf_dir), "kernel")
+
+
+def _watershed_blocks(spark: SparkSession, field: DataFrame, engine: str) -> DataFrame:
+    inside = (F.abs(F.col("x") % 10 - 5) <= 1) & (F.abs(F.col("y") - 5) <= 1) & (F.abs(F.col("z") - 3) <= 1)
+    seeds = field.select("volume_id", "z", "y", "x", F.when(inside, F.floor(F.col("x") / 10)).otherwise(-1).cast("int").alias("label"))
+    chosen = seeds.where("label >= 0").select("volume_id", "label").distinct()
+    return show(segmentation.watershed(field.withColumn("v", F.col("v") / 64), seeds, G, chosen, levels=8, engine=engine, side=TILE))
+
+
+# the same on tiles: eight of the volume, none of which any task sees with more than its halo
+
+TILE = (4, 6, 25)
+
+
+@query
+def h_minima_tiles(spark, sf_dir):
+    scaled = volume(spark, sf_dir).withColumn("v", F.col("v") / 256)
+    return out(segmentation.h_minima(scaled, G, 6 / 256, engine="tiles", side=TILE))
+
+
+@query
+def components_26_tiles(spark, sf_dir):
+    field = volume(spark, sf_dir)
+    return show(components.connected(field, G, middle(field) + 3, 26, 3, engine="tiles", side=TILE))
+
+
+@query
+def wall_thickness_tiles(spark, sf_dir):
+    field = volume(spark, sf_dir)
+    return segmentation.wall_thickness(pointwise.threshold(field, middle(field)), G, engine="tiles", side=TILE).select("thickness")
+
+
+@query
+def watershed_tiles(spark, sf_dir):
+    return _watershed_blocks(spark, volume(spark, sf_dir), "tiles")
+
+
+@query
+def threshold_sweep_tiles(spark, sf_dir):
+    return _sweep_passes(volume(spark, sf_dir), "tiles")
+
+
 # surfaces and resampling
 
 SURFACE = {"xy_radius": 1, "z_radius": 1, "kernel": Kernel.MEAN, "smooth": 1}

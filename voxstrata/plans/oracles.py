@@ -290,3 +290,76 @@ SELECT CAST(r AS BIGINT) AS reference_count, CAST(c AS BIGINT) AS candidate_coun
     "synthetic_sphere": f"SELECT CAST(c.i AS INT) AS c, CAST(z.i AS INT) AS z, CAST(y.i AS INT) AS y, CAST(x.i AS INT) AS x, round({_f32('CASE WHEN (x.i - 11.5) ** 2 + (y.i - 9.5) ** 2 + ((z.i - 5.5) * 2) ** 2 <= 36 THEN 1 - c.i * 0.2 ELSE 0 END')}, 6) AS v FROM range(2) c(i), range(12) z(i), range(20) y(i), range(24) x(i)",
     "synthetic_ramp": f"SELECT CAST(z.i AS INT) AS z, CAST(y.i AS INT) AS y, CAST(x.i AS INT) AS x, round({_f32('(x.i + y.i + z.i) / CAST(27 AS DOUBLE)')}, 6) AS v FROM range(6) z(i), range(8) y(i), range(16) x(i)",
 }
+
+
+def _sweep(passes: int = 3, least: int = 3, area: float = 20.0, top: int = 1, radii: int = 4) -> str:
+    """A threshold sweep pass by pass; a pass with nothing to wait for is the last.
+
+    A component's closing: voxels whose ball of the radius lies in the union of
+    the balls around the component.  Walls of up to 2 * ``radii`` are found.
+    """
+    ctes = ["lab0 AS (SELECT z, y, x, -1 AS label FROM vol)", "st0 AS (SELECT 0 AS known, 0 AS thick, true AS go, 0 AS passes)"]
+    for p in range(passes):
+        n, last = p + 1, p == passes - 1
+        near = " AND (q.z - p.z) ** 2 + (q.y - p.y) ** 2 + (q.x - p.x) ** 2 <= r * r"
+        ctes += [
+            f"m{n} AS (SELECT z, y, x, CASE WHEN v >= t + {top - p} THEN 0.8 ELSE 0 END AS v FROM vol, t)",
+            f"d{n} AS ({_extreme('max', _ball(1), f'm{n}')})",
+            f"k{n} AS ({_extreme('min', _ball(1), f'd{n}')})",
+            f"b{n} AS (SELECT z, y, x, label, CASE WHEN label >= 0 THEN 0 ELSE k.v END AS v FROM k{n} k JOIN lab{p} USING (z, y, x))",
+        ]
+        sums = []
+        for r in range(1, radii + 1):
+            ctes += [f"e{n}_{r} AS ({_extreme('min', _ball(r), f'b{n}')})", f"o{n}_{r} AS ({_extreme('max', _ball(r), f'e{n}_{r}')})"]
+            sums.append(f"SELECT {r} AS r, sum(v) AS s FROM o{n}_{r}")
+        ctes += [
+            f"th{n} AS (SELECT 2 * min(r) AS thick FROM ({' UNION ALL '.join(sums)}), (SELECT sum(v) AS whole FROM b{n}), st{p} WHERE s <= whole / 2 AND r >= greatest(thick // 2, 1))",
+            f"fg{n} AS (SELECT (z * 11 + y) * 50 + x AS idx, z, y, x FROM b{n} WHERE v <= 0.1 AND label < 0)",
+            f"ed{n} AS (SELECT a.idx AS u, b.idx AS w FROM fg{n} a JOIN fg{n} b ON abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1)",
+            f"""cc{n}(idx, root) USING KEY (idx) AS (
+ SELECT idx, idx AS root FROM fg{n}
+ UNION
+ SELECT e.u, min(cc{n}.root) FROM cc{n} JOIN ed{n} e ON e.w = cc{n}.idx JOIN recurring.cc{n} r ON r.idx = e.u WHERE cc{n}.root < r.root GROUP BY e.u)""",
+            f"cd{n} AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cand FROM cc{n} GROUP BY root HAVING count(*) > {least})",
+            f"own{n} AS (SELECT z, y, x, cand FROM fg{n} JOIN cc{n} USING (idx) JOIN cd{n} USING (root))",
+            f"wide{n} AS (SELECT DISTINCT p.cand, q.z, q.y, q.x FROM own{n} p, (SELECT thick // 2 AS r FROM th{n}) JOIN vol q ON {_cube(radii)}{near})",
+            f"ball{n} AS (SELECT p.z, p.y, p.x, count(*) AS n FROM vol p, (SELECT thick // 2 AS r FROM th{n}) JOIN vol q ON {_cube(radii)}{near} GROUP BY ALL)",
+            f"""shut{n} AS (SELECT p.cand, p.z, p.y, p.x, count(*) AS n FROM wide{n} p, (SELECT thick // 2 AS r FROM th{n}) JOIN wide{n} q ON q.cand = p.cand AND {_cube(radii)}{near} GROUP BY ALL)""",
+            f"""bad{n} AS (SELECT s.cand, count(*) AS n FROM shut{n} s JOIN ball{n} f USING (z, y, x) JOIN lab{p} l USING (z, y, x) LEFT JOIN own{n} o USING (z, y, x) WHERE s.n = f.n AND o.cand IS NULL AND l.label < 0 GROUP BY s.cand)""",
+            f"ok{n} AS (SELECT cand, {'true' if last else f'coalesce(b.n, 0) <= {area} * thick'} AS fine FROM cd{n} LEFT JOIN bad{n} b USING (cand), th{n})",
+            f"id{n} AS (SELECT cand, row_number() OVER (ORDER BY cand) - 1 + known AS label FROM ok{n}, st{p} WHERE fine AND go)",
+            f"lab{n} AS (SELECT l.z, l.y, l.x, coalesce(i.label, l.label) AS label FROM lab{p} l LEFT JOIN own{n} o USING (z, y, x) LEFT JOIN id{n} i ON i.cand = o.cand)",
+            f"""st{n} AS (SELECT known + (SELECT count(*) FROM id{n}) AS known, CASE WHEN go THEN h.thick ELSE s.thick END AS thick,
+ go AND (SELECT bool_or(NOT fine) FROM ok{n}) IS TRUE AS go, CASE WHEN go THEN {n} ELSE passes END AS passes FROM st{p} s, th{n} h)""",
+        ]
+    # each step is used more than once
+    ctes = [c if c.startswith("cc") else c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes]
+    return f"""WITH RECURSIVE {_VOL}, {', '.join(ctes)}
+SELECT z, y, x, CAST(label AS INT) AS label, CAST(passes AS INT) AS passes FROM lab{passes}, st{passes}"""
+
+
+def _watershed(level: str, seeds: str, levels: int) -> str:
+    """One step of growth, of opening or to the next level in each turn; the volume is the working table."""
+    return f"""WITH RECURSIVE {_VOL},
+flood(turn, z, y, x, lv, label, level, phase) AS (
+ SELECT 0, z, y, x, CAST({level} AS INT), CASE WHEN {seeds} THEN x // 10 ELSE -1 END, 1, 0 FROM vol
+ UNION ALL
+ SELECT turn + 1, z, y, x, lv,
+  CASE WHEN phase = 0 AND moves THEN grown WHEN phase = 0 THEN CASE WHEN label >= 0 AND differs THEN -1 ELSE label END ELSE grown END,
+  CASE WHEN phase = 1 THEN level + 1 ELSE level END, CASE WHEN phase = 0 AND NOT moves THEN 1 ELSE 0 END
+ FROM (
+  SELECT *, bool_or(grown <> label) OVER () AS moves FROM (
+   SELECT *, CASE WHEN label < 0 AND (phase = 1 OR lv <= level) THEN coalesce(CASE WHEN zl >= 0 THEN zl END, CASE WHEN xl >= 0 THEN xl END, CASE WHEN yl >= 0 THEN yl END, CASE WHEN xr >= 0 THEN xr END, CASE WHEN yr >= 0 THEN yr END, CASE WHEN zr >= 0 THEN zr END, label) ELSE label END AS grown,
+    coalesce(zl <> label, false) OR coalesce(xl <> label, false) OR coalesce(yl <> label, false) OR coalesce(xr <> label, false) OR coalesce(yr <> label, false) OR coalesce(zr <> label, false) AS differs
+   FROM (
+    SELECT *, lag(label) OVER (PARTITION BY y, x ORDER BY z) AS zl, lead(label) OVER (PARTITION BY y, x ORDER BY z) AS zr, lag(label) OVER (PARTITION BY z, x ORDER BY y) AS yl, lead(label) OVER (PARTITION BY z, x ORDER BY y) AS yr,
+     lag(label) OVER (PARTITION BY z, y ORDER BY x) AS xl, lead(label) OVER (PARTITION BY z, y ORDER BY x) AS xr
+    FROM flood WHERE level <= {levels}))))
+SELECT z, y, x, CAST(label AS INT) AS label FROM flood WHERE level = {levels + 1}"""
+
+ORACLES["threshold_sweep"] = _sweep()
+ORACLES["threshold_sweep_passes"] = ORACLES["threshold_sweep_tiles"] = _sweep(3, 30, 10.0, 3)
+ORACLES["watershed"] = _watershed("v", "x % 10 = 5 AND y = 5 AND z = 3", 256)
+ORACLES["watershed_blocks"] = ORACLES["watershed_tiles"] = _watershed("ceil(v / 8)", "abs(x % 10 - 5) <= 1 AND abs(y - 5) <= 1 AND abs(z - 3) <= 1", 8)
+for _whole in ("h_minima", "components_26", "wall_thickness"):
+    ORACLES[f"{_whole}_tiles"] = ORACLES[_whole]
