@@ -37,3 +37,27 @@ def test_groups_and_empty(spark):
 def test_control_strings_are_text(spark):
     df = data.frame(spark, [(1, "<|endoftext|>", "en", "x", 0)])
     assert lengths.token_counts(df).first().n_tokens > 1
+
+
+def test_long_runs_of_white_space(monkeypatch):
+    encoder = lengths._encoder(Path(f"{lengths.TOKENIZER_DIR}/{lengths.VOCABULARY}").read_bytes(), lengths.PATTERN)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", " ", "\n", "\t", "\xa0", "\u3000", " \n\n\n", "       ", "x.", "\x1c"]) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    plain = [len(encoder.encode_ordinary(t)) for t in texts]
+    monkeypatch.setattr(lengths, "LONG_RUN", 3)
+    monkeypatch.setattr(lengths, "_RUN", lengths.regex.compile(r"\p{White_Space}{3,}"))
+    assert [lengths.count_tokens(encoder, t) for t in texts] == plain
+
+
+def test_ten_million_characters(spark):
+    n = 10_000_000
+    df = data.frame(spark, [(1, "\n" * n, "en", "x", 0), (2, " " * n + "word", "en", "x", 0), (3, "a" * n, "en", "x", 0), (4, "word " * 1_000_000, "en", "x", 0)])
+    got = {r.doc_id: r.n_tokens for r in lengths.token_counts(df, keep=["doc_id"]).collect()}
+    # two line breaks are a token; each space is one, the last goes with the word
+    assert got[1] == n // 2 and got[2] == n and got[4] == 1_000_001 and 0 < got[3] <= n
+
+
+def test_kept_columns_of_any_name(spark):
+    df = data.clashing(data.frame(spark, [(1, "a b", "en", "x", 0)])).withColumnRenamed("n", "c0")
+    got = lengths.token_counts(df, keep=["_text", "c0", "_text"])
+    assert got.columns == ["_text", "c0", "_text", "n_tokens"] and tuple(got.first()) == ("t", 1, "t", 2)

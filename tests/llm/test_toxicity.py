@@ -37,6 +37,26 @@ def test_interactions_are_learned(spark):
     assert np.mean([(scores[i] >= toxicity.THRESHOLD) == bool(truth[i]) for i in held]) > 0.97
 
 
+def test_pairs_whose_terms_tell_nothing_alone(spark):
+    """Toxic is exactly one of two words; neither word says anything by itself."""
+    rng = random.Random(18)
+    rows, truth = [], {}
+    for i in range(3000):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words = data.text(rng, rng.randrange(10, 60)).split() + ["grubby"] * one + ["folkers"] * two
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", "a", 0))
+        truth[i] = int(one != two)
+    docs = data.frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, t) for i, t in truth.items()], LABELS))
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    import zlib
+
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(scores[i] >= toxicity.THRESHOLD) == bool(truth[i]) for i in held]) > 0.95
+    assert len(model.terms) < 100
+
+
 def test_held_out_labels_are_not_read(spark):
     rows, labels = corpus(random.Random(9), 400)
     docs = data.frame(spark, rows)

@@ -1,10 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct lower-cased words and the first 4 and 5 bytes of
-longer words, as 64-bit hashes.  Of a bounded sample of labelled rows all terms
-that stand in ``min_rows`` rows and whose likelihood-ratio statistic is at least
-``min_statistic`` are kept; a term that tells nothing by itself isn't.  The
-model scores a text by a bias, one weight a term, and the inner products of all
+longer words, as 64-bit hashes.  Of a bounded sample of labelled rows two kinds
+of terms are kept, each in at least ``min_rows`` rows: those whose own
+likelihood-ratio statistic is at least ``min_statistic``, and those in pairs that
+tell something, though their terms may not.  Pairs are found by a sketch: terms
+are hashed with signs into ``SKETCH`` buckets, and what the model of the single
+terms leaves unexplained is summed over rows by pairs of buckets.  Terms whose
+buckets are in a pair far from chance (``PAIR_DEVIATIONS``) under each of
+``SKETCHES`` hashings are kept, and the model is fitted again.  The sketch has one
+size whatever the texts are; a pair that stands in few rows isn't seen by it.
+
+The model scores a text by a bias, one weight a term, and the inner products of all
 pairs of its terms' factor vectors, so a pair such as an insult beside a group
 name can weigh more, or less, than its parts.  It is fitted by Adam on the
 logistic loss with L2 decay; the cut between the classes, found on rows kept
@@ -38,6 +45,8 @@ THRESHOLD = 0.7
 MAX_ROWS = 12_000
 RANK = 8
 PREFIXES = (4, 5)
+#: Buckets of a pair sketch, sketches, and the standard deviations from chance that a pair of buckets must reach.
+SKETCH, SKETCHES, PAIR_DEVIATIONS = 512, 3, 6.5
 _BITS = 20
 
 
@@ -60,6 +69,8 @@ class FactorizationMachine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    #: what placing the cut added to the bias
+    shift: float = 0.0
 
     def __post_init__(self):
         self._seen = np.zeros(1 << _BITS, bool)
@@ -127,7 +138,8 @@ def fit(terms: np.ndarray, rows: np.ndarray, at: np.ndarray, labels: np.ndarray,
         model.bias -= move[0, m]
     model.factors = np.ascontiguousarray(factors.T)
     held = ~learn if 0 < labels[~learn].sum() < (~learn).sum() else learn
-    model.bias += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(model.logits(rows, at, n)[held], labels[held])
+    model.shift = np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(model.logits(rows, at, n)[held], labels[held])
+    model.bias += model.shift
     return model
 
 
@@ -144,6 +156,65 @@ def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(z[k] - gap[k] / 2)
 
 
+def _signed(hashes: np.ndarray, sketch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of terms in a sketch."""
+    h = mix64(hashes ^ mix64(np.array([sketch], U64)))
+    return (h % U64(SKETCH)).astype(np.int64), 1.0 - 2.0 * (h >> U64(63)).astype(float)
+
+
+def _distinct_terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows, hashes = text_terms(data, offs)
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    new = np.r_[True, (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])][: len(rows)]
+    return rows[new], hashes[new]
+
+
+def _pair_terms(rows: DataFrame, model: FactorizationMachine, min_rows: int) -> np.ndarray:
+    """Hashes of the terms in pairs that tell what the model doesn't; rows(_y, text) is the sample."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = np.zeros((SKETCHES, SKETCH, SKETCH)), np.zeros((SKETCHES, SKETCH, SKETCH))
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, stop, data, offs in text_chunks(batch.column(1)):
+                n, known = stop - first, shared.value
+                r, h = _distinct_terms(data, offs)
+                logits = known.logits(*known.lookup(r, h), n) - known.shift
+                error = y[first:stop] - 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+                for k in range(SKETCHES):
+                    bucket, sign = _signed(h, k)
+                    z = np.bincount(r * SKETCH + bucket, sign, n * SKETCH).reshape(n, SKETCH)
+                    one[k] += (z * error[:, None]).T @ z
+                    two[k] += ((z * error[:, None]) ** 2).T @ z**2
+        yield pa.RecordBatch.from_arrays([pa.array([one.tobytes()]), pa.array([two.tobytes()])], names=["one", "two"])
+        trim_memory()
+
+    one, two = np.zeros((SKETCHES, SKETCH, SKETCH)), np.zeros((SKETCHES, SKETCH, SKETCH))
+    # the sample is bounded; four tasks send sums of one size
+    for r in rows.coalesce(4).mapInArrow(sums, "one binary, two binary").toLocalIterator():
+        one += np.frombuffer(r.one).reshape(one.shape)
+        two += np.frombuffer(r.two).reshape(two.shape)
+    far = np.abs(one) > PAIR_DEVIATIONS * np.sqrt(two)
+    far[:, np.arange(SKETCH), np.arange(SKETCH)] = False
+    heavy = far.any(axis=2)
+    if not heavy.any(axis=1).all():
+        return np.zeros(0, U64)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offs in text_chunks(batch.column(1)):
+                _, h = _distinct_terms(data, offs)
+                for k in range(SKETCHES):
+                    h = h[heavy[k][_signed(h, k)[0]]]
+                terms, count = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(count)], names=["term", "n"])
+
+    met = rows.mapInArrow(found, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows)
+    return np.array([r.term for r in met.collect()], np.int64).view(U64)
+
+
 def in_training_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 != 1
 
@@ -189,8 +260,18 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows:
     statistic = 2 * (part(a, k * p) + part(k - a, k * (1 - p)) + part(n1 - a, (n - k) * p) + part(n - k - n1 + a, (n - k) * (1 - p)))
     kept = seen.where(F.col("k") < n).withColumn("g", statistic).where(F.col("g") >= min_statistic).select("term").collect()
     terms = np.sort(np.array([r.term for r in kept], np.int64).view(U64))
+    model = _fitted(rows, terms)
+    more = np.union1d(terms, _pair_terms(rows, model, min_rows))
+    if len(more) > len(terms):
+        model = _fitted(rows, more)
+    table.drop()
+    return model
+
+
+def _fitted(rows: DataFrame, terms: np.ndarray) -> FactorizationMachine:
+    """The model of some terms, from rows(_y, text)."""
     finder = FactorizationMachine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 0)))
-    shared = docs.sparkSession.sparkContext.broadcast(finder)
+    shared = rows.sparkSession.sparkContext.broadcast(finder)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +283,6 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows:
 
     # at most max_rows rows of small numbers
     coded = sorted((r.y, tuple(r.at)) for r in rows.mapInArrow(encode, "y int, at array<int>").collect())
-    table.drop()
     order = np.random.default_rng(3).permutation(len(coded))
     coded = [coded[i] for i in order]
     at = np.array([t for _, ts in coded for t in ts], np.int64)
