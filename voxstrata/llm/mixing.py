@@ -4,13 +4,18 @@ Each source has a target number of words; targets are filled like water: every
 source gets its weight's part, none more than ``max_copies`` times its own
 size, and what is cut off is shared by weight among the others.  A document of
 a source with target / size = c gets floor(c) whole copies for certain.  The
-rest of the target is a sample: documents are ranked by random odds divided by
-inclusion odds (Pareto order sampling; the inclusion probability is the rest of
-c, optionally tilted by a document weight) and taken in that order.  A document
-that would exceed the rest is passed over, and the order goes on until nothing
-fits or no more than ``TOLERANCE`` of the target is missing.  Then,
-``FILL_ROUNDS`` times, the left-over document whose size is nearest to what is
-still missing is taken if that lowers the error.
+rest of the target is a sample of a fixed number of words: a document's
+inclusion probability is in proportion to its size (and to a document weight, if
+there is one), so that all of them together expect the rest; documents for which
+that is 1 or more are certain.  Documents are ranked by random odds divided by
+inclusion odds (Pareto order sampling) and taken in that order until the next
+would exceed the rest.  Long documents so come early, while there is room, and
+short ones fill up.  While a source misses more than ``TOLERANCE`` of its target
+and left-over documents fit, the order goes on among those.  What is missing
+then is made up by exchange: of at most ``CANDIDATES`` documents of each size
+class, taken and left over, one is added, or one is swapped for another,
+whichever brings the sum nearest to the target, again and again until it is
+within ``TOLERANCE`` or no such step helps.
 
 No task holds a source: rank keys are cut into ``RANK_CELLS`` cells, sums per
 (source, cell), and of blocks of cells, find the one cell in which a source's rest is reached, and only
@@ -21,7 +26,7 @@ which each source has ``SALT`` parts.
 Defined cases: a null text has 0 words; a null source is a source of its own,
 after all others; a document without words is taken 0 words; an empty table
 gives an empty result; repeated rows are separate rows, ranked alike, each at
-most ``max_copies`` times; random numbers are hashes of doc_id and size, so
+most ``max_copies`` times; random numbers are hashes of doc_id, size and text, so
 reruns agree; columns of the input are kept, those named like an added column
 are replaced.
 """
@@ -29,7 +34,10 @@ are replaced.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +49,8 @@ SEED = 2_718_281
 RANK_CELLS = 1 << 14
 CELL_BLOCK = 1 << 7
 MAX_COPIES = 3
-FILL_ROUNDS = 3
+#: Documents of one size class (16 classes for each doubling) that an exchange looks at, taken and left over.
+CANDIDATES = 8
 TOLERANCE = 1e-3
 SALT = 64
 #: Up to so many sources, the table of targets (a row of a few numbers each) is broadcast.
@@ -125,22 +134,75 @@ def _cut(keyed: DataFrame, few: bool) -> DataFrame:
     return decided.select(*columns).unionAll(others.select(*columns))
 
 
+def _size_factors(rows: DataFrame, few: bool) -> DataFrame:
+    """(_ls, _lambda) from rows(source, size, _tilt, _rest): sum(size * min(1, lambda * size * tilt)) is the rest of each source.
+
+    Sizes are summed by classes first, so a source has a few hundred rows here.
+    """
+    pull = F.col("size") * F.col("_tilt")
+    classes = rows.groupBy("source", F.floor(4 * F.log2(pull)).alias("_class")).agg(F.sum("size").cast("double").alias("_one"), F.sum(F.col("size") * pull).alias("_two"), F.first("_rest").alias("_rest"))
+    # the classes of the largest are certain first
+    mean = F.col("_two") / F.col("_one")
+    order = Window.partitionBy("source").orderBy(mean.desc(), "_class")
+    certain = F.coalesce(F.sum("_one").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    others = F.sum("_two").over(Window.partitionBy("source").orderBy(mean, F.col("_class").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    tried = classes.select("source", mean.alias("_mean"), ((F.col("_rest") - certain) / others).alias("_lambda"))
+    found = tried.where("_lambda * _mean <= 1").groupBy(F.col("source").alias("_ls")).agg(F.max_by("_lambda", "_mean").alias("_lambda"))
+    return F.broadcast(found) if few else found
+
+
 def mix_copies(rows: DataFrame, targets: DataFrame, *, doc_weight: str | None = None, seed: int = SEED, max_copies: int = MAX_COPIES, few_sources: bool = False) -> DataFrame:
-    """rows(_row, doc_id, source, size) with source_size, target, whole copies ``_sure``, and ``_in``: in the sample up to the first that doesn't fit.
+    """rows(_row, doc_id, source, size) with source_size, target, whole copies ``_sure``, ``_rest``, and ``_in``: in the sample up to the first that doesn't fit.
 
-    ``_row`` must be unique.  With ``few_sources`` tables of sources are broadcast.  ``doc_weight`` names a positive column that tilts
-    the inclusion odds of the sampled part.
+    ``_row`` must be unique; a column ``_tie`` of rows goes into the random numbers.
+    With ``few_sources`` tables of sources are broadcast.  ``doc_weight`` names a
+    positive column that the inclusion probabilities are multiplied by.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = targets.select(F.col("source").alias("_source"), "source_size", "target", F.least(F.floor(rate), F.lit(max_copies)).cast("int").alias("_sure"), rate.alias("_rate"))
-    goal = goal.withColumn("_rest", F.col("target") - F.col("_sure") * F.col("source_size")).withColumn("_p", F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("_rate") - F.col("_sure"))))
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 12).cast("double") + 0.5) / float(1 << 52)
+    goal = targets.select(F.col("source").alias("_source"), "source_size", "target", F.least(F.floor(rate), F.lit(max_copies)).cast("int").alias("_sure"))
+    goal = goal.withColumn("_rest", F.col("target") - F.col("_sure") * F.col("source_size"))
     tilt = F.coalesce(F.col(doc_weight).cast("double"), F.lit(1.0)) if doc_weight else F.lit(1.0)
-    odds = (unit / (1 - unit)) / (F.col("_p") / (1 - F.col("_p")) * tilt)
-    # the inclusion odds are one number for a source, so cells are cut by the rest of the rank: they stay even whatever that number is
-    spread = (unit / (1 - unit)) / tilt
-    keyed = _with_source(rows, goal, "_source", few_sources).withColumns({"_key": odds, "_cell": F.least(F.floor(spread / (1 + spread) * RANK_CELLS), F.lit(RANK_CELLS - 1)).cast("int"), "_goal": F.col("_rest")})
-    return _cut(keyed.select(*rows.columns, "source_size", "target", "_sure", "_rest", "_key", "_cell", "_goal"), few_sources)
+    known = _with_source(rows, goal, "_source", few_sources).withColumn("_tilt", tilt)
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("_rest"))
+    odd = _with_source(known, _size_factors(known.where(fits), few_sources), "_ls", few_sources, "left")
+    # a source whose documents are all certain has no factor
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.coalesce("_lambda", F.lit(1.0)) * F.greatest("size", F.lit(1)) * F.col("_tilt")))
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size", *(c for c in ("_tie",) if c in rows.columns)), 12).cast("double") + 0.5) / float(1 << 52)
+    key = (unit / (1 - unit)) / (p / (1 - p))
+    # the rest is reached at odds of about 1, in the middle of the cells
+    keyed = odd.withColumn("_key", key).withColumns({"_cell": F.least(F.floor(F.col("_key") / (1 + F.col("_key")) * RANK_CELLS), F.lit(RANK_CELLS - 1)).cast("int"), "_goal": F.col("_rest")})
+    keyed = keyed.select(*rows.columns, "source_size", "target", "_sure", "_rest", "_key", "_cell", "_goal")
+    return _cut(keyed.where(fits), few_sources).unionAll(keyed.where(~fits).withColumn("_in", F.lit(False)))
+
+
+def _exchange(table: pa.Table) -> pa.Table:
+    """Changes of one source: +1 for a document added, -1 for one given up; rows(_row, taken, size, _key, doc_id, _gap, _slack)."""
+    gap, slack = table.column("_gap")[0].as_py(), table.column("_slack")[0].as_py()
+    parts = []
+    for taken in (True, False):
+        rows = sorted(((r["size"], r["_key"], r["doc_id"] is None, r["doc_id"], r["_row"]) for r in table.to_pylist() if r["taken"] == taken), key=lambda r: (*r[:3], str(r[3]), r[4]))
+        parts.append((np.array([r[0] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)))
+    (outs, out_rows), (ins, in_rows) = parts
+    changes: list[tuple[int, int]] = []
+    while abs(gap) > slack and len(ins):
+        # giving up nothing, or one of the taken
+        given = np.append(0, outs)
+        at = np.searchsorted(ins, given + gap)
+        low, high = np.maximum(at - 1, 0), np.minimum(at, len(ins) - 1)
+        pick = np.where(np.abs(gap + given - ins[low]) <= np.abs(gap + given - ins[high]), low, high)
+        error = np.abs(gap + given - ins[pick])
+        best = int(np.argmin(error))
+        if error[best] >= abs(gap):
+            break
+        k = int(pick[best])
+        changes.append((int(in_rows[k]), 1))
+        gap += int(given[best]) - int(ins[k])
+        ins, in_rows = np.delete(ins, k), np.delete(in_rows, k)
+        if best:
+            changes.append((int(out_rows[best - 1]), -1))
+            outs, out_rows = np.delete(outs, best - 1), np.delete(out_rows, best - 1)
+    rows, deltas = zip(*changes, strict=True) if changes else ((), ())
+    return pa.table({"_frow": pa.array(rows, pa.int64()), "_delta": pa.array(deltas, pa.int32())})
 
 
 def mix_documents(
@@ -159,7 +221,9 @@ def mix_documents(
 
     ``_row`` numbers the rows, or is the unique column that ``row_id`` names.
     """
-    narrow = docs.select((F.monotonically_increasing_id() if row_id is None else F.col(row_id)).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"))
+    row = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
+    tie = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
+    narrow = docs.select(row.alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"), tie.alias("_tie"))
     sizes = durable(narrow, "mix-sizes")
     targets = durable(source_targets(sizes, weights, budget, max_copies), "mix-targets")
     few = targets.count() <= BROADCAST_SOURCES
@@ -170,35 +234,34 @@ def mix_documents(
         F.col("source").alias("_gs"), (F.col("target") - sure * F.col("source_size") - F.coalesce("_taken", F.lit(0))).alias("_gap"), (F.lit(TOLERANCE) * F.col("target")).alias("_slack")
     )
     gaps = durable(gaps, "mix-gaps")
-    spare = chosen.where("NOT _in AND size > 0 AND _rest > 0").select("_row", "doc_id", "source", "size", "_key", "_cell")
+    columns = ["_row", "doc_id", "source", "size", "_key", "_cell"]
+    left, more = chosen.where("NOT _in AND size > 0 AND _rest > 0").select(*columns), []
     # the order goes on behind a document that doesn't fit: each round takes what fits of the documents that fitted before
-    left, more = spare, None
     while True:
         fits = _with_source(left, gaps.where("_gap > _slack").select("_gs", F.col("_gap").alias("_goal")), "_gs", few).where("size <= _goal")
         fits = durable(_cut(fits.drop("_gs"), few), "mix-fits")
-        if fits.isEmpty():
-            break
         now = fits.where("_in")
         gains = now.groupBy(F.col("source").alias("_ts")).agg(F.sum("size").alias("_more"))
-        gaps = durable(gaps.join(gains, F.col("_gs").eqNullSafe(F.col("_ts")), "left").select("_gs", (F.col("_gap") - F.coalesce("_more", F.lit(0))).alias("_gap"), "_slack"), "mix-gaps")
-        more = now.select("_row") if more is None else more.unionAll(now.select("_row"))
-        left = fits.where("NOT _in").select(*left.columns)
-    if more is not None:
-        spare = spare.join(more, "_row", "left_anti")
-    gaps = gaps.select("_gs", "_gap", F.array().cast("array<bigint>").alias("_fill"))
-    for _ in range(FILL_ROUNDS):
-        gaps = durable(gaps, "mix-gaps")
-        near = _with_source(spare, gaps.where("_gap > 0"), "_gs", few).where((F.col("size") < 2 * F.col("_gap")) & ~F.array_contains("_fill", F.col("_row")))
-        best = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("e"), "doc_id", "_row", "size")).alias("f")).withColumnRenamed("source", "_bs")
-        found = F.col("f").isNotNull()
-        gaps = gaps.join(best, F.col("_gs").eqNullSafe(F.col("_bs")), "left").select(
-            "_gs", F.when(found, F.col("_gap") - F.col("f.size")).otherwise(F.col("_gap")).alias("_gap"), F.when(found, F.array_append("_fill", F.col("f._row"))).otherwise(F.col("_fill")).alias("_fill")
-        )
-    filler = gaps.select(F.explode("_fill").alias("_frow"))
-    if more is not None:
-        filler = filler.unionAll(more)
-    out = chosen.join(filler, F.col("_row") == F.col("_frow"), "left")
-    copies = F.least(F.lit(max_copies), F.col("_sure") + (F.col("_in") | F.col("_frow").isNotNull()).cast("int"))
+        following = durable(gaps.join(gains, F.col("_gs").eqNullSafe(F.col("_ts")), "left").select("_gs", (F.col("_gap") - F.coalesce("_more", F.lit(0))).alias("_gap"), "_slack", F.col("_more").isNotNull().alias("_moved")), "mix-gaps")
+        gaps = following.drop("_moved")
+        if following.where("_moved").isEmpty():
+            break
+        more.append(now.select("_row"))
+        left = fits.where("NOT _in").select(*columns)
+    added = reduce(DataFrame.unionAll, more).withColumn("_more", F.lit(True)) if more else None
+    state = chosen.where("size > 0 AND _rest > 0").select(*columns, "_in")
+    if added is not None:
+        state = state.join(added, "_row", "left").select(*columns, (F.col("_in") | F.coalesce("_more", F.lit(False))).alias("_in"))
+    # only the last of the taken and the first of the left-over documents of a size class are looked at
+    short = _with_source(state, gaps.where("_gap > _slack"), "_gs", few).withColumn("_class", F.floor(16 * F.log2("size")))
+    rank = Window.partitionBy("source", "_in", "_class").orderBy(F.when(F.col("_in"), -F.col("_key")).otherwise(F.col("_key")), "doc_id", "size", "_row")
+    near = short.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= CANDIDATES)
+    changes = near.select("source", "_row", F.col("_in").alias("taken"), "size", "_key", "doc_id", "_gap", "_slack").groupBy("source").applyInArrow(_exchange, "_frow long, _delta int")
+    if added is not None:
+        changes = changes.unionAll(added.select(F.col("_row").alias("_frow"), F.lit(1).alias("_delta")))
+    changes = changes.groupBy("_frow").agg(F.sum("_delta").cast("int").alias("_delta"))
+    out = chosen.join(changes, F.col("_row") == F.col("_frow"), "left")
+    copies = F.least(F.lit(max_copies), F.col("_sure") + F.col("_in").cast("int") + F.coalesce("_delta", F.lit(0)))
     return out.select("_row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
