@@ -8,7 +8,8 @@ tell something, though their terms may not.  Pairs are found by a sketch: terms
 are hashed with signs into ``SKETCH`` buckets, and what the model of the single
 terms leaves unexplained is summed over rows by pairs of buckets.  Terms whose
 buckets are in a pair far from chance (``PAIR_DEVIATIONS``) under each of
-``SKETCHES`` hashings are kept, and the model is fitted again.  The sketch has one
+``SKETCHES`` hashings are kept, and the model is fitted again; the second fit stays
+if its F1 on rows kept out of the fit is higher by ``PAIR_GAIN``.  The sketch has one
 size whatever the texts are; a pair that stands in few rows isn't seen by it.
 
 The model scores a text by a bias, one weight a term, and the inner products of all
@@ -46,7 +47,8 @@ MAX_ROWS = 12_000
 RANK = 8
 PREFIXES = (4, 5)
 #: Buckets of a pair sketch, sketches, and the standard deviations from chance that a pair of buckets must reach.
-SKETCH, SKETCHES, PAIR_DEVIATIONS = 512, 3, 6.5
+SKETCH, SKETCHES, PAIR_DEVIATIONS = 512, 3, 8.0
+PAIR_GAIN = 0.005
 _BITS = 20
 
 
@@ -69,8 +71,10 @@ class FactorizationMachine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
-    #: what placing the cut added to the bias
-    shift: float = 0.0
+    #: what to add to a logit so that the sample's scores add up to its labels
+    level: float = 0.0
+    #: F1 at the threshold on rows kept out of the fit
+    f1: float = 0.0
 
     def __post_init__(self):
         self._seen = np.zeros(1 << _BITS, bool)
@@ -138,11 +142,24 @@ def fit(terms: np.ndarray, rows: np.ndarray, at: np.ndarray, labels: np.ndarray,
         model.bias -= move[0, m]
     model.factors = np.ascontiguousarray(factors.T)
     held = ~learn if 0 < labels[~learn].sum() < (~learn).sum() else learn
-    model.shift = np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(model.logits(rows, at, n)[held], labels[held])
-    model.bias += model.shift
+    model.bias += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(model.logits(rows, at, n)[held], labels[held])
+    logits = model.logits(rows, at, n)
+    model.level = _level(logits, labels)
+    found = logits >= np.log(THRESHOLD / (1 - THRESHOLD))
+    model.f1 = float(2 * (found & (labels > 0))[held].sum() / max(1, found[held].sum() + labels[held].sum()))
     return model
 
 
+def _level(logits: np.ndarray, labels: np.ndarray) -> float:
+    """By bisection: the shift at which the scores add up to the labels."""
+    low, high = -1e3, 1e3
+    for _ in range(80):
+        middle = (low + high) / 2
+        more = (1 / (1 + np.exp(-np.clip(logits + middle, -500, 500)))).sum() > labels.sum()
+        low, high = (low, middle) if more else (middle, high)
+    return low
+
+
 def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     """The middle of the widest gap among the cuts with the best F1."""
     order = np.argsort(-logits, kind="stable")
@@ -172,30 +189,51 @@ def _distinct_terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
 
 def _pair_terms(rows: DataFrame, model: FactorizationMachine, min_rows: int) -> np.ndarray:
     """Hashes of the terms in pairs that tell what the model doesn't; rows(_y, text) is the sample."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = np.zeros((SKETCHES, SKETCH, SKETCH)), np.zeros((SKETCHES, SKETCH, SKETCH))
-        for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, stop, data, offs in text_chunks(batch.column(1)):
-                n, known = stop - first, shared.value
-                r, h = _distinct_terms(data, offs)
-                logits = known.logits(*known.lookup(r, h), n) - known.shift
-                error = y[first:stop] - 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
-                for k in range(SKETCHES):
-                    bucket, sign = _signed(h, k)
-                    z = np.bincount(r * SKETCH + bucket, sign, n * SKETCH).reshape(n, SKETCH)
-                    one[k] += (z * error[:, None]).T @ z
-                    two[k] += ((z * error[:, None]) ** 2).T @ z**2
-        yield pa.RecordBatch.from_arrays([pa.array([one.tobytes()]), pa.array([two.tobytes()])], names=["one", "two"])
-        trim_memory()
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(model)
+
+    def total(names: tuple[str, ...], make, shape: tuple[int, ...]) -> list[np.ndarray]:
+        """Sums of make(y, data, offs) over all rows; the sample is bounded, and four tasks send sums of one size."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros(shape) for _ in names]
+            for batch in batches:
+                y = batch.column(0).to_numpy(zero_copy_only=False)
+                for first, stop, data, offs in text_chunks(batch.column(1)):
+                    make(sums, y[first:stop], data, offs)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in sums], names=list(names))
+            trim_memory()
+
+        out = [np.zeros(shape) for _ in names]
+        for r in rows.coalesce(4).mapInArrow(run, ", ".join(f"{n} binary" for n in names)).toLocalIterator():
+            for x, raw in zip(out, r, strict=True):
+                x += np.frombuffer(raw).reshape(shape)
+        return out
 
-    one, two = np.zeros((SKETCHES, SKETCH, SKETCH)), np.zeros((SKETCHES, SKETCH, SKETCH))
-    # the sample is bounded; four tasks send sums of one size
-    for r in rows.coalesce(4).mapInArrow(sums, "one binary, two binary").toLocalIterator():
-        one += np.frombuffer(r.one).reshape(one.shape)
-        two += np.frombuffer(r.two).reshape(two.shape)
+    def sketched(k: int, r: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+        bucket, sign = _signed(h, k)
+        return np.bincount(r * SKETCH + bucket, sign, n * SKETCH).reshape(n, SKETCH)
+
+    def add(sums, y, data, offs) -> None:
+        r, h = _distinct_terms(data, offs)
+        for k in range(SKETCHES):
+            sums[0][k] += sketched(k, r, h, len(y)).sum(axis=0)
+
+    count = rows.count()
+    mean = context.broadcast(total(("z",), add, (SKETCHES, SKETCH))[0] / max(count, 1))
+
+    def pairs(sums, y, data, offs) -> None:
+        n, known = len(y), shared.value
+        r, h = _distinct_terms(data, offs)
+        logits = known.logits(*known.lookup(r, h), n) + known.level
+        error = (y - 1 / (1 + np.exp(-np.clip(logits, -500, 500))))[:, None]
+        for k in range(SKETCHES):
+            # about its mean, so that a word of most rows isn't a pair with every other
+            z = sketched(k, r, h, n) - mean.value[k]
+            sums[0][k] += (z * error).T @ z
+            sums[1][k] += ((z * error) ** 2).T @ z**2
+
+    one, two = total(("one", "two"), pairs, (SKETCHES, SKETCH, SKETCH))
     far = np.abs(one) > PAIR_DEVIATIONS * np.sqrt(two)
     far[:, np.arange(SKETCH), np.arange(SKETCH)] = False
     heavy = far.any(axis=2)
@@ -263,7 +301,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows:
     model = _fitted(rows, terms)
     more = np.union1d(terms, _pair_terms(rows, model, min_rows))
     if len(more) > len(terms):
-        model = _fitted(rows, more)
+        wider = _fitted(rows, more)
+        model = wider if wider.f1 >= model.f1 + PAIR_GAIN else model
     table.drop()
     return model
 
