@@ -192,8 +192,8 @@ def _pair_terms(rows: DataFrame, model: FactorizationMachine, min_rows: int) ->
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(model)
 
-    def total(names: tuple[str, ...], make, shape: tuple[int, ...]) -> list[np.ndarray]:
-        """Sums of make(y, data, offs) over all rows; the sample is bounded, and four tasks send sums of one size."""
+    def sums_of(names: tuple[str, ...], make, shape: tuple[int, ...]) -> DataFrame:
+        """Sums of make(y, data, offs) over the rows of four tasks, each of one size."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = [np.zeros(shape) for _ in names]
@@ -204,11 +204,7 @@ def _pair_terms(rows: DataFrame, model: FactorizationMachine, min_rows: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in sums], names=list(names))
             trim_memory()
 
-        out = [np.zeros(shape) for _ in names]
-        for r in rows.coalesce(4).mapInArrow(run, ", ".join(f"{n} binary" for n in names)).toLocalIterator():
-            for x, raw in zip(out, r, strict=True):
-                x += np.frombuffer(raw).reshape(shape)
-        return out
+        return rows.coalesce(4).mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
     def sketched(k: int, r: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
         bucket, sign = _signed(h, k)
@@ -220,7 +216,8 @@ def _pair_terms(rows: DataFrame, model: FactorizationMachine, min_rows: int) ->
             sums[0][k] += sketched(k, r, h, len(y)).sum(axis=0)
 
     count = rows.count()
-    mean = context.broadcast(total(("z",), add, (SKETCHES, SKETCH))[0] / max(count, 1))
+    shape = (SKETCHES, SKETCH)
+    mean = context.broadcast(sum((np.frombuffer(r.z).reshape(shape) for r in sums_of(("z",), add, shape).collect()), np.zeros(shape)) / max(count, 1))
 
     def pairs(sums, y, data, offs) -> None:
         n, known = len(y), shared.value
@@ -233,10 +230,20 @@ def _pair_terms(rows: DataFrame, model: FactorizationMachine, min_rows: int) ->
             sums[0][k] += (z * error).T @ z
             sums[1][k] += ((z * error) ** 2).T @ z**2
 
-    one, two = total(("one", "two"), pairs, (SKETCHES, SKETCH, SKETCH))
-    far = np.abs(one) > PAIR_DEVIATIONS * np.sqrt(two)
-    far[:, np.arange(SKETCH), np.arange(SKETCH)] = False
-    heavy = far.any(axis=2)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = np.zeros((*shape, SKETCH)), np.zeros((*shape, SKETCH))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one += np.frombuffer(batch.column(0)[k].as_buffer()).reshape(one.shape)
+                two += np.frombuffer(batch.column(1)[k].as_buffer()).reshape(two.shape)
+        far = np.abs(one) > PAIR_DEVIATIONS * np.sqrt(two)
+        far[:, np.arange(SKETCH), np.arange(SKETCH)] = False
+        yield pa.RecordBatch.from_arrays([pa.array([far.any(axis=2).tobytes()])], names=["heavy"])
+        trim_memory()
+
+    # four rows of one size are added up by a task, the driver gets a flag for each bucket
+    flags = sums_of(("one", "two"), pairs, (*shape, SKETCH)).repartition(1).mapInArrow(judge, "heavy binary").collect()
+    heavy = np.frombuffer(flags[0].heavy, bool).reshape(shape)
     if not heavy.any(axis=1).all():
         return np.zeros(0, U64)
 
@@ -318,15 +325,18 @@ def _fitted(rows: DataFrame, terms: np.ndarray) -> FactorizationMachine:
             for first, _, data, offs in text_chunks(batch.column(1)):
                 for row, at in zip(*(x.tolist() for x in shared.value.lookup(*text_terms(data, offs))), strict=True):
                     found[first + row].append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(f, ">i4").tobytes() for f in found], pa.binary())], names=["y", "at"])
 
-    # at most max_rows rows of small numbers
-    coded = sorted((r.y, tuple(r.at)) for r in rows.mapInArrow(encode, "y int, at array<int>").collect())
+    # at most max_rows rows of small numbers; big-endian, so that bytes are in the order of the numbers
+    coded = sorted((r.y, bytes(r.at)) for r in rows.mapInArrow(encode, "y int, at binary").collect())
+    shared.unpersist()
     order = np.random.default_rng(3).permutation(len(coded))
     coded = [coded[i] for i in order]
-    at = np.array([t for _, ts in coded for t in ts], np.int64)
-    row = np.repeat(np.arange(len(coded)), [len(ts) for _, ts in coded])
-    return fit(terms, row, at, np.array([y for y, _ in coded], float))
+    at = np.frombuffer(b"".join(ts for _, ts in coded), ">i4").astype(np.int64)
+    row = np.repeat(np.arange(len(coded)), [len(ts) // 4 for _, ts in coded])
+    model = fit(terms, row, at, np.array([y for y, _ in coded], float))
+    trim_memory()
+    return model
 
 
 def score_documents(docs: DataFrame, model: FactorizationMachine, *, text: str = "text") -> DataFrame:
