@@ -7,6 +7,7 @@ from tests.volumes import array_of, field_of, grid_of
 from voxstrata.functions import weights as W
 from voxstrata.model import Crop, Grid, InvalidArgument, Kernel, Projection, ResourceLimit, validate_volume
 from voxstrata.operators import components, dense, directional, morphology, pointwise, resample, segmentation, stencil, surface
+from voxstrata.operators.envelope import lower_envelope
 
 
 def line(*values):
@@ -356,3 +357,70 @@ def test_component_boxes():
     labels[1, 2, 3:5] = 0
     labels[0:3, 4, 0] = 1
     assert dense.label_boxes(labels) == [(slice(1, 2), slice(2, 3), slice(3, 5)), (slice(0, 3), slice(4, 5), slice(0, 1))]
+
+
+# linear scans, against brute force
+
+
+def test_lower_envelope_is_the_least_parabola():
+    rng = np.random.default_rng(1)
+    for trial in range(200):
+        length, n = rng.integers(1, 14), rng.integers(1, 6)
+        f = rng.integers(0, 40, (length, n)).astype(float) if trial % 2 else rng.random((length, n)) * 30
+        f[rng.random((length, n)) < 0.4] = np.inf
+        square = (1.0, 2.25)[trial % 2]
+        q = np.arange(length)
+        every = square * (q[:, None, None] - q[None, :, None]) ** 2 + f[None]
+        assert lower_envelope(f, square) == pytest.approx(every.min(axis=1), abs=1e-9)
+
+
+def test_lower_envelope_of_odd_lines():
+    f = np.array([[np.nan, np.inf, np.nan, 1e12], [np.nan, np.nan, 5.0, 0.0]])
+    got = lower_envelope(f)
+    assert np.isnan(got[:, 0]).all() and np.isinf(got[:, 1]).all() and got[:, 2].tolist() == [6, 5] and got[:, 3].tolist() == [1, 0]
+
+
+def test_depth_map_is_the_least_distance(spark):
+    rng = np.random.default_rng(2)
+    a = (rng.random((6, 7, 9)) > 0.6).astype(float)
+    top = height(spark, a)
+    got = array_of(surface.depth_map(field_of(spark, a), grid_of(a), z_radius=0, xy_radius=0, smooth=0, level=0.5, kernel=Kernel.MEAN), a.shape)
+    z, y, x = np.indices(a.shape)
+    hy, hx = np.indices(top.shape)
+    every = np.sqrt((z[..., None, None] - top) ** 2 + (y[..., None, None] - hy) ** 2 + (x[..., None, None] - hx) ** 2).min(axis=(3, 4))
+    assert got == pytest.approx(np.where(z > top, every, 0), abs=1e-9)
+
+
+@pytest.mark.parametrize("largest", [True, False])
+@pytest.mark.parametrize("radius", [1, 2, 5, 9, 30])
+def test_running_extremes_by_scans(spark, radius, largest):
+    rng = np.random.default_rng(radius)
+    a = rng.random((2, 3, 23))
+    a[0, 0, 4] = np.nan
+    field = field_of(spark, a).where("x > 0 OR y > 0")  # one line begins at 1
+    got, want = (stencil.extreme_axis(field, "x", radius, largest, engine).orderBy("z", "y", "x").toPandas() for engine in ("scans", "frame"))
+    assert got.columns.tolist() == want.columns.tolist() and np.array_equal(got.v, want.v, equal_nan=True) and len(got) == len(want)
+
+
+def test_trilinear_across_tiles(spark):
+    rng = np.random.default_rng(3)
+    a = rng.random((9, 17, 20))
+    p = rng.random((300, 3)) * [22, 19, 11] - 1
+    p[:20] = np.round(p[:20])
+    points = spark.createDataFrame([("a", i, *map(float, q)) for i, q in enumerate(p)], "volume_id string, point_id int, px double, py double, pz double")
+    got = {r.point_id: r.v for r in stencil.trilinear(field_of(spark, a), grid_of(a), points).collect()}
+    for i, q in enumerate(p):
+        c = [min(max(v, 0.0), e - 1.0) for v, e in zip(q[::-1], a.shape, strict=True)]
+        low = [int(v) for v in c]
+        high = [min(v + 1, e - 1) for v, e in zip(low, a.shape, strict=True)]
+        f = [v - w for v, w in zip(c, low, strict=True)]
+        want = sum(a[tuple(high[d] if k >> d & 1 else low[d] for d in range(3))] * np.prod([f[d] if k >> d & 1 else 1 - f[d] for d in range(3)]) for k in range(8))
+        assert got[i] == pytest.approx(want, abs=1e-12)
+
+
+def test_trilinear_of_a_field_with_gaps(spark):
+    a = np.arange(27.0).reshape(3, 3, 3)
+    field = field_of(spark, a).where("x < 2 AND NOT (z = 0 AND y = 0 AND x = 1)")
+    points = spark.createDataFrame([("a", 1, 0.5, 0.0, 0.0), ("a", 2, 0.5, 1.0, 0.0), ("a", 3, 2.0, 1.0, 1.0)], "volume_id string, point_id int, px double, py double, pz double")
+    got = {r.point_id: r.v for r in stencil.trilinear(field, grid_of(a), points).collect()}
+    assert got == {1: 0.0, 2: 3.5}

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from ..model import Grid, InvalidArgument
 from .components import equal_components
-from .surface import min_plus
+from .envelope import min_plus
 
 KEYS = ["volume_id", "z", "y", "x"]
-_FAR = 1e18
 
 
 @dataclass(frozen=True)
@@ -55,26 +54,26 @@ def surface(labels: DataFrame, grid: Grid, background: int = 0) -> DataFrame:
     return front.join(faces, KEYS, "left").where(F.coalesce("faces", F.lit(0)) < 6).select(*KEYS)
 
 
-def _directed(source: DataFrame, target: DataFrame, every: DataFrame) -> DataFrame:
-    """(volume_id, d): nearest-rank 95th percentile of distances from source to target."""
-    marked = every.join(target.withColumn("t", F.lit(0.0)), KEYS, "left").select(*KEYS, F.coalesce("t", F.lit(_FAR)).alias("v"))
-    for axis in ("x", "y", "z"):
-        marked = min_plus(marked, axis)
-    found = source.join(marked, KEYS)
-    return found.groupBy("volume_id").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY v)").alias("d2")).select("volume_id", F.sqrt("d2").alias("d"))
-
-
 def hausdorff95(reference: DataFrame, candidate: DataFrame, grid: Grid, reference_background: int = 0, candidate_background: int = 0) -> DataFrame:
-    """(volume_id, hausdorff95) in voxels: 0 if both are empty, null if one is."""
-    a, b = surface(reference, grid, reference_background), surface(candidate, grid, candidate_background)
-    every = reference.select(*KEYS)
-    volumes = every.select("volume_id").distinct()
-    counts = volumes.join(a.groupBy("volume_id").agg(F.count(F.lit(1)).alias("na")), "volume_id", "left").join(b.groupBy("volume_id").agg(F.count(F.lit(1)).alias("nb")), "volume_id", "left")
-    there = _directed(a, b, every).withColumnRenamed("d", "ab")
-    back = _directed(b, a, every).withColumnRenamed("d", "ba")
-    both = counts.join(there, "volume_id", "left").join(back, "volume_id", "left")
-    value = F.when(F.col("na").isNull() & F.col("nb").isNull(), F.lit(0.0)).when(F.col("na").isNull() | F.col("nb").isNull(), F.lit(None).cast("double")).otherwise(F.greatest("ab", "ba"))
-    return both.select("volume_id", value.alias("hausdorff95"))
+    """(volume_id, hausdorff95) in voxels: 0 if both are empty, null if one is.
+
+    The greater of the two nearest-rank 95th percentiles of the distances from
+    one surface to the other.  The distances to both surfaces take the same
+    three passes, in which marks of the surfaces go along.
+    """
+    far = F.lit(float("inf"))
+    marks = reference.select(*KEYS, F.lit(False).alias("a"), F.lit(False).alias("b"))
+    for mark, labels, background in (("a", reference, reference_background), ("b", candidate, candidate_background)):
+        marks = marks.unionByName(surface(labels, grid, background).select(*KEYS, F.lit(mark == "a").alias("a"), F.lit(mark == "b").alias("b")))
+    both = marks.groupBy(*KEYS).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    squares = both.select(*KEYS, F.when(F.col("a"), 0.0).otherwise(far).alias("v"), F.when(F.col("b"), 0.0).otherwise(far).alias("to_b"), "a", "b")
+    for axis in ("x", "y", "z"):
+        squares = min_plus(squares, axis, also=["to_b"], keep=["a", "b"])
+    nearest = "percentile_disc(0.95) WITHIN GROUP (ORDER BY {0}) FILTER (WHERE {1})"
+    found = squares.where("a OR b").groupBy("volume_id").agg(F.sqrt(F.expr(nearest.format("to_b", "a"))).alias("there"), F.sqrt(F.expr(nearest.format("v", "b"))).alias("back"))
+    value = F.when(F.col("there").isNotNull() & F.col("back").isNotNull(), F.greatest("there", "back"))
+    volumes = reference.select("volume_id").distinct()
+    return volumes.join(found.select("volume_id", value.alias("d"), F.lit(True).alias("_any")), "volume_id", "left").select("volume_id", F.when(F.col("_any").isNull(), 0.0).otherwise(F.col("d")).alias("hausdorff95"))
 
 
 def evaluate(reference: DataFrame, candidate: DataFrame, grid: Grid, *, reference_background: int = 0, candidate_background: int = 0, connectivity: int = 26, thresholds: Thresholds | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions.weights import line_weights
 from ..model import Grid, InvalidArgument, Kernel, Projection
-from .stencil import convolve_axis, lines, spread, trilinear
+from .envelope import min_plus
+from .stencil import convolve_axis, trilinear
 
 
 def height_map(field: DataFrame, grid: Grid, *, xy_radius: int = 0, z_radius: int = 4, kernel: Kernel = Kernel.GAUSSIAN, smooth: int = 1, level: float = 0.5) -> DataFrame:
@@ -51,7 +52,7 @@ def depth_map(field: DataFrame, grid: Grid, **surface) -> DataFrame:
     """For z above the surface, the least distance in voxels to any surface point; else 0.
 
     The squared distance to all points (hx, hy, H) parts into a pass over x and
-    a pass over y: each takes, per line, the minimum of (q - s)**2 + f[s].
+    a pass over y, each the lower envelope of a line's parabolas.
     """
     top = height_map(field, grid, **surface)
     planes = top.select("volume_id", "y", "x", F.col("v").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(grid.depth - 1))).alias("z"))
@@ -62,16 +63,6 @@ def depth_map(field: DataFrame, grid: Grid, **surface) -> DataFrame:
     return far.select("volume_id", "z", "y", "x", F.when(F.col("z") > F.col("h"), F.sqrt("v")).otherwise(F.lit(0.0)).alias("v"))
 
 
-def min_plus(squares: DataFrame, axis: str, scale: float = 1.0) -> DataFrame:
-    """Along each line, the minimum over s of (scale * (q - s))**2 + v[s]."""
-    q2 = scale * scale
-    lined = lines(squares, axis).withColumn(
-        "vs",
-        F.transform(F.sequence(F.lit(0), F.size("vs") - 1), lambda q: F.array_min(F.transform("vs", lambda f, s: f + (q - s) * (q - s) * F.lit(q2)))),
-    )
-    return spread(lined, axis)
-
-
 def surface_normals(surface: DataFrame, grid: Grid) -> DataFrame:
     """(volume_id, y, x, h, nx, ny, nz): mean of the normals of the four neighbouring patches."""
     row = Window.partitionBy("volume_id", "y").orderBy("x")
@@ -107,18 +98,21 @@ def height_projection(field: DataFrame, grid: Grid, *, mode: Projection = Projec
         raise InvalidArgument("projection parameters must be finite")
     top = height_map(field, grid, level=surface_level, **surface)
     base = surface_normals(top, grid) if mode == Projection.NORMAL else top.select("volume_id", "y", "x", F.col("v").alias("h"), F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
-    steps = base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(reach))))
-    distance = F.col("step") + F.lit(float(start))
-    points = steps.select(
-        "volume_id", "y", "x", "step", (F.col("x") + F.col("nx") * distance).alias("px"), (F.col("y") + F.col("ny") * distance).alias("py"), (F.col("h") + F.col("nz") * distance + F.lit(float(offset))).alias("pz")
-    )
-    out = (F.col("px") < 0) | (F.col("py") < 0) | (F.col("pz") < 0) | (F.col("px") > grid.width - 1) | (F.col("py") > grid.height - 1) | (F.col("pz") > grid.depth - 1)
-    above = (F.col("pz") < 0) if mode == Projection.Z else F.lit(False)
-    marked = points.withColumn("out", out).withColumn("above", F.col("out") & above)
-    ray = Window.partitionBy("volume_id", "y", "x").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    alive = marked.withColumn("ended", F.max((F.col("out") & ~F.col("above")).cast("int")).over(ray) == 1).where(~F.col("ended") & ~F.col("out"))
-    key = F.struct("y", "x", "step").alias("point_id")
-    samples = trilinear(field, grid, alive.select("volume_id", key, "px", "py", "pz")).select("volume_id", "point_id.*", "v")
+    step = F.sequence(F.lit(0), F.lit(reach))
+
+    def at(t):
+        distance = t + F.lit(float(start))
+        px, py, pz = F.col("x") + F.col("nx") * distance, F.col("y") + F.col("ny") * distance, F.col("h") + F.col("nz") * distance + F.lit(float(offset))
+        out = (px < 0) | (py < 0) | (pz < 0) | (px > grid.width - 1) | (py > grid.height - 1) | (pz > grid.depth - 1)
+        above = out & (pz < 0) if mode == Projection.Z else F.lit(False)
+        return F.struct(t.alias("step"), px.alias("px"), py.alias("py"), pz.alias("pz"), out.alias("out"), (out & ~above).alias("ends"))
+
+    # a ray is one short array, cut at the first step that ends it
+    rays = base.select("volume_id", "y", "x", F.transform(step, at).alias("ray"))
+    ended = F.array_position(F.transform("ray", lambda p: p["ends"]), F.lit(True)).cast("int")
+    alive = F.filter(F.when(ended > 0, F.slice("ray", F.lit(1), ended - 1)).otherwise(F.col("ray")), lambda p: ~p["out"])
+    points = rays.select("volume_id", "y", "x", F.explode(alive).alias("p")).select("volume_id", F.struct("y", "x", F.col("p.step").alias("step")).alias("point_id"), "p.px", "p.py", "p.pz")
+    samples = trilinear(field, grid, points).select("volume_id", "point_id.*", "v")
     best = samples.groupBy("volume_id", "y", "x").agg(F.max("v").alias("m"))
     shape = top.select("volume_id", "y", "x").join(best, ["volume_id", "y", "x"], "left")
     m = F.greatest(F.coalesce("m", F.lit(0.0)), F.lit(0.0))
