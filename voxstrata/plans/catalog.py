@@ -169,6 +169,16 @@ def erode_cube(spark, sf_dir):
     return out(morphology.cube(volume(spark, sf_dir), 1, False))
 
 
+@query
+def dilate_cube_wide(spark, sf_dir):
+    return out(morphology.cube(volume(spark, sf_dir), 5, True))
+
+
+@query
+def erode_cube_wide(spark, sf_dir):
+    return out(morphology.cube(volume(spark, sf_dir), 7, False))
+
+
 @query
 def dilate_sphere(spark, sf_dir):
     return out(morphology.ball(volume(spark, sf_dir), G, 2, True))

@@ -163,6 +163,8 @@ ORACLES: dict[str, str] = {
     "convolve_axis": _with("SELECT z, y, x, round(v, 4) AS v FROM k1", _axis("vol", "x", line_weights(3, True), "k1", 49)),
     "dilate_cube": _with(_extreme("max", _cube(2))),
     "erode_cube": _with(_extreme("min", _cube(1))),
+    "dilate_cube_wide": _with(_extreme("max", _cube(5))),
+    "erode_cube_wide": _with(_extreme("min", _cube(7))),
     "dilate_sphere": _with(_extreme("max", _ball(2))),
     "erode_sphere": _with(_extreme("min", _ball(2))),
     "spherical_closing": _with(_extreme("min", _ball(1), "d"), f"d AS ({_extreme('max', _ball(1))})"),
