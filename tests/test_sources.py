@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.volumes import field_of, grid_of
-from voxstrata.sources import packages, synthetic, tiff
+from voxstrata.sources import adapters, packages, synthetic, tiff
 from voxstrata.streaming import arrivals
 
 
@@ -166,20 +166,19 @@ def test_stream_of_arrivals(spark, tmp_path):
     assert sorted((r.z, r.voxels, r.foreground, r.total) for r in spark.table("planes").collect()) == [(0, 2, 1, 1.0), (1, 1, 1, 2.0)]
 
 
-def test_events_outside_the_grid_are_an_error(spark, tmp_path):
-    from voxstrata.sources import adapters
-
+def test_events_grid_follows_the_table(spark, tmp_path):
     inside = [(f"k{i}", i, f"2024-01-{i + 1:02d} 05:00:00") for i in range(5)]
-    for name, more in {"in": [], "day": [("k0", 1, "2024-01-31 05:00:00")], "type": [("k9", 1, "2024-01-02 05:00:00")]}.items():
-        rows = spark.createDataFrame(inside + more, "event_type string, user_id long, ts string")
-        rows.selectExpr("event_type", "user_id", "cast(ts as timestamp) AS ts").write.parquet(f"{tmp_path}/{name}/events.parquet")
-        volume = adapters.event_volume(spark, f"{tmp_path}/{name}")
-        if more:
-            try:
-                volume.collect()
-            except Exception as error:
-                assert "outside the grid" in str(error)
-            else:
-                raise AssertionError(name)
-        else:
-            assert sum(r.v for r in volume.collect()) == 5
+    more = {"in": ([], 30, 5), "day": ([("k0", -1, "2024-01-31 05:00:00")], 31, 5), "type": ([("k9", 1, "2024-01-02 05:00:00")], 30, 6)}
+    for name, (rows, days, kinds) in more.items():
+        table = spark.createDataFrame(inside + rows, "event_type string, user_id long, ts string")
+        table.selectExpr("event_type", "user_id", "cast(ts as timestamp) AS ts").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = adapters.event_volume(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == 24 * days * 8 * kinds and sum(r.v for r in got) == 5 + len(rows)
+
+
+@pytest.mark.parametrize("row", [(None, 1, "2024-01-02 05:00:00"), ("k0", None, "2024-01-02 05:00:00"), ("k0", 1, None)])
+def test_events_with_nulls_are_an_error(spark, tmp_path, row):
+    table = spark.createDataFrame([("k0", 1, "2024-01-02 05:00:00"), row], "event_type string, user_id long, ts string")
+    table.selectExpr("event_type", "user_id", "cast(ts as timestamp) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    with pytest.raises(Exception, match="outside the grid"):
+        adapters.event_volume(spark, str(tmp_path)).collect()

@@ -113,11 +113,12 @@ def height_projection(field: DataFrame, grid: Grid, *, mode: Projection = Projec
     alive = F.filter(F.when(ended > 0, F.slice("ray", F.lit(1), ended - 1)).otherwise(F.col("ray")), lambda p: ~p["out"])
     points = rays.select("volume_id", "y", "x", F.explode(alive).alias("p")).select("volume_id", F.struct("y", "x", F.col("p.step").alias("step")).alias("point_id"), "p.px", "p.py", "p.pz")
     samples = trilinear(field, grid, points).select("volume_id", "point_id.*", "v")
-    best = samples.groupBy("volume_id", "y", "x").agg(F.max("v").alias("m"))
-    shape = top.select("volume_id", "y", "x").join(best, ["volume_id", "y", "x"], "left")
-    m = F.greatest(F.coalesce("m", F.lit(0.0)), F.lit(0.0))
+    # every place of the image has a 0, so rays without a sample need no join
+    floor = field.select("volume_id", "y", "x", F.lit(0.0).alias("v"))
+    shape = samples.select("volume_id", "y", "x", "v").unionByName(floor).groupBy("volume_id", "y", "x").agg(F.max("v").alias("m"))
+    m = F.col("m")
     if mode == Projection.NORMAL and level > 0:
-        value = F.when(F.col("m") > float(level), F.lit(1.0)).otherwise(F.lit(0.0))
+        value = F.when(m > float(level), F.lit(1.0)).otherwise(F.lit(0.0))
     elif mode == Projection.Z:
         value = F.when(m < float(level), F.lit(0.0)).otherwise(m)
     else:

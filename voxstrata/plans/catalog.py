@@ -639,8 +639,8 @@ def synthetic_ramp(spark, sf_dir):
 @query
 def flagship(spark, sf_dir):
     """Events per channel: smoothed, locally thresholded, closed, labelled and measured."""
-    events = adapters.event_volume(spark, sf_dir)
-    g = adapters.EVENT_GRID
+    g = adapters.event_grid(spark, sf_dir)
+    events = adapters.event_volume(spark, sf_dir, grid=g)
     field = durable(events.select(F.concat("volume_id", F.lit("/"), "c").alias("volume_id"), "z", "y", "x", "v"), "events")
     smooth = durable(stencil.smooth(field, 1, Kernel.GAUSSIAN), "smooth")
     mask = morphology.closing(stencil.adaptive_threshold(smooth, 3, Kernel.GAUSSIAN, 0.0, "xyz"), g, 1)

@@ -13,7 +13,7 @@ t AS (SELECT CAST(ceil(avg(v)) AS DOUBLE) AS t FROM vol)"""
 _EV = """kinds AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INT) AS k FROM (SELECT DISTINCT event_type FROM events)),
 ev AS (
  SELECT CAST(d.i AS INT) AS c, CAST(a.i AS INT) AS z, CAST(b.i AS INT) AS y, CAST(e.i AS INT) AS x, CAST(coalesce(n, 0) AS DOUBLE) AS v
- FROM range(5) d(i), range(8) a(i), range(30) b(i), range(24) e(i)
+ FROM (SELECT unnest(range((SELECT greatest(5, count(*)) FROM kinds))) AS i) d, range(8) a(i), (SELECT unnest(range((SELECT greatest(30, max(day(ts))) FROM events))) AS i) b, range(24) e(i)
  LEFT JOIN (SELECT k, user_id % 8 lz, day(ts) - 1 ly, hour(ts) lx, count(*) n FROM events JOIN kinds USING (event_type) GROUP BY ALL) s
  ON k = d.i AND lz = a.i AND ly = b.i AND lx = e.i)"""
 _COLS = "cols AS (SELECT z, y, x, CASE WHEN v >= t THEN CAST(floor(x / 10) AS INT) ELSE -1 END AS label FROM vol, t)"

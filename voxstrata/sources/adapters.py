@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..model import Grid
 
 LINEITEM_GRID = Grid(50, 11, 7)
+#: The least extents of the events' grid, and the number of types up to which they are broadcast.
 EVENT_GRID = Grid(24, 30, 8, channels=5)
-EVENT_TYPES = 5
+EVENT_TYPES = 10_000
 
 
 def dense(sparse: DataFrame, grid: Grid, volume_ids: DataFrame, channels: bool = False) -> DataFrame:
@@ -43,24 +45,28 @@ def lineitem_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(counts, LINEITEM_GRID, _single(spark, "lineitem"))
 
 
-def event_volume(spark: SparkSession, sf_dir: str, value: Column | None = None) -> DataFrame:
-    """Counts (or sums of value) over hour (x), day (y), user (z) and event type (c): 24 x 30 x 8 x 5.
-
-    A row outside this grid (a sixth type, day 31, a null) is an error.
-    """
+def event_grid(spark: SparkSession, sf_dir: str) -> Grid:
+    """The grid of ``event_volume``: as many days and types as the table has, ``EVENT_GRID`` at least."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kinds = rows.select("event_type").distinct().withColumn("c", F.rank().over(_order("event_type")) - 1)
-    cell = rows.join(F.broadcast(kinds.orderBy("c").limit(EVENT_TYPES)), "event_type", "left").groupBy(F.col("c").cast("int"), (F.col("user_id") % 8).cast("int").alias("z"), (F.dayofmonth("ts") - 1).cast("int").alias("y"), F.hour("ts").cast("int").alias("x"))
-    counts = cell.agg((F.count(F.lit(1)) if value is None else F.sum(value)).cast("double").alias("v")).withColumn("volume_id", F.lit("events"))
-    inside = F.col("c").isNotNull() & F.col("z").between(0, EVENT_GRID.depth - 1) & F.col("y").between(0, EVENT_GRID.height - 1) & F.col("x").isNotNull()
-    counts = counts.withColumn("c", F.when(inside, F.col("c")).otherwise(F.raise_error(F.lit("an event lies outside the grid of event_volume")).cast("int")))
-    return dense(counts, EVENT_GRID, _single(spark, "events"), channels=True)
+    found = rows.agg(F.max(F.dayofmonth("ts")).alias("days"), F.count_distinct("event_type").alias("kinds")).first()
+    return EVENT_GRID.resized(height=max(EVENT_GRID.height, found.days or 0), channels=max(EVENT_GRID.channels, found.kinds))
 
 
-def _order(column: str):
-    from pyspark.sql.window import Window
+def event_volume(spark: SparkSession, sf_dir: str, value: Column | None = None, grid: Grid | None = None) -> DataFrame:
+    """Counts (or sums of value) over hour (x), day (y), user modulo 8 (z) and event type (c), on ``event_grid``.
 
-    return Window.orderBy(column)
+    A row with a null among these is an error.
+    """
+    grid = grid or event_grid(spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # the numbering of the types: one row a type
+    kinds = rows.select("event_type").distinct().withColumn("c", F.rank().over(Window.orderBy("event_type")) - 1)
+    cell = rows.join(F.broadcast(kinds) if grid.channels <= EVENT_TYPES else kinds, "event_type", "left").groupBy(F.col("c").cast("int"), F.pmod("user_id", F.lit(8)).cast("int").alias("z"), (F.dayofmonth("ts") - 1).cast("int").alias("y"), F.hour("ts").cast("int").alias("x"))
+    counts = cell.agg((F.count(F.lit(1)) if value is None else F.sum(value)).cast("double").alias("v")).withColumn("volume_id", F.lit("events"))
+    # each coordinate is checked by itself: a join on it would drop a null before another's check sees the row
+    outside = F.raise_error(F.lit("an event lies outside the grid of event_volume")).cast("int")
+    counts = counts.withColumns({name: F.when(F.col(name).between(0, extent - 1), F.col(name)).otherwise(outside) for name, extent in (("c", grid.channels), ("z", grid.depth), ("y", grid.height), ("x", grid.width))})
+    return dense(counts, grid, _single(spark, "events"), channels=True)
 
 
 def embedding_volume(spark: SparkSession, sf_dir: str, rows_per_plane: int = 25) -> DataFrame:
