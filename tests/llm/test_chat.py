@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -66,3 +67,31 @@ def test_query_digest(spark, sf_dir):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_many_turns_cost_in_proportion(spark):
+    def rows(n):
+        turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("</s>é "), F.col("id").cast("string")).alias("text"))
+        return turns.repartition(4)
+
+    def took(n):
+        began = time.monotonic()
+        got = read_back(rows(n))[1]
+        assert [t.text for t in got.turns] == [f"</s>é {i}" for i in range(n)]
+        assert got.loss == [f"</s>é {i}" for i in range(1, n, 2)]
+        return time.monotonic() - began
+
+    took(chat.CHUNK + 1)
+    assert took(100_000) < 60
+
+
+def test_many_turns_of_one_role(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("tool").alias("role"), F.lit("é[NEXT]").alias("text"))
+    got = read_back(rows)[1]
+    assert [(t.role, t.text) for t in got.turns] == [("tool", "é[NEXT]")] * n and got.loss == []
+
+
+def test_chunk_ends(spark):
+    for n in (1, chat.CHUNK - 1, chat.CHUNK, chat.CHUNK + 1, 2 * chat.CHUNK):
+        check(spark, [(1, t, ("user", "assistant", "assistant")[t % 3], f"é{t}") for t in range(n)])

@@ -11,11 +11,13 @@ concatenated.  A role other than system, user and assistant has the header
 first character, and one more if it has some already, so that it is never a
 control string in the output and the text can be read back exactly.  The loss
 mask is a list of (start, length) in code points of assistant texts.
-Expressions only.
+Offsets are running sums inside chunks of turns and over the chunks, so that a
+conversation of many turns costs time in proportion to them.  Expressions only.
 
 Defined cases: a null text is empty; a null role is the empty role; turns are
 ordered by turn (null first), then role, then text, so ties have one order;
-repeated rows are repeated turns; a null conv_id is one conversation; an empty
+repeated rows are repeated turns; very many turns (100,000 is tested) and very
+long texts are one string; a null conv_id is one conversation; an empty
 table gives an empty result; further columns of the input are ignored.
 """
 
@@ -29,6 +31,8 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ANS]", "[/A
 _TAILS = r"/?s>|/?INST\]|/?SYS\]|/?ANS\]|NEXT\]|ROLE\]|:\]"
 _ESCAPE = rf"([<\[])(\\*)({_TAILS})"
 _UNESCAPE = rf"([<\[])\\(\\*)({_TAILS})"
+#: Turns whose offsets are added up together; an array that grows is copied at each step.
+CHUNK = 512
 HEADERS = {"system": "[SYS] ", "user": "[INST] ", "assistant": "[ANS] "}
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -48,6 +52,27 @@ def _header(role: Column) -> Column:
     return out
 
 
+def _chunks(values: Column) -> Column:
+    """The array in pieces of ``CHUNK``; an empty one is one empty piece."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(CHUNK))
+    return F.transform(F.array(values), lambda whole: F.transform(starts, lambda at: F.slice(whole, at + 1, F.lit(CHUNK))))[0]
+
+
+def _total(lens: Column) -> Column:
+    return F.aggregate(lens, F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+
+def _running(lens: Column, start: Column | int) -> Column:
+    """What stands before each entry, from ``start`` on; the array grows by one entry a step."""
+    start = F.lit(start) if isinstance(start, int) else start
+    return F.aggregate(
+        lens,
+        F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")),
+        lambda acc: acc["starts"],
+    )
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted string, loss_spans array<struct<start long, length long>>."""
     turns = rows.select(
@@ -79,13 +104,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
             ),
         ).alias("p"),
     ).withColumn("lens", F.transform("p", lambda x: (F.length(x["lead"]) + F.length(x["body"]) + F.length(x["tail"])).cast("long")))
-    # offsets: a running sum over the pieces, carried as an array that grows by one entry a turn
-    ends = F.aggregate(
-        "lens",
-        F.struct(F.lit(len("<s>")).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")),
-        lambda acc: acc["starts"],
-    )
+    pieces = pieces.withColumn("chunks", _chunks(F.col("lens")))
+    pieces = pieces.withColumn("bases", _running(F.transform("chunks", _total), len("<s>")))
+    ends = F.flatten(F.zip_with("chunks", "bases", _running))
     return pieces.withColumn("starts", ends).select(
         "conv_id",
         F.concat(F.lit("<s>"), F.array_join(F.transform("p", lambda x: F.concat(x["lead"], x["body"], x["tail"])), "")).alias("formatted"),
@@ -112,14 +133,27 @@ def read_turns(formatted: Column) -> Column:
     def body(b: Column) -> Column:
         return F.regexp_replace(b, r"(?s)^(\[SYS\] |\[INST\] |\[ANS\] |\[ROLE\].*?\[:\] )", "")
 
-    return F.flatten(
-        F.transform(blocks, lambda b: F.transform(F.split(body(b), r"\[NEXT\]"), lambda t: F.struct(role(b).alias("role"), unescape(t).alias("text"))))
-    )
+    # a block's role and texts are worked out once, however many texts it has
+    parts = F.transform(blocks, lambda b: F.struct(role(b).alias("role"), F.split(body(b), r"\[NEXT\]").alias("texts")))
+    return F.flatten(F.transform(parts, lambda p: F.transform(p["texts"], lambda t: F.struct(p["role"].alias("role"), unescape(t).alias("text")))))
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The unescaped texts under the loss mask, in order."""
-    return F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    """The unescaped texts under the loss mask, in order.
+
+    A substring by code points reads the string from its beginning, so spans are
+    read from strips of the string, one for each ``CHUNK`` of spans.
+    """
+
+    def cut(text: Column, start: Column, length: Column) -> Column:
+        return F.substr(text, (start + 1).cast("int"), length.cast("int"))
+
+    def strip(text: Column, chunk: Column) -> Column:
+        first, last = F.get(chunk, F.lit(0))["start"], F.get(chunk, F.size(chunk) - 1)
+        return F.struct(chunk.alias("spans"), first.alias("base"), cut(text, first, last["start"] + last["length"] - first).alias("text"))
+
+    strips = F.flatten(F.transform(F.array(formatted), lambda text: F.transform(_chunks(spans), lambda chunk: strip(text, chunk))))
+    return F.flatten(F.transform(strips, lambda s: F.transform(s["spans"], lambda p: unescape(cut(s["text"], p["start"] - s["base"], p["length"])))))
 
 
 def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
