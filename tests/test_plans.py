@@ -1,12 +1,15 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests.volumes import field_of, grid_of
 
-from voxstrata.model import Crop, Grid
-from voxstrata.operators import pointwise, resample
+from voxstrata.model import Cancelled, Crop, Grid
+from voxstrata.operators import labels, pointwise, resample, segmentation
 from voxstrata.plans.components import connected_components
 from voxstrata.plans.durable import DurableTable, shared_root
+from voxstrata.plans.progress import listening
 from voxstrata.sources import store, synthetic
 
 
@@ -100,3 +103,25 @@ def test_grids():
     with pytest.raises(ValueError):
         Grid(1, 1, 1, spacing=(1.0, 0.0, 1.0))
     assert Grid(2, 3, 4).voxels == 24 and F is not None
+
+
+def test_rounds_are_reported_and_can_be_cancelled(spark):
+    labels_ = field_of(spark, np.array([[[1, -1, -1, -1]]]), "label")
+    heard = []
+    with listening(lambda *said: heard.append(said)):
+        labels.dilate(labels_, [1], 3)
+    assert heard == [("dilate", 1, 3), ("dilate", 2, 3), ("dilate", 3, 3)]
+    heard.clear()
+    with pytest.raises(Cancelled), listening(lambda *said: heard.append(said) or said[1] == 2):
+        labels.dilate(labels_, [1], 3)
+    assert heard == [("dilate", 1, 3), ("dilate", 2, 3)]
+    labels.dilate(labels_, [1], 2)
+    assert len(heard) == 2
+
+
+def test_watershed_on_tiles_reports_levels_and_exchanges(spark):
+    a, seeds = np.zeros((1, 1, 8)), np.array([[[5, -1, -1, -1, -1, -1, -1, 6]]])
+    chosen, heard = spark.createDataFrame([("a", 5), ("a", 6)], "volume_id string, label int"), []
+    with listening(lambda *said: heard.append(said)):
+        segmentation.watershed(field_of(spark, a), field_of(spark, seeds, "label"), grid_of(a), chosen, levels=3, engine="tiles", side=4)
+    assert {stage for stage, _, _ in heard} == {"watershed"} and any(total == 3 for _, _, total in heard) and any(total is None for _, _, total in heard)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .functions import weights
 from .model import Cancelled, Crop, Grid, InvalidArgument, InvalidState, Kernel, validate_volume
 from .operators import components, directional, morphology, pointwise, resample, segmentation, stencil, surface
+from .plans.progress import Callback, listening
 
 
 class Operation(IntEnum):
@@ -117,12 +118,14 @@ class Engine:
         context = self.spark.sparkContext
         return {"name": "spark", "version": self.spark.version, "master": context.master, "parallelism": context.defaultParallelism}
 
-    def run(self, operation: Operation, **parameters) -> Result:
+    def run(self, operation: Operation, progress: Callback | None = None, **parameters) -> Result:
+        """The operation's plan.  Operators that run in rounds report them to ``progress``, which can end them (``plans.progress``)."""
         try:
             make = _FORMS[Operation(operation)]
         except ValueError as error:
             raise InvalidArgument(f"no operation {operation}") from error
-        return make(self, self.field(), self.grid, parameters)
+        with listening(progress):
+            return make(self, self.field(), self.grid, parameters)
 
     @contextmanager
     def cancellable(self, tag: str):

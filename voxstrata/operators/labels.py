@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..model import BACKGROUND, Grid, InvalidArgument, InvalidState
 from ..plans.durable import durable
+from ..plans.progress import report
 from .components import half_neighbours, label_components
 from .morphology import ball
 
@@ -69,22 +70,24 @@ def _iterations(n: int) -> None:
 def dilate(labels: DataFrame, selected: list[int], iterations: int = 1, connectivity: int = 6) -> DataFrame:
     """Background voxels take the least selected label beside them, all at once."""
     _iterations(iterations)
-    for _ in range(iterations):
+    for done in range(iterations):
         least = _near(labels.where(F.col("label").isin(selected)), connectivity).groupBy(*KEYS).agg(F.min("near").alias("near"))
         labels = labels.join(least, KEYS, "left").select(*KEYS, F.when(F.col("label") < 0, F.coalesce("near", "label")).otherwise(F.col("label")).cast("int").alias("label"))
         labels = durable(labels, "labels") if iterations > 1 else labels
+        report("dilate", done + 1, iterations)
     return labels
 
 
 def erode(labels: DataFrame, selected: list[int], iterations: int = 1, connectivity: int = 6) -> DataFrame:
     """Selected voxels with a neighbour outside the volume or of another label become background."""
     _iterations(iterations)
-    for _ in range(iterations):
+    for done in range(iterations):
         chosen = labels.where(F.col("label").isin(selected))
         same = _near(chosen, connectivity).join(chosen, KEYS).where("near = label").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("same"))
         edge = F.col("label").isin(selected) & (F.coalesce("same", F.lit(0)) < connectivity)
         labels = labels.join(same, KEYS, "left").select(*KEYS, F.when(edge, F.lit(BACKGROUND)).otherwise(F.col("label")).cast("int").alias("label"))
         labels = durable(labels, "labels") if iterations > 1 else labels
+        report("erode", done + 1, iterations)
     return labels
 
 

@@ -8,6 +8,7 @@ the same result.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.weights import ascending_schedule, descending_schedule, enforce, estimate
 from ..model import BACKGROUND, LOW, MASK, Crop, Grid, InvalidArgument, InvalidState, Kernel
 from ..plans.durable import DurableTable, durable
+from ..plans.progress import report
 from . import components, dense
 from .directional import response
 from .morphology import closing as ball_closing
@@ -89,13 +91,14 @@ def _h_minima_tiles(field: DataFrame, tiling: Tiling, h: float) -> DataFrame:
 
 def _h_minima_rows(field: DataFrame, grid: Grid, h: float) -> DataFrame:
     source = durable(field.withColumn("i", F.col("v")).withColumn("v", F.col("v") + float(h)), "h-minima")
-    while True:
+    for done in count(1):
         low = source
         for axis in ("x", "y", "z"):
             low = extreme_axis(low, axis, 1, False)
         kept = durable(source.withColumnRenamed("v", "before").join(low.select("volume_id", "z", "y", "x", "v"), ["volume_id", "z", "y", "x"]).withColumn("v", F.greatest("v", "i")), "h-minima")
         changed = kept.where("v <> before").limit(1).count()
         source = kept.drop("before")
+        report("h-minima", done)
         if not changed:
             return source.select("volume_id", "z", "y", "x", F.when(F.col("v") - F.col("i") < 1e-5, F.lit(MASK)).otherwise(F.lit(0.0)).alias("v"))
 
@@ -203,6 +206,7 @@ def _watershed_tiles(rows: DataFrame, tiling: Tiling, levels: int) -> DataFrame:
         state = settle(then(state, grow(level, True)), kind, grow(level, False), "watershed")
         state = then(state, _open_within)
         changed = not state.df.where("changed").isEmpty()
+        report("watershed", level, levels)
     return spread(state.df, kind, lambda arrays, _: {"label": arrays["label"][inner]}, "label int")
 
 
@@ -298,6 +302,7 @@ def _staged_tiles(rows: DataFrame, grid: Grid, masks: list[Column], options: dic
             "volume_id", "thickness", (F.col("known") + F.coalesce("more", F.lit(0))).alias("known"), F.lit(number + 1).alias("passes"), (~F.coalesce("waits", F.lit(False))).alias("done")
         )
         labels, volumes = durable(grown.unionByName(kept), "staged"), durable(following.unionByName(volumes.where("done")), "staged")
+        report("segmentation", number + 1, len(masks))
     return labels.join(volumes.select("volume_id", "passes"), "volume_id")
 
 
@@ -389,6 +394,7 @@ def wall_thickness_tiles(field: DataFrame, tiling: Tiling, starts: DataFrame) ->
         state = durable(pending.join(hit, "volume_id", "left").withColumn("thickness", F.coalesce("thickness", F.when(F.col("start") + RADII > top, F.lit(2 * top)))), "thickness")
         found.append(state.where("thickness IS NOT NULL").select("volume_id", "thickness"))
         pending = state.where("thickness IS NULL").select("volume_id", (F.col("start") + RADII).alias("start"))
+        report("wall thickness", min(most + RADII - 1, top), top)
     return reduce(DataFrame.unionByName, found) if found else pending.select("volume_id", F.lit(0).alias("thickness"))
 
 

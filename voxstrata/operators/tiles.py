@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..model import Grid, ResourceLimit
 from ..plans.durable import DurableTable
+from ..plans.progress import report
 
 #: Voxels of a tile's side, unless a call says otherwise.
 SIDE = 64
@@ -239,12 +240,13 @@ def step(state: DataFrame, kind: TileArrays, kernel: Callable[[dict[str, np.ndar
 
 def settle(state: DurableTable, kind: TileArrays, kernel: Callable[[dict[str, np.ndarray], int], None], tag: str, max_rounds: int = 10_000) -> DurableTable:
     """Steps until no border piece changes; ``state`` is dropped."""
-    for _ in range(max_rounds):
+    for done in range(max_rounds):
         if state.df.where("n_out > 0").isEmpty():
             return state
         following = DurableTable(step(state.df, kind, kernel), tag)
         state.drop()
         state = following
+        report(tag, done + 1)
     raise ResourceLimit("the tiles didn't settle")
 
 

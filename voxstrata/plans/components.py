@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import DurableTable
+from .progress import report
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         .distinct()
     )
     table, mark = DurableTable(start, "cc"), None
-    for _ in range(max_rounds):
+    for done in range(max_rounds):
         now = table.df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == mark or now["n"] == 0:
             break
@@ -50,6 +51,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         following = DurableTable(_star(table.df), "cc")
         table.drop()
         table = following
+        report("components", done + 1)
     else:
         raise RuntimeError("components did not settle")
     stars = table.df
