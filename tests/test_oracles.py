@@ -25,6 +25,17 @@ def test_query(spark, sf_dir, duck, name):
     assert len(a) == len(b) and (a == b).all().all()
 
 
+@pytest.mark.parametrize("rows,thickness", [(range(1, 10), 10), (range(2, 9), 8), (range(4, 5), 2)])
+def test_wall_thickness_beyond_radius_two(spark, tmp_path, rows, thickness):
+    """One line item in each cell of a slab, as many rows thick."""
+    found = [(z + 1, y / 100, x + 1.0) for z in range(7) for y in rows for x in range(50)]
+    spark.createDataFrame(found, "l_linenumber int, l_discount double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("wall_thickness",):
+        assert con.execute(oracles.ORACLES[name]).fetchall() == [(thickness,)] == [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

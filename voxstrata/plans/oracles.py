@@ -138,6 +138,28 @@ def _weights_table() -> str:
  FROM (SELECT r, 0.3 * (r - 1) + 0.8 AS s FROM (VALUES (0), (1), (2), (14)) v(r)) g, range(29) k(i) WHERE k.i <= 2 * r"""
 
 
+def _thickness(top: int = 50, chunk: int = 4) -> str:
+    """Twice the first radius whose opening, by balls of radius ``chunk`` at most, leaves at most half of the mask; else twice ``top``.
+
+    A step is one ball's erosion or dilation of the whole mask, or the start of the next radius.
+    """
+    return _with(
+        "SELECT CAST(2 * max(radius) AS INT) AS thickness FROM opened",
+        "m AS (SELECT z, y, x, CAST(v >= t AS DOUBLE) AS v FROM vol, t)", "whole AS (SELECT sum(v) AS total FROM m)",
+        f"ball AS (SELECT CAST(r.i AS INT) AS r, CAST(a.i AS INT) AS dz, CAST(b.i AS INT) AS dy, CAST(c.i AS INT) AS dx FROM range(1, {chunk + 1}) r(i), range({-chunk}, {chunk + 1}) a(i), range({-chunk}, {chunk + 1}) b(i), range({-chunk}, {chunk + 1}) c(i) WHERE a.i ** 2 + b.i ** 2 + c.i ** 2 <= r.i ** 2)",
+        f"""opened AS (
+ SELECT 1 AS radius, 1 AS erode, 1 AS dilate, z, y, x, v FROM m
+ UNION ALL
+ SELECT * FROM (
+  SELECT p.radius, greatest(p.erode - {chunk}, 0) AS erode, CASE WHEN p.erode > 0 THEN p.dilate ELSE greatest(p.dilate - {chunk}, 0) END AS dilate, p.z, p.y, p.x, CASE WHEN p.erode > 0 THEN min(q.v) ELSE max(q.v) END AS v
+  FROM opened p JOIN ball ON r = least(CASE WHEN p.erode > 0 THEN p.erode ELSE p.dilate END, {chunk}) JOIN opened q ON q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx
+  GROUP BY p.radius, p.erode, p.dilate, p.z, p.y, p.x
+  UNION ALL
+  SELECT s.radius + 1, s.radius + 1, s.radius + 1, m.z, m.y, m.x, m.v
+  FROM (SELECT radius FROM opened, whole WHERE erode = 0 AND dilate = 0 AND radius < {top} GROUP BY radius, total HAVING sum(v) > total / 2) s, m))""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLES: dict[str, str] = {
     "copy_channel": _with("SELECT z, y, x, v FROM vol"),
     "select_channel": f"WITH {_EV} SELECT z, y, x, v FROM ev WHERE c = 2",
@@ -193,11 +215,7 @@ SELECT z, y, x, CASE WHEN v - i < 0.001 THEN CAST(0.8 AS DOUBLE) ELSE 0.0 END AS
         "m AS (SELECT z, y, x, CASE WHEN v >= t - 1 THEN 0.8 ELSE 0 END AS v FROM vol, t)", f"dil AS ({_extreme('max', _ball(1), 'm')})", f"closed AS ({_extreme('min', _ball(1), 'dil')})",
     ),
     "directional_segmentation_final": _components("(SELECT z, y, x FROM vol JOIN least_ USING (z, y, x) WHERE NOT v > least - (0.4 * (1 - alpha) + 0.2 * alpha))", 1, _labelled(3), *_directional()),
-    # radius 1 or 2 is enough on these tables; a wider wall would show as null
-    "wall_thickness": _with(
-        "SELECT CAST(CASE WHEN (SELECT sum(v) FROM o1) <= total / 2 THEN 2 WHEN (SELECT sum(v) FROM o2) <= total / 2 THEN 4 END AS INT) AS thickness FROM (SELECT sum(v) AS total FROM m)",
-        "m AS (SELECT z, y, x, CAST(v >= t AS DOUBLE) AS v FROM vol, t)", f"e1 AS ({_extreme('min', _ball(1), 'm')})", f"o1 AS ({_extreme('max', _ball(1), 'e1')})", f"e2 AS ({_extreme('min', _ball(2), 'm')})", f"o2 AS ({_extreme('max', _ball(2), 'e2')})",
-    ),
+    "wall_thickness": _thickness(),
     "components_6": _components("(SELECT * FROM vol, t WHERE v >= t)", 1, _labelled(1)),
     "components_18": _components("(SELECT * FROM vol, t WHERE v >= t + 2)", 2, _labelled(2)),
     "components_26": _components("(SELECT * FROM vol, t WHERE v >= t + 3)", 3, _labelled(3)),
