@@ -32,7 +32,7 @@ def test_wall_thickness_beyond_radius_two(spark, tmp_path, rows, thickness):
     spark.createDataFrame(found, "l_linenumber int, l_discount double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
-    for name in ("wall_thickness",):
+    for name in ("wall_thickness", "wall_thickness_tiles"):
         assert con.execute(oracles.ORACLES[name]).fetchall() == [(thickness,)] == [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
 
 
