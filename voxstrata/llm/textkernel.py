@@ -136,6 +136,15 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, letters_only: bool = False)
     return span_hashes(data, starts, ends), rows
 
 
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of words, independent of where they stand."""
+    power, inverse = _pow_tables(len(words) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(words) + 1, U64)
+        np.cumsum(words * power[: len(words)], out=total[1:])
+        return _splitmix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64) * _PLACE[63])
+
+
 def ngram_hashes(words: np.ndarray, k: int, mask: tuple[int, ...] | None = None) -> np.ndarray:
     """Hash of each run of k words; mask names the places that count (default: all)."""
     n = len(words) - k + 1
