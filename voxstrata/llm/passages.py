@@ -112,31 +112,38 @@ def repeated_words(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """(did, th, runs array<struct<first, last>>): maximal runs of words to delete, counted from 0."""
     texts = docs.select(F.col(doc_id).alias("did"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     kind = texts.schema["did"].dataType.simpleString()
-    found = DurableTable(texts.where("t IS NOT NULL").mapInArrow(_stretch_rows(min_words), f"did {kind}, th long, lo int, hi int, f long, whole long"), "stretches")
+    tables = []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        """Written, so that a join has an exchange on each side and a frequent key's partition can be split."""
+        tables.append(DurableTable(df, tag))
+        return tables[-1].df
+
+    found = kept(texts.where("t IS NOT NULL").mapInArrow(_stretch_rows(min_words), f"did {kind}, th long, lo int, hi int, f long, whole long"), "stretches")
     place = F.struct("did", "th", "lo")
-    anchors = found.df.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("f")
-    shared = DurableTable(found.df.join(anchors.hint("merge"), "f", "left_semi"), "shared-stretches")
-    classes = shared.df.groupBy("f", "whole").agg(F.min(F.struct("did", "th", "lo", "hi")).alias("a"), F.max(place).alias("b"))
+    anchors = kept(found.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("f"), "anchors")
+    shared = kept(found.join(anchors.hint("merge"), "f", "left_semi"), "shared-stretches")
+    classes = kept(shared.groupBy("f", "whole").agg(F.min(F.struct("did", "th", "lo", "hi")).alias("a"), F.max(place).alias("b")), "stretch-classes")
     first = F.struct("a.did", "a.th", "a.lo")
     # all but the first member of a class
-    copies = shared.df.join(classes.where(~first.eqNullSafe(F.col("b"))).select("f", "whole", first.alias("a")).hint("merge"), ["f", "whole"]).where(~place.eqNullSafe(F.col("a")))
+    copies = shared.join(classes.where(~first.eqNullSafe(F.col("b"))).select("f", "whole", first.alias("a")).hint("merge"), ["f", "whole"]).where(~place.eqNullSafe(F.col("a")))
     copies = copies.select("did", "th", F.col("lo").alias("first"), (F.col("hi") + min_words - 1).alias("last"))
     # windows of the first members of classes with a common anchor
-    several = classes.groupBy("f").agg(F.min("whole").alias("u"), F.max("whole").alias("v")).where("u != v").select("f")
+    several = kept(classes.groupBy("f").agg(F.min("whole").alias("u"), F.max("whole").alias("v")).where("u != v").select("f"), "anchors")
     edges = classes.join(several.hint("merge"), "f", "left_semi").groupBy("a.did", "a.th").agg(F.collect_list(F.struct("a.lo", "a.hi")).cast(_EDGES).alias("edges"))
     owner = edges.select(F.col("did").alias("d"), F.col("th").alias("h"), "edges")
     narrow = texts.join(owner.hint("merge"), F.col("did").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("did", "th", "t", "edges")
-    windows = DurableTable(narrow.mapInArrow(_window_rows(min_words), f"did {kind}, th long, first int, key long"), "word-windows")
+    windows = kept(narrow.mapInArrow(_window_rows(min_words), f"did {kind}, th long, first int, key long"), "word-windows")
     place = F.struct("did", "th", "first")
-    origin = windows.df.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("key", "a")
-    later = windows.df.join(origin.hint("merge"), "key").where(~place.eqNullSafe(F.col("a"))).select("did", "th", "first", (F.col("first") + min_words - 1).alias("last"))
+    origin = kept(windows.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("key", "a"), "window-origins")
+    later = windows.join(origin.hint("merge"), "key").where(~place.eqNullSafe(F.col("a"))).select("did", "th", "first", (F.col("first") + min_words - 1).alias("last"))
     # ranges to maximal runs: a range opens a run if no earlier one reaches it
     doc = Window.partitionBy("did", "th").orderBy("first", "last")
     opened = copies.unionByName(later).withColumn("opens", F.coalesce((F.col("first") > F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int"), F.lit(1)))
     numbered = opened.withColumn("run", F.sum("opens").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy("did", "th", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     out = durable(runs.groupBy("did", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs")), "word-runs")
-    for table in (found, shared, windows):
+    for table in tables:
         table.drop()
     return out
 
